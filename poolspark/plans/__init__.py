@@ -2,7 +2,7 @@
 
 from poolspark.plans import registry
 
-AREAS = ["market"]
+AREAS = ["market", "crowd", "matching", "slips"]
 
 
 def load() -> tuple[dict, dict]:

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolspark.session import cut_lineage
+
 WIDTH = 1 << 16
 LEVELS = 2
 
@@ -92,14 +94,14 @@ def running_total(
         before = (Window.partitionBy(*group).orderBy(key)
                   .rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    b = f"__b{levels}"
+    b, inner, total, upper = (f"__{p}{levels}" for p in ("b", "in", "t", "up"))
     bucketed = df.withColumn(b, _bucket(F.col(key), width))
-    local = running_total(bucketed, [*group, b], key, value, "__in", levels=0)
-    totals = bucketed.groupBy(*group, b).agg(F.sum(value).alias("__t"))
-    outer = running_total(totals, group, b, "__t", "__up", width=width, levels=levels - 1)
-    return (local.join(outer.drop("__t"), [*group, b], "left")
-            .withColumn(out, F.col("__in") + F.coalesce("__up", F.lit(0)))
-            .drop(b, "__in", "__up"))
+    local = running_total(bucketed, [*group, b], key, value, inner, levels=0)
+    totals = bucketed.groupBy(*group, b).agg(F.sum(value).alias(total))
+    outer = running_total(totals, group, b, total, upper, width=width, levels=levels - 1)
+    return (local.join(outer.drop(total), [*group, b], "left")
+            .withColumn(out, F.col(inner) + F.coalesce(upper, F.lit(0)))
+            .drop(b, inner, upper))
 
 
 def order_statistics(
@@ -108,6 +110,7 @@ def order_statistics(
     positions: Mapping[str, tuple[float, Column]],
     *,
     accuracy: int = 100_000,
+    materialise: bool = True,
 ) -> DataFrame:
     """Exact elements of the ascending sort, without sorting the data.
 
@@ -115,7 +118,11 @@ def order_statistics(
     row count) giving the 0-based rank, ``fraction`` the share it sits at. A quantile sketch gives a
     bracket around the fraction, rows below it are only counted, and the exact rank is taken among
     the distinct values inside the bracket, about ``8 n / accuracy`` of them.
+    ``materialise`` stores the one column first: it is read several times.
     """
+    df = df.select(value)
+    if materialise:
+        df = cut_lineage(df)
     slack = 4.0 / accuracy
     names = list(positions)
     lows = [max(0.0, positions[n][0] - slack) for n in names]
