@@ -2,7 +2,7 @@
 
 from poolspark.plans import registry
 
-AREAS = ["market", "crowd", "matching", "slips"]
+AREAS = ["market", "crowd", "matching", "slips", "strategies"]
 
 
 def load() -> tuple[dict, dict]:

@@ -225,7 +225,7 @@ SELECT k.match_id, CASE WHEN l.ok OR f.first_seq IS NULL THEN l.p1 ELSE g.p1 END
   CASE WHEN l.ok OR f.first_seq IS NULL THEN l.px ELSE g.px END AS px,
   CASE WHEN l.ok OR f.first_seq IS NULL THEN l.p2 ELSE g.p2 END AS p2,
   CASE WHEN NOT l.ok THEN f.first_seq END AS restored_from
-FROM kept k JOIN judged l ON l.seq = last_seq LEFT JOIN firsts f USING (match_id) LEFT JOIN judged g ON g.seq = first_seq""")
+FROM kept k JOIN judged l ON l.seq = last_seq LEFT JOIN firsts f ON f.match_id = k.match_id LEFT JOIN judged g ON g.seq = first_seq""")
 def restore(spark, sf):
     history = V.snapshots(spark, sf)
     current = history.groupBy("match_id").agg(F.max_by(F.struct("p1", "px", "p2"), "seq").alias("t")).select("match_id", "t.*")
