@@ -77,10 +77,25 @@ def rounding_tolerance(winners) -> Column:
     return _col(winners) * HALF_CENT + FLOAT_SLACK
 
 
+def round_exact(x: Column, scale: int) -> Column:
+    """Nearest multiple of ``1 / scale``, decided on the exact binary value of ``x``.
+
+    The product with ``scale`` is inexact, so a halfway product is settled by its rounding error
+    (two-product with a Veltkamp split); exact halves go to the even neighbour.
+    """
+    p = x * float(scale)
+    c = x * 134217729.0
+    high = c - (c - x)
+    error = (high * float(scale) - p) + (x - high) * float(scale)
+    halfway = (p - F.floor(p)) == 0.5
+    whole = F.when(halfway & (error > 0), F.ceil(p)).when(halfway & (error < 0), F.floor(p)).otherwise(F.rint(p))
+    return whole.cast("double") / float(scale)
+
+
 def payout_ratio(distributed, slips) -> Column:
     """Distributed per played slip to four decimals; unknown or zero on either side gives null."""
     d, s = _col(distributed), _col(slips)
-    return F.when((d != 0) & (s != 0), F.bround(d / s, 4))
+    return F.when((d != 0) & (s != 0), round_exact(d / s, 10_000))
 
 
 def source_letter(source) -> Column:

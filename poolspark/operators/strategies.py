@@ -17,6 +17,7 @@ from poolspark.functions import results as R
 from poolspark.operators.crowd import settled_singly, with_signs
 from poolspark.operators.market import fully_priced
 from poolspark.operators.resample import BACKTEST_REPLICATES, bootstrap_interval, split_half
+from poolspark.scale import order_statistics
 from poolspark.session import cut_lineage
 
 MATCHES = 7
@@ -243,14 +244,22 @@ def mechanism(pools: DataFrame, rank: int = MATCHES) -> DataFrame:
 
 
 def mechanism_split(pools: DataFrame, rank: int = MATCHES) -> DataFrame:
-    """Count, mean and median payout and winners on both sides of the split.
-
-    Values are counted first, so the median needs the distinct values only.
-    """
-    rows = mechanism(pools, rank)
-    return rows.groupBy("favourite_won").agg(
-        F.count("*").alias("pools"), F.avg("amount").alias("mean_amount"),
-        F.percentile("amount", 0.5).alias("median_amount"), F.percentile("winners", 0.5).alias("median_winners"))
+    """Count, mean and median payout and winners on both sides of the split."""
+    rows = cut_lineage(mechanism(pools, rank))
+    sides = []
+    for won in (True, False):
+        side = rows.where(F.col("favourite_won") == won)
+        sides.append(side.agg(F.count("*").alias("pools"), F.avg("amount").alias("mean_amount")).select(
+            F.lit(won).alias("favourite_won"), "pools", "mean_amount",
+            median(side, "amount").alias("median_amount"), median(side, "winners").alias("median_winners")))
+    return sides[0].unionByName(sides[1]).where("pools > 0")
+
+
+def median(df: DataFrame, value: str) -> Column:
+    """Exact median as a scalar: mean of the two middle elements, no sort of the whole column."""
+    n = F.col("n")
+    middle = order_statistics(df, value, {"a": (0.5, F.floor((n - 1) / 2)), "b": (0.5, F.floor(n / 2))}, materialise=False)
+    return middle.select((F.col("a") + F.col("b")) / 2).scalar()
 
 
 def mechanism_summary(pools: DataFrame, rank: int = MATCHES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from poolspark.plans import registry
 
-AREAS = ["market", "crowd", "matching", "slips", "strategies"]
+AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating"]
 
 
 def load() -> tuple[dict, dict]:
