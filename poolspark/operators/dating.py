@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolspark.scale import LEVELS, WIDTH, neighbours
+from poolspark.scale import LEVELS, WIDTH, neighbours, running_total
 from poolspark.session import cut_lineage
 
 # Agreeing fixtures of a sure and of a supplementary anchor, window in days.
@@ -90,8 +90,6 @@ def chronological(rows: DataFrame, group: Sequence[str], key: str, day: str, *,
     bounded = running_extremes(packed, group, key, "__day", width=width, levels=levels)
     cut = F.col("__max_before") <= F.least(F.col("__day"), F.coalesce("__min_after", F.col("__day")))
     marked = bounded.withColumn("__cut", F.coalesce(cut, F.lit(True)).cast("long"))
-    from poolspark.scale import running_total
-
     blocks = running_total(marked, group, key, "__cut", "__b", width=width, levels=levels).withColumn(
         "__block", F.col("__b") + F.col("__cut"))
     slim = cut_lineage(blocks.select(*group, key, "__block", "__day"))
@@ -166,12 +164,13 @@ def admit(skeleton: DataFrame, candidates: DataFrame, group: Sequence[str] = ("p
 
 def two_step_anchors(matches: DataFrame, fixtures: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Sure skeleton, manual anchors, bracketed supplements, chronology again: final anchors."""
-    sure = chronological(anchors(matches, fixtures, SURE_FIXTURES), ["pool_type"], "pool_id", "day").where("kept").drop("kept")
+    candidates = cut_lineage(anchors(matches, fixtures, EXTRA_FIXTURES))
+    sure = chronological(candidates.where(F.col("n") >= SURE_FIXTURES), ["pool_type"], "pool_id", "day")
+    sure = sure.where("kept").drop("kept")
     if manual is not None:
         sure, _ = with_manual(sure, manual, ["pool_type", "pool_id"])
-    sure = cut_lineage(sure)
-    admitted = admit(sure, anchors(matches, fixtures, EXTRA_FIXTURES)).where("verdict IN ('squelette', 'admise')")
-    return chronological(admitted, ["pool_type"], "pool_id", "day").where("kept").drop("kept", "verdict")
+    admitted = admit(cut_lineage(sure), candidates).where("verdict IN ('squelette', 'admise')")
+    return chronological(cut_lineage(admitted), ["pool_type"], "pool_id", "day").where("kept").drop("kept", "verdict")
 
 
 def interpolate(anchored: DataFrame, pools: DataFrame, group: Sequence[str] = ("pool_type",), key: str = "pool_id", *,

@@ -2,7 +2,7 @@
 
 from poolspark.plans import registry
 
-AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating"]
+AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating", "entity", "nested", "pages", "functions"]
 
 
 def load() -> tuple[dict, dict]:

@@ -75,7 +75,8 @@ estimated AS (
     coalesce(day, ad) AS date_min, coalesce(day, bd) AS date_max,
     CASE WHEN day IS NOT NULL THEN 'affiches' WHEN ai IS NOT NULL AND bi IS NOT NULL THEN 'interpolation' ELSE 'hors_ancrage' END AS source,
     CASE WHEN day IS NOT NULL THEN CAST(n AS INT) END AS concordant,
-    CASE WHEN day IS NULL AND ai IS NOT NULL AND bi IS NOT NULL THEN CAST(date_diff('day', ad, bd) AS INT) END AS uncertainty FROM near)"""
+    CASE WHEN day IS NULL AND ai IS NOT NULL AND bi IS NOT NULL THEN CAST(date_diff('day', ad, bd) AS INT) END AS uncertainty FROM near
+  WHERE day IS NOT NULL OR ai IS NOT NULL OR bi IS NOT NULL)"""
 
 
 @query("bracket_interpolation", ctes=INTERPOLATE_SQL, sql="SELECT * FROM estimated")
@@ -95,6 +96,20 @@ def longest_nondecreasing(spark, sf):
     return D.chronological(calendar(spark, sf), ["pool_type"], "pool_id", "day")
 
 
+@query("chronology_length", ctes=CALENDAR_SQL + """,
+seq AS (SELECT pool_type, date_diff('day', DATE '1970-01-01', day) AS d,
+  row_number() OVER (PARTITION BY pool_type ORDER BY pool_id) AS i FROM dated),
+tails AS (
+  SELECT pool_type, 0::BIGINT AS i, []::BIGINT[] AS t FROM (SELECT DISTINCT pool_type FROM seq)
+  UNION ALL
+  SELECT s.pool_type, s.i, list_concat(list_concat(t[1:len([x FOR x IN t IF x <= d])], [d]),
+    t[len([x FOR x IN t IF x <= d]) + 2:]) FROM tails JOIN seq s ON s.pool_type = tails.pool_type AND s.i = tails.i + 1)""", sql="""
+SELECT pool_type, CAST(len(arg_max(t, i)) AS BIGINT) AS kept, max(i) AS anchors FROM tails GROUP BY 1""")
+def chronology_length(spark, sf):
+    rows = D.chronological(calendar(spark, sf), ["pool_type"], "pool_id", "day")
+    return rows.groupBy("pool_type").agg(F.count_if("kept").alias("kept"), F.count("*").alias("anchors"))
+
+
 @query("two_step_anchors")
 def two_step(spark, sf):
     return D.two_step_anchors(match_keys(spark, sf), fixtures(spark, sf))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from poolspark.session import cut_lineage
 
-WIDTH = 1 << 16
-LEVELS = 2
+# A bucket holds at most a million rows; 10^12 keys leave a million bucket rows for the last window.
+WIDTH = 1 << 20
+LEVELS = 1
 
 
 def _bucket(key: Column, width: int) -> Column:
