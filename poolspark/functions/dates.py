@@ -44,5 +44,5 @@ def pool_key(pool_type, pool_id) -> Column:
 def pool_id_of(key, pool_type) -> Column:
     """Pool number where the global number belongs to the type, null elsewhere."""
     base = _col(pool_type).cast("long") * PREFIX_STEP
-    inside = (_col(key) > base) & (_col(key) < base + PREFIX_STEP)
+    inside = (_col(key) >= base) & (_col(key) < base + PREFIX_STEP)
     return F.when(inside, _col(key) - base)

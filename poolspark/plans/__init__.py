@@ -2,7 +2,8 @@
 
 from poolspark.plans import registry
 
-AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating", "entity", "nested", "pages", "functions"]
+AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating", "entity", "nested",
+         "pages", "functions", "streams"]
 
 
 def load() -> tuple[dict, dict]:

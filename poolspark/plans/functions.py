@@ -76,7 +76,7 @@ def decode_results(spark, sf):
 @query("date_and_key_functions", sql="""
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS league, CAST(o_orderdate AS DATE) AS cup,
   CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS DATE) END AS epoch, 7000000 + o_orderkey AS key, o_orderkey AS back,
-  CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(o_orderkey AS VARCHAR), greatest(4, length(CAST(o_orderkey AS VARCHAR))), '0') AS archive,
+  CAST(year(o_orderdate) AS VARCHAR) || '-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(4, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') AS archive,
   year(o_orderdate) < 1997 AS old, strftime(o_orderdate, '%d/%m/%y') AS shown FROM orders""")
 def date_functions(spark, sf):
     day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
@@ -117,7 +117,7 @@ def money_formats(spark, sf):
 
 
 @query("rounding_allowance", sql="""
-SELECT l_suppkey, round(count(*) * 0.005 + 0.02, 6) AS allowance FROM lineitem GROUP BY 1""")
+SELECT l_suppkey, round(count(*) * 0.005::DOUBLE + 0.02::DOUBLE, 6) AS allowance FROM lineitem GROUP BY 1""")
 def rounding(spark, sf):
     return V.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
         F.round(P.rounding_tolerance(F.count("*")), 6).alias("allowance"))

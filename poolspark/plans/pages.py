@@ -79,7 +79,7 @@ def table_discovery(spark, sf):
 
 def staged_pages(spark, sf):
     """Rendered rows of the pools: cancelled, blank and missing cells, nameless rows, unsettled pages."""
-    row = """named_struct('text', concat(m.home, '1N2', m.away, coalesce(concat(m.score_home, ' - ', m.score_away), 'Annulé')),
+    row = """named_struct('text', concat(m.home, '1N2', m.away, if(m.mix % 67 = 0, '', coalesce(concat(m.score_home, ' - ', m.score_away), 'Annulé'))),
       'teams', if(m.mix % 61 = 0, array(m.home), array(m.home, m.away)),
       'cell', case when m.mix % 61 = 0 then null when m.code = '111' then 'Annulé' when m.mix % 67 = 0 then ''
         else concat(m.score_home, ' - ', m.score_away) end)"""

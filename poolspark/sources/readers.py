@@ -18,7 +18,7 @@ CORRUPT = "_corrupt_record"
 # Price columns of the league files per source; the mojibake byte-order mark.
 PRICE_COLUMNS = {"pinnacle_cloture": ("PSCH", "PSCD", "PSCA"), "pinnacle": ("PSH", "PSD", "PSA"),
                  "bet365_cloture": ("B365CH", "B365CD", "B365CA"), "bet365": ("B365H", "B365D", "B365A")}
-BYTE_ORDER_MARKS = ["ï»¿", "﻿"]
+BYTE_ORDER_MARKS = ["\u00ef\u00bb\u00bf", "\ufeff"]
 CUP_SOURCE = "cups"
 
 
@@ -88,8 +88,10 @@ def parse_fixture_lines(lines: DataFrame) -> DataFrame:
     header = F.col("header")
     for mark in BYTE_ORDER_MARKS:
         header = F.replace(header, F.lit(mark), F.lit(""))
-    cells = F.from_csv(F.col("line"), F.lit(", ".join(f"c{i} string" for i in range(160))), {"mode": "PERMISSIVE"})
-    plain = F.when(F.contains("line", F.lit('"')), F.array(*[cells[f"c{i}"] for i in range(160)])).otherwise(F.split("line", ",", -1))
+    # Quoted cells are rare; only lines with a quote pay for the lookahead.
+    quoted = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.replace(
+        F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    plain = F.when(F.contains("line", F.lit('"')), quoted).otherwise(F.split("line", ",", -1))
     rows = lines.withColumn("__h", F.transform(F.split(F.regexp_replace(header, "[\r\n]", ""), ",", -1), F.trim)).withColumn(
         "__c", plain)
 

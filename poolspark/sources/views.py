@@ -204,7 +204,10 @@ ext AS (
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Successive price observations of a match, one per event."""
-    e = table(spark, sf, "events")
+    return snapshots_of(table(spark, sf, "events"))
+
+
+def snapshots_of(e: DataFrame) -> DataFrame:
     eid, cent = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
     settled, absent = eid % 4 == 1, eid % 5 == 2
     value = lambda v, s: F.when(~absent, F.when(settled, F.lit(s)).otherwise(v))
