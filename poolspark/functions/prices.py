@@ -69,7 +69,7 @@ def favourite(prices: Column) -> Column:
 
 def kth_outcome(probs: Column, k: int) -> Column:
     """Index of the k-th most probable outcome; equal probabilities keep their order."""
-    ranked = F.array_sort(F.transform(probs, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(probs, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
     return ranked[k]["i"].cast("int")
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolspark.scale import LEVELS, WIDTH, neighbours, running_total
+from poolspark.scale import LEVELS, WIDTH, growing_frames, neighbours, running_total
 from poolspark.session import cut_lineage
 
 # Agreeing fixtures of a sure and of a supplementary anchor, window in days.
@@ -115,9 +115,8 @@ def chronological(rows: DataFrame, group: Sequence[str], key: str, day: str, *,
 def running_extremes(rows: DataFrame, group: list[str], key: str, value: str, *, width: int, levels: int) -> DataFrame:
     """Adds ``__max_before`` (largest value at smaller keys) and ``__min_after`` (smallest at larger keys)."""
     if levels <= 0:
-        ordered = Window.partitionBy(*group).orderBy(key)
-        return rows.select("*", F.max(value).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("__max_before"),
-                           F.min(value).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("__min_after"))
+        before, after = growing_frames(group, key)
+        return rows.select("*", F.max(value).over(before).alias("__max_before"), F.min(value).over(after).alias("__min_after"))
     b = f"__x{levels}"
     bucketed = rows.withColumn(b, F.floor(F.col(key) / F.lit(width)).cast("long"))
     local = running_extremes(bucketed, [*group, b], key, value, width=width, levels=0)

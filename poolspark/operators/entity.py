@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
@@ -49,33 +50,35 @@ def _best(names: pd.DataFrame, known: pd.DataFrame) -> list[tuple]:
         for char, n in Counter(text).items():
             counts[row, alphabet[char]] = n
     lengths = np.array([len(p) for p in plain])
-    words = [set(w) for w in known["words"]]
+    first, folded, display = known["first"].tolist(), known["folded"].tolist(), known["display"].tolist()
+    matchers = [SequenceMatcher(None, "", p) for p in plain]
+    holders: dict[str, list[int]] = {}
+    for row, listed in enumerate(known["words"]):
+        for word in listed:
+            holders.setdefault(word, []).append(row)
     out = []
-    matcher = SequenceMatcher(None)
     for name, target, target_words in zip(names["name"], names["plain"], names["words"]):
         own = np.zeros(len(alphabet), dtype=np.int32)
         for char, n in Counter(target).items():
             if char in alphabet:
                 own[alphabet[char]] = n
-        total = np.maximum(lengths + len(target), 1)
-        bound = 2.0 * np.minimum(counts, own).sum(axis=1) / total
-        bound[(lengths + len(target)) == 0] = 1.0
-        wanted = set(target_words)
-        shared = np.array([not wanted.isdisjoint(w) for w in words])
+        total = lengths + len(target)
+        bound = np.where(total > 0, 2.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(total, 1), 1.0)
+        shared = np.zeros(len(plain), dtype=bool)
+        for word in target_words:
+            shared[holders.get(word, [])] = True
         ceiling = bound + WORD_BONUS * shared
-        found: list[tuple[float, int, float]] = []
-        for j in np.argsort(-ceiling, kind="stable"):
-            if not shared[j] and bound[j] < SIMILARITY:
-                continue
-            if len(found) >= TOP and ceiling[j] < found[TOP - 1][0] - 1e-12:
+        possible = np.flatnonzero(shared | (bound >= SIMILARITY))
+        found: list[tuple[float, str, int]] = []  # (-score, first, row), best first
+        for j in possible[np.argsort(-ceiling[possible], kind="stable")].tolist():
+            if len(found) == TOP and ceiling[j] < -found[-1][0] - 1e-12:
                 break
-            matcher.set_seqs(target, plain[j])
-            ratio = matcher.ratio()
+            matchers[j].set_seq1(target)
+            ratio = matchers[j].ratio()
             if shared[j] or ratio >= SIMILARITY:
-                found.append((ratio + (WORD_BONUS if shared[j] else 0), int(j), ratio))
-                found.sort(key=lambda f: (-f[0], known["first"].iloc[f[1]]))
+                insort(found, (-(ratio + (WORD_BONUS if shared[j] else 0)), first[j], j))
                 del found[TOP:]
-        out += [(name, known["folded"].iloc[j], known["display"].iloc[j], score, known["first"].iloc[j]) for score, j, _ in found]
+        out += [(name, folded[j], display[j], -score, f) for score, f, j in found]
     return out
 
 

@@ -126,7 +126,7 @@ def all_or_nothing(pools: DataFrame, prices: DataFrame, key: Sequence[str], sour
     joined = rows.join(wanted.select("match_id", F.struct("p1", "px", "p2", "source").alias("price")), "match_id", "left")
     return (joined.groupBy(*key).agg(
         F.bool_and(F.col("price").isNotNull()).alias("complete"),
-        F.array_sort(F.collect_list(F.struct("ord", "match_id", "price"))).alias("priced"))
+        F.sort_array(F.collect_list(F.struct("ord", "match_id", "price"))).alias("priced"))
         .where("complete").drop("complete"))
 
 
@@ -198,7 +198,7 @@ def complete_lines(table: Column, listing: Column) -> Column:
         return F.when(F.size(twins) == 0, F.size(listing)).otherwise(F.array_max(places))
 
     order = F.transform(extended, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i")))
-    sorted_lines = F.transform(F.array_sort(order), lambda s: extended[s["i"]])
+    sorted_lines = F.transform(F.sort_array(order), lambda s: extended[s["i"]])
     return F.when(F.size(listing) <= F.size(table), table).otherwise(sorted_lines)
 
 
@@ -216,7 +216,7 @@ def compose_pool(pools: DataFrame, matches: DataFrame, key: Sequence[str], ids:
     rows = pools.select(*key, F.posexplode(ids).alias("ord", "match_id"))
     joined = rows.join(matches.withColumn("__seen", F.lit(True)), "match_id", "left")
     line = F.struct("ord", "match_id", *rest, F.col("__seen").isNull().alias("missing_in_frame"))
-    return joined.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("matches"))
+    return joined.groupBy(*key).agg(F.sort_array(F.collect_list(line)).alias("matches"))
 
 
 def keep_last_plausible(snapshots: DataFrame, key: Sequence[str], order: Sequence[str],

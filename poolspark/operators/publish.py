@@ -35,7 +35,7 @@ def with_published_prices(pools: DataFrame, prices: DataFrame, key: str = "pool_
     rows = pools.select(key, F.posexplode("matches").alias("ord", "m")).select(
         key, "ord", "m.match_id", "m.home", "m.away", "m.kickoff")
     published = prices.select("match_id", "p1", "px", "p2")
-    priced = rows.join(published, "match_id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+    priced = rows.join(published, "match_id", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         "ord", "match_id", "home", "away", "kickoff", "p1", "px", "p2"))).alias("matches"))
     return pools.drop("matches").join(priced, key, "left").withColumn(
         "matches", F.coalesce("matches", F.expr("slice(matches, 1, 0)")))

@@ -40,18 +40,18 @@ def enumeration_status(choices: str, cap: int = ENUMERATION_CAP) -> Column:
             .when(slip_count(choices) > cap, "refused").otherwise("listed"))
 
 
-def enumerate_slips(df: DataFrame, choices: str = "choices", cap: int = ENUMERATION_CAP) -> DataFrame:
-    """One row per slip, last match varying fastest: ``slip_ix`` and ``picks``.
+def enumerate_slips(df: DataFrame, choices: str = "choices", cap: int = ENUMERATION_CAP, total: str = "total") -> DataFrame:
+    """One row per slip, last match varying fastest: ``slip_ix``, ``picks`` and the pool's ``total``.
 
     Each index is decoded by mixed radix, so a pool is one generator and not an n-way product.
     """
     strides = (f"transform({choices}, (c, i) -> aggregate(slice({choices}, i + 2, size({choices})), 1L, "
                "(n, d) -> n * size(d)))")
     listed = (df.where(enumeration_status(choices, cap) == "listed")
-              .withColumn("__strides", F.expr(strides)).withColumn("__total", slip_count(choices)))
-    slips = listed.select("*", F.expr("explode(sequence(0L, __total - 1))").alias("slip_ix"))
+              .withColumn("__strides", F.expr(strides)).withColumn(total, slip_count(choices)))
+    slips = listed.select("*", F.expr(f"explode(sequence(0L, {total} - 1))").alias("slip_ix"))
     picks = f"zip_with({choices}, __strides, (c, s) -> c[cast((slip_ix div s) % size(c) as int)])"
-    return slips.withColumn("picks", F.expr(picks)).drop("__strides", "__total")
+    return slips.withColumn("picks", F.expr(picks)).drop("__strides")
 
 
 def to_text(picks: str = "picks") -> Column:
@@ -182,30 +182,45 @@ def _greedy(picks: np.ndarray, guarantee: int, coverage: float) -> tuple[list[in
 
 
 def reduce_slips(slips: DataFrame, key: Sequence[str], guarantee: int, coverage: float = 1.0, *,
-                 cap: int = REDUCTION_CAP, order: str = "slip_ix", picks: str = "picks") -> DataFrame:
-    """Greedy covering set per pool: ``status``, ``order``, ``picks`` and the covered share.
+                 cap: int = REDUCTION_CAP, order: str = "slip_ix", picks: str = "picks", total: str | None = None) -> DataFrame:
+    """Greedy covering set per pool: ``status``, ``order``, ``picks`` and the covered count.
 
     Pools advance independently. A pool holding more than ``cap`` slips is refused from its count
-    alone, so no task ever receives more than ``cap`` slips of one pool.
+    alone, so no group ever holds more than ``cap`` slips, each packed in one number. ``total`` names
+    a column bounding the slips of a pool: pools within the cap by that bound are not counted.
     """
     key = list(key)
-    counts = slips.groupBy(*key).agg(F.count("*").alias("n_slips"))
-    refused = counts.where(F.col("n_slips") > cap)
-    small = slips.select(*key, order, picks).join(refused.select(*key), key, "left_anti")
-    fields = {f.name: f.dataType.simpleString() for f in slips.schema.fields}
-    schema = ", ".join([*[f"{k} {fields[k]}" for k in key], f"{order} {fields[order]}", f"{picks} {fields[picks]}",
-                        "n_slips bigint", "covered bigint"])
-
-    def one_pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        chosen, covered = _greedy(np.array(pdf[picks].tolist(), dtype=np.int8), guarantee, coverage)
-        return pdf.iloc[chosen].assign(n_slips=len(pdf), covered=covered)
-
-    kept = small.groupBy(*key).applyInPandas(one_pool, schema)
-    kept = kept.withColumn("status", F.lit("reduced"))
-    blank = {order: F.lit(None).cast(fields[order]), picks: F.lit(None).cast(fields[picks]),
-             "covered": F.lit(None).cast("long"), "status": F.lit("refused")}
-    return kept.unionByName(refused.select(*key, "n_slips", *[c.alias(n) for n, c in blank.items()]))
+    kind = slips.schema[picks].dataType.simpleString()
+    doubtful = slips if total is None else slips.where(F.col(total) > cap)
+    refused = doubtful.groupBy(*key).agg(F.count("*").alias("n_slips")).where(F.col("n_slips") > cap)
+    allowed = doubtful.join(refused.select(*key), key, "left_anti")
+    packed = F.struct(F.col(order).cast("long").alias("ix"), F.expr(f"aggregate({picks}, 0L, (a, p) -> a * 3 + p)").alias("code"))
+    rows = allowed.select(*key, F.size(picks).alias("n"), packed.alias("s"))
+    if total is not None:
+        rows = rows.unionByName(slips.where(F.col(total) <= cap).select(*key, F.size(picks).alias("n"), packed.alias("s")))
+    pools = rows.groupBy(*key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("s")).alias("s")).select(
+        *key, "n", F.size("s").cast("long").alias("n_slips"), F.expr("transform(s, x -> x.ix)").alias("ix"),
+        F.expr("transform(s, x -> x.code)").alias("codes"))
+
+    @F.pandas_udf("struct<chosen array<int>, covered bigint>")
+    def cover(codes: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        found = []
+        for slip_codes, n in zip(codes, sizes):
+            digits = (np.asarray(slip_codes)[:, None] // 3 ** np.arange(n - 1, -1, -1, dtype=np.int64)) % 3
+            found.append(_greedy(digits.astype(np.int8), guarantee, coverage))
+        return pd.DataFrame(found, columns=["chosen", "covered"])
+
+    # The search costs far more than its input weighs: keep every core busy.
+    cores = slips.sparkSession.sparkContext.defaultParallelism
+    reduced = pools.repartition(cores, *key).withColumn("c", cover("codes", "n")).select(
+        *key, "n", "n_slips", F.col("c.covered").alias("covered"), F.explode("c.chosen").alias("i"), "ix", "codes")
+    kept = reduced.select(
+        *key, F.expr("ix[i]").alias(order),
+        F.expr("transform(sequence(1, n), k -> cast((codes[i] div cast(pow(3, n - k) as bigint)) % 3 as int))").cast(kind).alias(picks),
+        "n_slips", "covered", F.lit("reduced").alias("status"))
+    none = refused.select(*key, F.lit(None).cast("long").alias(order), F.lit(None).cast(kind).alias(picks), "n_slips",
+                          F.lit(None).cast("long").alias("covered"), F.lit("refused").alias("status"))
+    return kept.unionByName(none)
 
 
 def reduction_summary(reduced: DataFrame, key: Sequence[str]) -> DataFrame:

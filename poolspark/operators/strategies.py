@@ -118,7 +118,7 @@ def playable(pools: DataFrame, matches: int = MATCHES) -> DataFrame:
     probs = (f"transform(matches, m -> transform({trio}, q -> q / aggregate({trio}, 0D, (a, x) -> a + x)))")
     ranked = """zip_with(probs, winners, (p, w) -> named_struct('w', w, 'pmax', array_max(p),
       'favourite', cast(array_position(p, array_max(p)) - 1 as int),
-      'second', array_sort(transform(p, (x, i) -> named_struct('p', -x, 'i', i)))[1].i))"""
+      'second', sort_array(transform(p, (x, i) -> named_struct('p', -x, 'i', i)))[1].i))"""
     placed = """transform(ranked, (m, j) -> named_struct('w', m.w, 'pmax', m.pmax, 'favourite', m.favourite, 'second', m.second,
       'clear', size(filter(ranked, (o, k) -> o.pmax > m.pmax or (o.pmax = m.pmax and k < j))),
       'tight', size(filter(ranked, (o, k) -> o.pmax < m.pmax or (o.pmax = m.pmax and k < j)))))"""

@@ -160,7 +160,7 @@ def price_fallback(spark, sf):
 
 
 def _reduced(spark, sf):
-    return S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=5)
+    return S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=5, total="total")
 
 
 @query("covering_reduction")

@@ -25,6 +25,18 @@ def _bucket(key: Column, width: int) -> Column:
     return F.floor(key / F.lit(width)).cast("long")
 
 
+def growing_frames(group: Sequence[str], key: str):
+    """Frames over the rows strictly before and strictly after, both growing from their start.
+
+    The second one runs in descending order: a frame that ends at the last row is evaluated anew for
+    every row, a growing one only adds to its state.
+    """
+    def frame(order):
+        return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    return frame(F.col(key).asc()), frame(F.col(key).desc())
+
+
 def neighbours(
     df: DataFrame,
     group: Sequence[str],
@@ -46,13 +58,11 @@ def neighbours(
 
 def _neighbours(df, group, key, names, width, levels):
     if levels <= 0:
-        ordered = Window.partitionBy(*group).orderBy(key)
-        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        after = ordered.rowsBetween(1, Window.unboundedFollowing)
+        before, after = growing_frames(group, key)
         return df.select(
             "*",
             *[F.last(f"__{n}", ignorenulls=True).over(before).alias(f"prev_{n}") for n in names],
-            *[F.first(f"__{n}", ignorenulls=True).over(after).alias(f"next_{n}") for n in names],
+            *[F.last(f"__{n}", ignorenulls=True).over(after).alias(f"next_{n}") for n in names],
         )
     b = f"__b{levels}"
     bucketed = df.withColumn(b, _bucket(F.col(key), width))

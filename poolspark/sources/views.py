@@ -107,7 +107,7 @@ def _payout(pool_id: Column, rank: Column) -> Column:
 
 def pools(spark: SparkSession, sf: str) -> DataFrame:
     """Feed-form pools: matches, payouts, histogram and result code as nested columns."""
-    nested = legs(spark, sf).groupBy("pool_id").agg(F.array_sort(F.collect_list(F.struct(
+    nested = legs(spark, sf).groupBy("pool_id").agg(F.sort_array(F.collect_list(F.struct(
         "line", "match_id", "kickoff", "home", "away", "score_home", "score_away", "p1", "px", "p2", "code",
         "competition", "source", "part", "supp", "mix"))).alias("matches"))
     orders = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 4").alias("pool_id")).agg(
