@@ -25,15 +25,11 @@ def decode_result(code, n) -> Column:
     """
     code, n = _col(code), _col(n)
     valid = code.isNotNull() & (code != "") & (F.length(code) == n * 3)
-
-    def triplet(i):
-        at = (n - 1 - i) * 3
-        signs = F.array_compact(F.array(*[
-            F.when(F.substring(code, at + 1 + k, F.lit(1)) == "1", F.lit(o)) for k, o in enumerate(OUTCOMES)]))
-        return F.when(valid & (F.size(signs) > 0), signs)
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), triplet)).otherwise(
-        F.array().cast("array<array<string>>"))
+    table = F.create_map(*[x for k in range(1, 8) for x in (
+        F.lit(format(k, "03b")), F.array(*[F.lit(o) for o, c in zip(OUTCOMES, format(k, "03b")) if c == "1"]))])
+    signs = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.when(
+        valid, F.try_element_at(table, F.substring(code, (n - 1 - i) * 3 + 1, F.lit(3)))))
+    return F.when(n > 0, signs).otherwise(F.array().cast("array<array<string>>"))
 
 
 def single_outcome(signs: Column) -> Column:

@@ -42,7 +42,9 @@ def page_pools(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = (spark.read.schema(schemas.PAGE_POOL + f", {CORRUPT} string").option("multiLine", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
            .withColumn("file", F.input_file_name()))
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select("file", F.lit("fichier illisible").alias("what"), F.col(CORRUPT).alias("detail"))
+    # Spark refuses a scan that reads nothing but the corrupt column: the number is read beside it.
+    told = F.concat(F.coalesce(F.col("grille_id").cast("string"), F.lit("")), F.col(CORRUPT))
+    bad = raw.where(F.length(told) > 0).select("file", F.lit("fichier illisible").alias("what"), F.col(CORRUPT).alias("detail"))
     return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file"), bad
 
 

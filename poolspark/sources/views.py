@@ -20,49 +20,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
 def cents(value: Column) -> Column:
     return value.cast("double") / F.lit(100.0)
 
 
+def _listed(values, index: str) -> str:
+    quoted = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return f"array({quoted})[cast({index} as int)]"
+
+
+def _price(name: str, formula: str, settled: str) -> str:
+    return f"if(mix % 53 = 0, null, if(mix % 41 = 0, {settled}, cast({formula} as double) / 100D)) as {name}"
+
+
 def legs(spark: SparkSession, sf: str) -> DataFrame:
     """One row per match of a pool."""
-    lines = table(spark, sf, "lineitem").select(
-        F.expr("l_orderkey div 4").alias("pool_id"), F.col("l_linenumber").alias("line"),
-        "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    base = lines.groupBy("pool_id", "line").agg(
-        F.min("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"),
-        F.sum(F.col("l_quantity").cast("long")).alias("qty"),
-        F.min(F.col("l_shipdate").cast("date")).alias("kickoff"))
-    part, supp, qty = F.col("part"), F.col("supp"), F.col("qty")
-    mix = F.col("mix")
-    priced = base.withColumn("mix", part * 7 + supp * 3 + qty).withColumn("sign", (part + supp + qty) % 3)
-    p1 = cents(105 + (qty * 37 + part) % 420)
-    px = cents(260 + (part * 7 + supp) % 240)
-    p2 = cents(115 + (part * 13 + supp * 5) % 1300)
-    settled, absent = mix % 41 == 0, mix % 53 == 0
-    sign = F.col("sign")
-    code = (F.when(mix % 47 == 0, "111").when(mix % 211 == 0, "000").when(mix % 223 == 0, "110")
-            .when(sign == 0, "100").when(sign == 1, "010").otherwise("001"))
-    goals = (part % 3).cast("int")
-    margin = (1 + supp % 2).cast("int")
-    cancelled = mix % 47 == 0
-    return priced.select(
-        "pool_id", "line", (part * 31 + supp % 31).alias("match_id"), "part", "supp", "mix", "kickoff",
-        F.concat(F.lit("Équipe "), (part % 211).cast("string")).alias("home"),
-        F.concat(F.lit("Club "), (supp % 97).cast("string")).alias("away"),
-        F.when(~absent, F.when(settled, 1.0).otherwise(p1)).alias("p1"),
-        F.when(~absent, F.when(settled, 250.0).otherwise(px)).alias("px"),
-        F.when(~absent, F.when(settled, 250.0).otherwise(p2)).alias("p2"),
-        code.alias("code"),
-        F.when(~cancelled, goals + F.when(sign == 0, margin).otherwise(0)).alias("score_home"),
-        F.when(~cancelled, goals + F.when(sign == 2, margin).otherwise(0)).alias("score_away"),
-        _pick(COMPETITIONS, part % 12).alias("competition"),
-        _pick(SOURCES, supp % 5).alias("source"),
-    )
+    base = (table(spark, sf, "lineitem")
+            .selectExpr("l_orderkey div 4 as pool_id", "l_linenumber as line", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+            .groupBy("pool_id", "line").agg(F.expr("min(l_partkey) as part"), F.expr("max(l_suppkey) as supp"),
+                                            F.expr("sum(cast(l_quantity as bigint)) as qty"),
+                                            F.expr("min(cast(l_shipdate as date)) as kickoff")))
+    mixed = base.selectExpr("*", "part * 7 + supp * 3 + qty as mix", "(part + supp + qty) % 3 as sign")
+    margin = "cast(1 + supp % 2 as int)"
+    return mixed.selectExpr(
+        "pool_id", "line", "part * 31 + supp % 31 as match_id", "part", "supp", "mix", "kickoff",
+        "concat('Équipe ', part % 211) as home", "concat('Club ', supp % 97) as away",
+        _price("p1", "105 + (qty * 37 + part) % 420", "1D"), _price("px", "260 + (part * 7 + supp) % 240", "250D"),
+        _price("p2", "115 + (part * 13 + supp * 5) % 1300", "250D"),
+        """case when mix % 47 = 0 then '111' when mix % 211 = 0 then '000' when mix % 223 = 0 then '110'
+           when sign = 0 then '100' when sign = 1 then '010' else '001' end as code""",
+        f"if(mix % 47 = 0, null, cast(part % 3 as int) + if(sign = 0, {margin}, 0)) as score_home",
+        f"if(mix % 47 = 0, null, cast(part % 3 as int) + if(sign = 2, {margin}, 0)) as score_away",
+        _listed(COMPETITIONS, "part % 12") + " as competition", _listed(SOURCES, "supp % 5") + " as source")
 
 
 # SQL text of the same view for the second engine; ``ord`` is the position inside the pool.
@@ -97,37 +86,26 @@ legs AS (
   FROM mixed)"""
 
 
-def _payout(pool_id: Column, rank: Column) -> Column:
-    amount = cents((pool_id * 7919 + rank * 104729) % 90000 + 100)
-    return F.struct(
-        rank.cast("int").alias("rank"),
-        ((pool_id * 31 + rank * 17) % 50).alias("winners"),
-        F.when((pool_id + rank) % 13 != 0, amount).alias("amount"))
+def _payout(rank: str) -> str:
+    return f"""named_struct('rank', cast({rank} as int), 'winners', (pool_id * 31 + ({rank}) * 17) % 50, 'amount',
+      if((pool_id + {rank}) % 13 = 0, null, cast((pool_id * 7919 + ({rank}) * 104729) % 90000 + 100 as double) / 100D))"""
 
 
 def pools(spark: SparkSession, sf: str) -> DataFrame:
     """Feed-form pools: matches, payouts, histogram and result code as nested columns."""
-    nested = legs(spark, sf).groupBy("pool_id").agg(F.sort_array(F.collect_list(F.struct(
-        "line", "match_id", "kickoff", "home", "away", "score_home", "score_away", "p1", "px", "p2", "code",
-        "competition", "source", "part", "supp", "mix"))).alias("matches"))
-    orders = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 4").alias("pool_id")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("net_stakes"),
-        F.max(F.col("o_orderdate").cast("date")).alias("closed_on"),
-        F.max("o_orderstatus").alias("status"))
-    n, pid = F.col("n"), F.col("pool_id")
-    shaped = nested.join(orders, "pool_id").withColumn("n", F.size("matches"))
-    histogram = F.transform(F.sequence(F.lit(0), n), lambda k: (pid + k * 31) % 97 + 1)
-    payouts = F.array(_payout(pid, n), _payout(pid, n - 1))
-    code = F.array_join(F.reverse(F.transform("matches", lambda m: m["code"])), "")
-    return shaped.select(
-        "pool_id",
-        F.when(pid % 10 < 7, 7).when(pid % 10 < 9, 9).otherwise(12).alias("pool_type"),
+    nested = legs(spark, sf).groupBy("pool_id").agg(F.expr("""sort_array(collect_list(struct(line, match_id, kickoff, home, away,
+      score_home, score_away, p1, px, p2, code, competition, source, part, supp, mix))) as matches"""))
+    orders = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 4 as pool_id")).agg(
+        F.expr("cast(sum(cast(o_totalprice as decimal(18,2))) as double) as net_stakes"),
+        F.expr("max(cast(o_orderdate as date)) as closed_on"), F.expr("max(o_orderstatus) as status"))
+    return nested.join(orders, "pool_id").selectExpr("*", "size(matches) as n").selectExpr(
+        "pool_id", "case when pool_id % 10 < 7 then 7 when pool_id % 10 < 9 then 9 else 12 end as pool_type",
         "status", "closed_on", "net_stakes",
-        F.when(pid % 37 != 0, cents((pid * 4861) % 900000)).alias("distributed"),
-        cents((pid * 353) % 100000).alias("guaranteed"),
-        F.when(pid % 29 != 0, code).alias("result_code"),
-        F.when(pid % 31 == 0, F.slice(payouts, 1, 1)).otherwise(payouts).alias("payouts"),
-        F.when(pid % 11 != 0, histogram).alias("histogram"),
+        "if(pool_id % 37 = 0, null, cast(pool_id * 4861 % 900000 as double) / 100D) as distributed",
+        "cast(pool_id * 353 % 100000 as double) / 100D as guaranteed",
+        "if(pool_id % 29 = 0, null, array_join(reverse(transform(matches, m -> m.code)), '')) as result_code",
+        f"if(pool_id % 31 = 0, array({_payout('n')}), array({_payout('n')}, {_payout('n - 1')})) as payouts",
+        "if(pool_id % 11 = 0, null, transform(sequence(0, n), k -> (pool_id + k * 31) % 97 + 1)) as histogram",
         "n", "matches")
 
 
