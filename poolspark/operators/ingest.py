@@ -86,6 +86,7 @@ def predecessor(links: Column, number: Column) -> Column:
 def chain_predecessors(archive: DataFrame, season: str, number: str, **sizes) -> DataFrame:
     """Stored predecessor of every archive pool: previous number of its season, else the last of the season before."""
     inside = neighbours(archive, [season], number, {"number": F.col(number)}, **sizes).drop("next_number")
+    # One row per season: a handful, whatever the number of pools.
     lasts = archive.groupBy(season).agg(F.max(number).alias("last_number"))
     linked = neighbours(lasts.withColumn("__g", F.lit(0)), ["__g"], season, {
         "last": F.struct(F.col(season).alias("season"), F.col("last_number").alias("number"))}, levels=0)

@@ -73,28 +73,34 @@ def keep_plausible(stream: DataFrame, key=("pool_id", "match_id"), order=("seq",
 
 
 def emit_complete(stream: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
-    """Pools stored as soon as their row and all their matches have arrived, each once.
+    """Pools stored as soon as their row and all their matches have arrived; the last version of each.
 
-    A micro-batch adds its entries to the stored ones and rebuilds only the pools it touches.
+    Entries are kept by kind. A micro-batch looks up the pools it touches, directly or through one of
+    their matches, and only the entries of those pools are reduced and joined.
     """
     spark = stream.sparkSession
     folder = workspace(spark, "complete")
     rows = X.entries(stream, body, seq)
-    schema = rows.schema
+
+    def stored(kind: str) -> DataFrame:
+        return spark.read.schema(f"{seq} bigint, id bigint, payload string, kind string").option("basePath", f"{folder}/entries").parquet(
+            f"{folder}/entries/batch=*/kind={kind}")
 
     def step(batch_rows: DataFrame, batch: int) -> None:
-        batch_rows.write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}")
-        stored = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/entries")
-        everything = X.accumulate(stored, seq)
-        pools = everything.where("kind = 'pool'")
-        members = X.pool_rows(everything).select(F.col("global_id").alias("id"), F.explode("match_ids").alias("match_id"))
-        fresh = batch_rows.select("kind", "id").distinct()
-        by_match = members.join(fresh.where("kind = 'match'").select(F.col("id").alias("match_id")), "match_id", "left_semi").select("id")
-        touched = fresh.where("kind = 'pool'").select("id").unionByName(by_match).distinct()
-        mine = members.join(touched, "id", "left_semi")
-        needed = (pools.join(touched, "id", "left_semi").unionByName(
-            everything.where("kind = 'match'").join(mine.select(F.col("match_id").alias("id")).distinct(), "id", "left_semi")
-            .select(*pools.columns)))
+        shaped = batch_rows.select(F.col(seq).cast("bigint").alias(seq), "id", "payload", "kind")
+        # Both kinds get a folder in every batch, so either may be missing from the frames.
+        for kind in ("pool", "match"):
+            shaped.where(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}/kind={kind}")
+        fresh = shaped.select("kind", "id").distinct()
+        pools = stored("pool").select(seq, "id", "payload", F.lit("pool").alias("kind"))
+        listed = X.pool_rows(pools).select(F.col("global_id").alias("id"), F.explode("match_ids").alias("match_id"))
+        arrived = fresh.where("kind = 'match'").select(F.col("id").alias("match_id"))
+        touched = (fresh.where("kind = 'pool'").select("id")
+                   .unionByName(listed.join(arrived, "match_id", "left_semi").select("id")).distinct())
+        mine = pools.join(touched, "id", "left_semi")
+        wanted = listed.join(touched, "id", "left_semi").select(F.col("match_id").alias("id")).distinct()
+        matches = stored("match").select(seq, "id", "payload", F.lit("match").alias("kind")).join(wanted, "id", "left_semi")
+        needed = X.accumulate(mine.unionByName(matches.select(*mine.columns)), seq)
         X.complete_pools(needed).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
 
     query = (rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
