@@ -38,7 +38,7 @@ def measures(spark, text):
 def test_measures(spark):
     m = measures(spark, "11N2211")
     assert (m.un, m.nul, m.deux, m.suiteUn, m.suiteDeux) == (4, 1, 2, 2, 2)
-    assert (m.alternances, m.symetries, m.diagonales, m.paires) == (3, 2, 1, 6)
+    assert (m.alternances, m.symetries, m.diagonales, m.paires) == (3, 2, 1, 5)
     assert [measures(spark, t).diagonales for t in ("1N2", "2N1", "1N2N1", "1NN2")] == [1, 1, 2, 0]
 
 
