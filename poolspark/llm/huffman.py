@@ -9,8 +9,8 @@ within its document); then the size of the index in 8 bytes. Code lengths are at
 all that ``code.npy`` holds: the codes follow from them. A block is decoded without its neighbours, and
 all blocks of a group are decoded side by side through one table of 2^16 entries.
 
-Counts cover all ids of all texts. Texts are encoded twice (to count, to write); the second time most
-units come from the cache of the worker. Between the two only Huffman bits are shuffled.
+Counts cover all ids of all texts. Texts are encoded once, into a compressed table of plain ids in the
+shared folder; it is read to count and to write, and then deleted. Only Huffman bits are shuffled.
 
 Defined results: a null or empty text has the end id alone; rows of equal document id stand in the order
 of their bits; a null document id comes first; an empty table gives an empty folder and no rows. Only the
@@ -20,6 +20,7 @@ key and text columns are read, so other columns do not matter.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -171,27 +172,40 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabular
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    plain = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "t"):
+            ids, size = encoded(batch, "t", tokenizer, end_id)
+            raw, edge = ids.astype(plain).tobytes(), plain.itemsize * np.append(0, np.cumsum(size))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([raw[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["k", "ids"])
+
+    table = os.path.join(path, "plain")
+    source.mapInArrow(encode, "k long, ids binary").write.option("compression", "zstd").parquet(f"file://{table}")
+    stored = spark.read.parquet(f"file://{table}")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for batch in W.pieces(batches, "t"):
-            total += np.bincount(encoded(batch, "t", tokenizer, end_id)[0], minlength=vocabulary)
+        for batch in batches:
+            total += np.bincount(W.texts(batch.column("ids"))[0].view(plain), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     # At most one row per id of the vocabulary comes back.
-    rows = source.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = stored.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in rows:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     codes = canonical(lengths)
     store.save(os.path.join(path, "code.npy"), lengths)
-    cuts = source.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] if parts > 1 else []
+    cuts = stored.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] if parts > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, "t"):
-            ids, size = encoded(batch, "t", tokenizer, end_id)
+        for batch in W.pieces(batches, "ids"):
+            raw, edge = W.texts(batch.column("ids"))
+            ids, size = raw.view(plain).astype(np.int64), np.diff(edge) // plain.itemsize
             data, byte_at, marks, blocks = pack_bits(ids, size, lengths, codes)
             raw, rooms = data.tobytes(), np.append(0, np.cumsum(blocks))
             k = batch.column("k")
@@ -223,9 +237,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabular
             n = int(sum(x.sum() for x in size))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n])], ["part", "n"])
 
-    dealt = (source.mapInArrow(squeeze, "part int, k long, n long, bits binary, marks binary").repartitionById(len(bounds) + 1, "part")
+    dealt = (stored.mapInArrow(squeeze, "part int, k long, n long, bits binary, marks binary").repartitionById(len(bounds) + 1, "part")
              .sortWithinPartitions("k", "bits"))
     done = dealt.mapInArrow(save, "part int, n long").collect()  # one row per file
+    shutil.rmtree(table)
     total = {r.part: r.n for r in done}
     order = np.array(sorted(total), np.int64)
     store.save(os.path.join(path, "parts.npy"), order)
