@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing a module registers its own."""
 
-from poolspark.llm import q_huffman, q_kneser_ney, q_langid, q_near_dups, q_pieces, q_scores, q_substrings  # noqa: F401
+from poolspark.llm import q_decontaminate, q_huffman, q_kneser_ney, q_langid, q_near_dups, q_pieces, q_scores, q_substrings  # noqa: F401
 from poolspark.llm.registry import ORACLES, QUERIES
 
 
