@@ -11,7 +11,7 @@ word for word are one node from the start, so copies make neither bands nor pair
 
 Within a band bucket not all pairs are made. Members are compared with a few leaders; links are verified
 by the exact Jaccard similarity of the sets; classes are the connected components of the links. While a bucket
-still holds members of different classes, it gets twice as many new leaders (members with most links first,
+still holds members of different classes, it gets eight times as many new leaders (members with most links first,
 for they are the middle of a family) and only pairs across classes are compared, until every bucket is of
 one class or all its members have led: then all pairs that could still join two classes have been compared.
 
@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolspark.llm import words as W
-from poolspark.session import cut_lineage
+from poolspark.llm.store import shared_folder
 
 U64 = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 LEADERS = 8
+GROWTH = 8
 _FAR = 4.0
 
 
@@ -158,63 +159,66 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, class) of all nodes of the links (a, b): the smallest node of the component."""
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+class Scratch:
+    """Tables of one run in the shared folder. Written once, read with their true size, so Spark broadcasts the small ones."""
+
+    def __init__(self, spark):
+        self.spark, self.folder, self.n = spark, shared_folder(spark, "near-duplicates"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"file://{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, class, links) of all nodes of the links (a, b): smallest node of the component, and how many links the node has."""
+    both = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class"), F.count("*").alias("links")))
     while True:
-        near = both.join(label.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("c"))
-        step = label.join(near, "node").select("node", F.least("class", "c").alias("next"), "class")
+        near = both.join(label.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("c"))
+        step = label.join(near, "node").select("node", F.least("class", "c").alias("next"), "class", "links")
         jump = label.select(F.col("node").alias("next"), F.col("class").alias("far"))
-        after = cut_lineage(step.join(jump, "next").select("node", F.least("next", "far").alias("next"), "class"))
-        label = after.select("node", F.col("next").alias("class"))
-        if after.where("next != class").isEmpty():
+        after = scratch.keep(step.join(jump, "next").select("node", F.least("next", "far").alias("class"), (F.least("next", "far") != F.col("class")).alias("moved"), "links"))
+        label = after.drop("moved")
+        if after.where("moved").isEmpty():
             return label
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id, class_size) of every row: ids of one class are linked by similarities of ``similarity`` or more."""
-    sketch = cut_lineage(sketches(docs, text, key))
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    sketch = scratch.keep(sketches(docs, text, key))
     nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
-    bucket = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bucket.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    member = cut_lineage(bucket.join(shared, "band").select("band", "node", "size"))
-    wanted = sketch.groupBy("node").agg(F.min("id").alias("id")).join(member.select("node").distinct(), "node", "left_semi")
-    sets = cut_lineage(shingle_sets(docs, wanted, text, key))
-    links = member.sparkSession.createDataFrame([], "a long, b long")
-    label, used, tested, leaders, first = None, None, None, LEADERS, True
+    bucket = nodes.select("node", "id", F.explode("bands").alias("band"))
+    shared = bucket.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id"))
+    sets = scratch.keep(shingle_sets(docs, member.select("id", "node").distinct(), text, key))
+    member = member.select("band", "node")
+    label = spark.createDataFrame([], "node long, class long, links long")
+    links = used = tested = None
+    leaders = LEADERS
     while True:
-        now = member if first else cut_lineage(_open(member, label))
-        rows = now.withColumn("class", F.col("node")).withColumn("links", F.lit(0)) if first else now
-        free = rows if first else rows.join(used, ["band", "node"], "left_anti")
+        rows = member.select("band", "node", F.col("node").alias("class"), F.lit(0).alias("links")) if links is None else scratch.keep(_open(member, label))
+        free = rows if used is None else rows.join(used, ["band", "node"], "left_anti")
         order = Window.partitionBy("band").orderBy(F.desc("links"), F.xxhash64("node"), "node")
-        lead = free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).select(
-            "band", F.col("node").alias("leader"), F.col("class").alias("leader_class"))
-        lead = cut_lineage(lead)
+        lead = scratch.keep(free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
+                            .select("band", F.col("node").alias("leader"), F.col("class").alias("leader_class")))
         pairs = (rows.join(lead, "band").where("class != leader_class")
                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-        if not first:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        led = lead.select("band", F.col("leader").alias("node"))
-        used = led if first else cut_lineage(used.union(led))
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if lead.isEmpty():
             break
-        if not pairs.isEmpty():
-            tested = pairs if first else cut_lineage(tested.union(pairs))
-            found = cut_lineage(verified(pairs, sets, similarity))
-            if not found.isEmpty():
-                links = found if first else cut_lineage(links.union(found))
-                label = components(links)
-        if label is None:
-            label = links.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        if tested is None:
-            tested = pairs
-        label = label.select("node", "class")
-        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-        label = cut_lineage(label.join(degree, "node", "left").select("node", "class", F.coalesce("links", F.lit(0)).alias("links")))
-        first, leaders = False, 2 * leaders
-    named = sketch.join(label, "node", "left").select("id", F.coalesce("class", "node").alias("c")) if label is not None else sketch.select("id", F.col("node").alias("c"))
+        led = lead.select("band", F.col("leader").alias("node"))
+        used, tested = (led, pairs) if used is None else (used.union(led), tested.union(pairs))
+        found = scratch.keep(verified(pairs, sets, similarity))
+        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            label = components(links, scratch)
+        leaders *= GROWTH
+    named = sketch.select("id", "node").join(label, "node", "left").select("id", F.coalesce("class", "node").alias("c"))
     sizes = named.groupBy("c").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     found = named.join(sizes, "c").select("id", "class_id", "class_size")
     rest = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(
@@ -232,7 +236,7 @@ def _open(member: DataFrame, label: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row of every class: the one with the smallest id; rows without id stay."""
     found = classes(docs, text, key, similarity)
-    dropped = cut_lineage(found.where("id != class_id").select(F.col("id").alias("__id")).distinct())
+    dropped = Scratch(docs.sparkSession).keep(found.where("id != class_id").select(F.col("id").alias("__id")).distinct())
     kept = docs.join(dropped, F.col(key).cast("long") == F.col("__id"), "left_anti")
     repeated = docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(F.col(key).alias("__again"))
     if repeated.isEmpty():
