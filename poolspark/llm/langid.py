@@ -40,7 +40,7 @@ LEXICON = 300
 BLOCK = 64
 UNDETERMINED = "und"
 OUTPUTS = ["lang_pred", "score", "runs"]
-_CACHE_LIMIT = 2_000_000
+_CACHE_LIMIT = 1_000_000
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:

@@ -9,9 +9,9 @@ long texts stop after one point per element, and a text whose registers are not
 125 registers in 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995. Texts that are equal
 word for word are one node from the start, so copies make neither bands nor pairs.
 
-Within a band bucket not all pairs are made. Members are compared with a few leaders; links are verified
+Within a band bucket not all pairs are made. Members are compared with a leader; links are verified
 by the exact Jaccard similarity of the sets; classes are the connected components of the links. While a bucket
-still holds members of different classes, it gets eight times as many new leaders (members with most links first,
+still holds members of different classes, it gets sixteen times as many new leaders (members with most links first,
 for they are the middle of a family) and only pairs across classes are compared, until every bucket is of
 one class or all its members have led: then all pairs that could still join two classes have been compared.
 
@@ -36,8 +36,8 @@ U64 = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-LEADERS = 8
-GROWTH = 8
+LEADERS = 1
+GROWTH = 16
 _FAR = 4.0
 
 

@@ -33,7 +33,7 @@ from poolspark.llm.units import UnitCache, cut_units, per_text
 
 _SPACE_MARK = 0x2581
 _GAP = W.byte_class(b" ")
-_BLOCK = 400_000  # characters indexed at once
+_BLOCK = 250_000  # characters indexed at once
 _LONG = 256  # units of more characters are joined with a heap, one by one
 _NONE = np.int32(2**31 - 1)
 _MODELS: dict[str, "Model"] = {}

@@ -19,7 +19,7 @@ Encoder = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class UnitCache:
-    def __init__(self, encode: Encoder, limit: int = 1_500_000):
+    def __init__(self, encode: Encoder, limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
