@@ -122,5 +122,6 @@ def payloads_naming(payloads: DataFrame, body: str, names: Sequence[str], minimu
             .withColumn("length", F.length(body)).orderBy(F.desc("length")))
 
 
-def largest_payloads(payloads: DataFrame, body: str, n: int = 15) -> DataFrame:
-    return payloads.withColumn("length", F.length(body)).orderBy(F.desc("length")).limit(n)
+def largest_payloads(payloads: DataFrame, body: str, key: str, n: int = 15) -> DataFrame:
+    """The ``n`` longest payloads; equal lengths by key."""
+    return payloads.withColumn("length", F.length(body)).orderBy(F.desc("length"), key).limit(n)

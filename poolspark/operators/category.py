@@ -20,10 +20,9 @@ def categorise(pools: DataFrame, matches: str = "matches", key=("pool_type", "po
 
     A pool of one competition takes its readable name unless too few matches are named.
     """
-    rules = C.FAMILY_RULES
     named = pools.select(*key, F.size(matches).cast("long").alias("n"),
                          F.transform(matches, lambda m: F.nullif(m["competition"], F.lit(""))).alias("codes"))
-    rows = named.withColumn("fams", F.array_compact(F.transform("codes", lambda c: C.family(c, rules))))
+    rows = named.withColumn("fams", F.array_compact(F.transform("codes", lambda c: C.family(c))))
     names = F.map_keys("precise")
     readable = F.transform_keys("precise", lambda k, _: C.readable(k))
     single = F.when(F.size(names) == 1, C.readable(names[0]))

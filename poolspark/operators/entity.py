@@ -263,12 +263,3 @@ def alias_coverage(aliases: DataFrame, refused: DataFrame) -> DataFrame:
 def most_useful(aliases: DataFrame, top: int = TOP) -> DataFrame:
     return aliases.orderBy(F.desc("appearances"), "folded").limit(top)
 
-
-def by_difflib(a: Column, b: Column) -> Column:
-    """Resemblance ratio of two columns, batch by batch."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
-
-    return ratio(a, b)

@@ -88,6 +88,6 @@ def payload_search(spark, sf):
 
 
 @query("largest_payloads", sql="""
-SELECT page_id, CAST(length(html) AS INT) AS length FROM pages ORDER BY length DESC LIMIT 15""")
+SELECT page_id, CAST(length(html) AS INT) AS length FROM pages ORDER BY length DESC, page_id LIMIT 15""")
 def largest(spark, sf):
-    return N.largest_payloads(V.table(spark, sf, "pages"), "html").select("page_id", "length")
+    return N.largest_payloads(V.table(spark, sf, "pages"), "html", "page_id").select("page_id", "length")
