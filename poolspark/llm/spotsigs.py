@@ -100,8 +100,8 @@ def _above(tops: DataFrame) -> DataFrame:
     from poolspark.scale import neighbours
 
     below = neighbours(tops, [], "__r", {"top": F.col("top")}, width=4096, levels=2).select("__r", "prev_top")
-    most = tops.agg(F.max("top").alias("most"))
-    return below.join(most, how="cross").select(F.coalesce("prev_top", "most").alias("top"), F.col("__r").alias("needed"))  # one row on one side
+    most = tops.agg(F.max("top")).scalar()
+    return below.select(F.coalesce(F.col("prev_top"), most).alias("top"), F.col("__r").alias("needed"))
 
 
 def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
