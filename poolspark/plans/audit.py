@@ -6,8 +6,12 @@ from poolspark.plans.registry import query
 from poolspark.sources import views as V
 
 
+#: Numbers taken out where missing numbers are what a query looks for.
+HOLES = "pool_id % 40 = 7 OR pool_id BETWEEN 1000 AND 1100"
+
+
 def page_pools(spark, sf):
-    """Page-form pools with faults injected by key; every 40th number of a type is missing."""
+    """All pools in page form, with faults injected by key."""
     pools = V.pools(spark, sf)
     match = """named_struct('home', if(m.mix % 113 = 0, ' ', m.home), 'away', m.away,
       'score_home', if(m.mix % 127 = 0, null, cast(m.score_home as bigint)), 'score_away', cast(m.score_away as bigint),
@@ -16,7 +20,7 @@ def page_pools(spark, sf):
       'tous_gagnants', if(m.code = '111', if(m.mix % 3 = 0, null, true), null), 'annulation_deduite_de', cast(null as string))"""
     reports = """transform(payouts, r -> named_struct('rang', cast(r.rank as string), 'nombre_gagnants', r.winners, 'montant', r.amount))"""
     paid = "aggregate(payouts, 0D, (a, r) -> a + r.winners * coalesce(r.amount, 0D))"
-    return pools.where("pool_id % 40 != 7 and not (pool_id between 1000 and 1100)").select(
+    return pools.select(
         F.when(F.col("pool_id") % 101 != 0, F.col("pool_id")).alias("grille_id"),
         F.concat(F.lit("grille"), F.col("pool_type").cast("string")).alias("grille_type"),
         F.when(F.col("pool_id") % 43 == 0, "annulee").otherwise("terminee").alias("statut"),
@@ -28,9 +32,12 @@ def page_pools(spark, sf):
         F.expr("if(pool_id % 59 = 0, array(named_struct('ligne', 1, 'motif', 'x', 'texte', 'y')), null)").alias("lignes_ignorees"))
 
 
+def holed_pools(spark, sf):
+    return page_pools(spark, sf).where(f"grille_id IS NULL OR NOT ({HOLES.replace('pool_id', 'grille_id')})")
+
+
 PAGE_SQL = V.POOLS_SQL + """,
-page AS (SELECT *, CASE WHEN pool_id % 101 <> 0 THEN pool_id END AS gid, 'grille' || pool_type AS gtype FROM pools
-  WHERE pool_id % 40 <> 7 AND NOT pool_id BETWEEN 1000 AND 1100),
+page AS (SELECT *, CASE WHEN pool_id % 101 <> 0 THEN pool_id END AS gid, 'grille' || pool_type AS gtype FROM pools),
 page_matches AS (
   SELECT l.pool_id, l.ord, g.gid, g.gtype, CASE WHEN mix % 113 = 0 THEN ' ' ELSE home END AS home, away,
     CASE WHEN mix % 127 = 0 THEN NULL ELSE score_home END AS sh, score_away AS sa,
@@ -89,14 +96,15 @@ def duplicate_contents(spark, sf):
     return A.duplicate_contents(rows.withColumn("grille_type", F.lit("grille7")))
 
 
-GAPS_SQL = PAGE_SQL + """,
+GAPS_SQL = PAGE_SQL + f""",
+holed AS (SELECT * FROM page WHERE gid IS NULL OR NOT ({HOLES})),
 runs AS (SELECT gtype, gid + 1 AS first_missing, nxt - 1 AS last_missing, nxt - gid - 1 AS length, nxt - gid - 1 <= 20 AS hole
-  FROM (SELECT gtype, gid, lead(gid) OVER (PARTITION BY gtype ORDER BY gid) AS nxt FROM page WHERE gid IS NOT NULL)
+  FROM (SELECT gtype, gid, lead(gid) OVER (PARTITION BY gtype ORDER BY gid) AS nxt FROM holed WHERE gid IS NOT NULL)
   WHERE nxt - gid > 1)"""
 
 
 def runs(spark, sf):
-    return A.gaps(page_pools(spark, sf).where("grille_id IS NOT NULL"), ["grille_type"], "grille_id")
+    return A.gaps(holed_pools(spark, sf).where("grille_id IS NOT NULL"), ["grille_type"], "grille_id")
 
 
 @query("id_gaps", ctes=GAPS_SQL, sql="SELECT gtype AS grille_type, first_missing, last_missing, length, hole FROM runs")
@@ -117,11 +125,11 @@ def missing_ids(spark, sf):
 
 
 @query("recollection_worklist", ctes=GAPS_SQL, sql="""
-SELECT gtype AS grille_type, gid AS grille_id, 'lignes écartées' AS reason FROM page WHERE pool_id % 59 = 0
-UNION ALL SELECT gtype, gid, 'mention d''annulation' FROM page WHERE pool_id % 53 = 0
+SELECT gtype AS grille_type, gid AS grille_id, 'lignes écartées' AS reason FROM holed WHERE pool_id % 59 = 0
+UNION ALL SELECT gtype, gid, 'mention d''annulation' FROM holed WHERE pool_id % 53 = 0
 UNION ALL SELECT gtype, unnest(range(first_missing, last_missing + 1)), 'trous' FROM runs WHERE hole""")
 def recollection(spark, sf):
-    return A.worklist(page_pools(spark, sf), A.missing_ids(runs(spark, sf), ["grille_type"]))
+    return A.worklist(holed_pools(spark, sf), A.missing_ids(runs(spark, sf), ["grille_type"]))
 
 
 @query("availability_windows", ctes=V.POOLS_SQL, sql="""
@@ -133,8 +141,8 @@ def availability(spark, sf):
 
 
 @query("audit_screen", ctes=PAGE_SQL, sql="""
-SELECT gtype AS grille_type, gid AS grille_id, what, ord FROM found WHERE gid IS NOT NULL
+SELECT gtype AS grille_type, gid AS grille_id, what, ord FROM found
 ORDER BY grille_type, grille_id, what, ord LIMIT 40""")
 def audit_screen(spark, sf):
-    rows = A.anomalies(page_pools(spark, sf)).drop("detail").where("grille_id IS NOT NULL")
-    return A.screen(rows, A.SCREEN_ANOMALIES, "grille_type", "grille_id", "what", F.asc_nulls_last("ord"))
+    rows = A.anomalies(page_pools(spark, sf)).drop("detail")
+    return A.screen(rows, A.SCREEN_ANOMALIES, "grille_type", F.asc_nulls_last("grille_id"), "what", F.asc_nulls_last("ord"))

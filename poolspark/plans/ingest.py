@@ -6,13 +6,16 @@ from poolspark.sources import views as V
 
 LOG_SQL = """
 log AS (
-  SELECT user_id % 3 AS pool_type, event_id AS id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'absent'
-    WHEN 'purchase' THEN 'present' ELSE 'success' END AS status,
+  SELECT user_id % 3 AS pool_type, event_id AS id, CASE WHEN event_id % 400 < 160 THEN 'absent' WHEN event_id % 400 < 240 THEN 'empty'
+    WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'absent' WHEN event_type = 'purchase' THEN 'present'
+    ELSE 'success' END AS status,
     CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id // 4 % 7 AS VARCHAR) END AS signature FROM events)"""
 
 
 def log(spark, sf):
-    status = (F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "absent")
+    """One entry per event; long stretches of absences and of empty answers among them."""
+    stretch = F.col("event_id") % 400
+    status = (F.when(stretch < 160, "absent").when(stretch < 240, "empty").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "absent")
               .when(F.col("event_type") == "purchase", "present").otherwise("success"))
     return V.table(spark, sf, "events").select(
         (F.col("user_id") % 3).alias("pool_type"), F.col("event_id").alias("id"), status.alias("status"),
@@ -31,7 +34,8 @@ seq AS (SELECT *, sum(CASE WHEN coalesce(signature = prev, FALSE) THEN 0 ELSE 1
 ident AS (SELECT *, row_number() OVER (PARTITION BY pool_type, run ORDER BY id) AS pos FROM seq),
 breaches AS (
   SELECT pool_type, 'error' AS rule, min(id) AS stop_at FROM {_run_sql('error')} WHERE pos >= 5 GROUP BY 1
-  UNION ALL SELECT pool_type, 'absent', min(id) FROM {_run_sql('absent')} WHERE pos >= 4 GROUP BY 1
+  UNION ALL SELECT pool_type, 'absent', min(id) FROM {_run_sql('absent')} WHERE pos >= 40 GROUP BY 1
+  UNION ALL SELECT pool_type, 'empty', min(id) FROM {_run_sql('empty')} WHERE pos >= 15 GROUP BY 1
   UNION ALL SELECT pool_type, 'identical', min(id) FROM ident WHERE pos >= 3 GROUP BY 1)"""
 
 
@@ -39,11 +43,11 @@ def breaches(spark, sf):
     rows = log(spark, sf)
     group = ["pool_type"]
     errors = I.first_breach(I.consecutive(rows, group, "id", "status", "error"), group, "id", I.STOP_ERRORS, "error")
-    # Forty absences in a row never happen in the log; four do.
-    absent = I.first_breach(I.consecutive(rows, group, "id", "status", "absent"), group, "id", 4, "absent")
+    absent = I.first_breach(I.consecutive(rows, group, "id", "status", "absent"), group, "id", I.STOP_ABSENT, "absent")
+    empty = I.first_breach(I.consecutive(rows, group, "id", "status", "empty"), group, "id", I.STOP_EMPTY, "empty")
     same = I.first_breach(I.repeated_payloads(rows.where("status = 'success'"), group, "id", "signature"), group, "id",
                           I.STOP_IDENTICAL, "identical")
-    return errors.unionByName(absent).unionByName(same)
+    return errors.unionByName(absent).unionByName(empty).unionByName(same)
 
 
 @query("resume_guard_runs", ctes=GUARD_SQL, sql="SELECT * FROM breaches")
@@ -87,12 +91,10 @@ def chain_predecessor(spark, sf):
 
 
 @query("predecessor_link", sql="""
-SELECT o_custkey AS page, arg_max(o_orderkey, CASE WHEN o_orderkey % 1000 < 500 THEN o_orderkey % 1000 + 10000 ELSE
-    CASE WHEN o_orderkey % 1000 <> 500 THEN o_orderkey % 1000 END END * 1000000000 + o_orderkey) AS previous
-FROM orders WHERE o_custkey % 1000 <> 500 GROUP BY 1""")
+SELECT o_custkey AS page, coalesce(max(o_orderkey) FILTER (o_orderkey < o_custkey * 40), max(o_orderkey) FILTER (o_orderkey <> o_custkey * 40))
+  AS previous FROM orders GROUP BY 1""")
 def predecessor_link(spark, sf):
-    # A page lists at most a thousand numbers; the newest address stands for each.
-    links = (V.table(spark, sf, "orders").where("o_custkey % 1000 != 500")
-             .groupBy("o_custkey", (F.col("o_orderkey") % 1000).alias("number")).agg(F.max("o_orderkey").alias("url"))
-             .groupBy("o_custkey").agg(F.collect_list(F.struct("url", "number")).alias("links")))
-    return links.select(F.col("o_custkey").alias("page"), I.predecessor(F.col("links"), F.lit(500)).alias("previous"))
+    # A customer's page lists its orders; the number looked from lies below, among or above them.
+    link = F.struct(F.col("o_orderkey").alias("url"), F.col("o_orderkey").alias("number"))
+    links = V.table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(link).alias("links"))
+    return links.select(F.col("o_custkey").alias("page"), I.predecessor(F.col("links"), F.col("o_custkey") * 40).alias("previous"))

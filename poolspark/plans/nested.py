@@ -18,7 +18,9 @@ def inventory(spark, sf):
 
 
 @query("population_split", sql="""
-SELECT user_id % 7 = 0 AS member, 'k' AS key, count(*) AS present, count(*) AS filled FROM events GROUP BY 1""")
+SELECT user_id % 7 = 0 AS member, key, count(*) AS present, count(*) FILTER (json_extract(props, '$.' || key) IS NOT NULL
+  AND CAST(json_extract(props, '$.' || key) AS VARCHAR) NOT IN ('null', '""', '[]', '{}')) AS filled
+FROM (SELECT user_id, props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2""")
 def population(spark, sf):
     members = V.table(spark, sf, "events").where("user_id % 7 = 0").select("user_id")
     return N.key_inventory(N.split_population(objects(spark, sf), members, ["user_id"]), by=["member"])
