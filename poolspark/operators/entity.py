@@ -22,7 +22,6 @@ TOP = 12
 CONFIRMATIONS = 2
 WINDOW_DAYS = 3
 LEAD = 3
-ROUNDS = 8
 BY_EXACT_DAY = "date_exacte"
 
 CHUNK = 2_000
@@ -37,7 +36,7 @@ def distinct_names(fixtures: DataFrame, order: Sequence[str], columns: Sequence[
         F.min_by("display", first).alias("display"), F.min(first).alias("first"))
 
 
-def _best(names: pd.DataFrame, known: pd.DataFrame) -> list[tuple]:
+def _best(names: pd.DataFrame, known: pd.DataFrame, order: Sequence[str]) -> list[tuple]:
     """Top candidates of every name within one block of the dictionary.
 
     The character overlap bounds the ratio from above; candidates are scored by falling bound until
@@ -50,7 +49,9 @@ def _best(names: pd.DataFrame, known: pd.DataFrame) -> list[tuple]:
         for char, n in Counter(text).items():
             counts[row, alphabet[char]] = n
     lengths = np.array([len(p) for p in plain])
-    first, folded, display = known["first"].tolist(), known["folded"].tolist(), known["display"].tolist()
+    folded, display = known["folded"].tolist(), known["display"].tolist()
+    values = list(zip(*[[None if pd.isna(v) else v for v in known[c]] for c in order]))
+    first = [tuple((v is not None, v if v is not None else 0) for v in row) for row in values]  # nulls first
     matchers = [SequenceMatcher(None, "", p) for p in plain]
     holders: dict[str, list[int]] = {}
     for row, listed in enumerate(known["words"]):
@@ -69,7 +70,7 @@ def _best(names: pd.DataFrame, known: pd.DataFrame) -> list[tuple]:
             shared[holders.get(word, [])] = True
         ceiling = bound + WORD_BONUS * shared
         possible = np.flatnonzero(shared | (bound >= SIMILARITY))
-        found: list[tuple[float, str, int]] = []  # (-score, first, row), best first
+        found: list[tuple[float, tuple, int]] = []  # (-score, first, row), best first
         for j in possible[np.argsort(-ceiling[possible], kind="stable")].tolist():
             if len(found) == TOP and ceiling[j] < -found[-1][0] - 1e-12:
                 break
@@ -78,7 +79,7 @@ def _best(names: pd.DataFrame, known: pd.DataFrame) -> list[tuple]:
             if shared[j] or ratio >= SIMILARITY:
                 insort(found, (-(ratio + (WORD_BONUS if shared[j] else 0)), first[j], j))
                 del found[TOP:]
-        out += [(name, folded[j], display[j], -score, f) for score, f, j in found]
+        out += [(name, folded[j], display[j], -score, *values[j]) for score, _, j in found]
     return out
 
 
@@ -89,10 +90,12 @@ def name_candidates(names: DataFrame, dictionary: DataFrame, *, chunk: int = CHU
     compared, block against block: every task holds one slice of the names and one chunk of the
     dictionary and returns at most twelve rows per name. Equal scores keep the dictionary order.
     """
+    fields = dictionary.schema["first"].dataType.fields
+    order = [F.col("first")[f.name].alias(f"__o{i}") for i, f in enumerate(fields)]
     prepared = names.select("name").distinct().select("name", T.strip_accents("name").alias("plain"), T.tokens("name").alias("words"))
-    known = dictionary.select("folded", "display", F.to_json(F.struct("first")).alias("__f"), "first",
+    known = dictionary.select("folded", "display", *order,
                               T.strip_accents("display").alias("plain"), T.tokens("display").alias("words"))
-    known = cut_lineage(known.drop("__f"))
+    known = cut_lineage(known)
     prepared = cut_lineage(prepared)
     chunks = max(1, -(-known.count() // chunk))
     slices = max(1, -(-prepared.count() // chunk), min(64, names.sparkSession.sparkContext.defaultParallelism))
@@ -100,20 +103,19 @@ def name_candidates(names: DataFrame, dictionary: DataFrame, *, chunk: int = CHU
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     right = known.withColumn("chunk", F.pmod(F.xxhash64("folded"), F.lit(chunks))).withColumn(
         "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    # The order of first appearance travels as one sortable text.
-    order = F.concat_ws("/", *[F.lpad(F.col(f"first.{f}").cast("string"), 24, "0")
-                               for f in dictionary.schema["first"].dataType.names])
-    right = right.withColumn("first", order)
+    # The order of first appearance travels as typed columns.
+    places = [f"__o{i}" for i in range(len(fields))]
+    typed = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(places, fields))
 
     def one_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = _best(a, b.reset_index(drop=True)) if len(a) and len(b) else []
-        return pd.DataFrame(rows, columns=["name", "folded", "display", "score", "first"])
+        rows = _best(a, b.reset_index(drop=True), places) if len(a) and len(b) else []
+        return pd.DataFrame(rows, columns=["name", "folded", "display", "score", *places])
 
     blocks = (left.repartition(slices * chunks, "slice", "chunk").groupBy("slice", "chunk")
               .cogroup(right.groupBy("slice", "chunk"))
-              .applyInPandas(one_block, "name string, folded string, display string, score double, first string"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "first"))
-    return blocks.withColumn("rank", rank).where(F.col("rank") <= TOP).drop("first")
+              .applyInPandas(one_block, f"name string, folded string, display string, score double, {typed}"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), *places))
+    return blocks.withColumn("rank", rank).where(F.col("rank") <= TOP).drop(*places)
 
 
 def contexts(matches: DataFrame, known: DataFrame, dated: DataFrame, key: Sequence[str], margin: int = WINDOW_DAYS) -> DataFrame:
@@ -220,14 +222,15 @@ def alias_rows(elected: DataFrame, via: str | None = None) -> DataFrame:
     return won.select("folded", "b.*", F.lit(via).cast("string").alias("via"))
 
 
-def alias_closure(matches: DataFrame, fixtures: DataFrame, seed: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def alias_closure(matches: DataFrame, fixtures: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Repeat the exact-day pass with the growing table until a round learns nothing; first value kept.
 
-    One small checkpointed table per round bounds the plan; at most ``rounds`` rounds.
+    One small checkpointed table per round bounds the plan. Every round but the last learns a name, so it ends.
     """
     matches, fixtures = cut_lineage(matches), cut_lineage(fixtures)
-    learnt, table = None, seed
-    for turn in range(1, rounds + 1):
+    learnt, table, turn = None, seed, 0
+    while True:
+        turn += 1
         found = alias_rows(elect_by_day(exact_day_votes(matches, fixtures, table)), BY_EXACT_DAY)
         fresh = found if learnt is None else found.join(learnt.select("folded"), "folded", "left_anti")
         fresh = cut_lineage(fresh.withColumn("round", F.lit(turn)))

@@ -66,6 +66,34 @@ def alias_votes(spark, sf):
     return E.elect_by_day(votes).select("name", "target", "confirmations", "appearances", "accepted")
 
 
+ELECTED_SQL = DAY_SQL + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY votes DESC, target) AS r FROM tally WHERE target IS NOT NULL),
+elected AS (
+  SELECT lower(replace(strip_accents(name), ' ', '')) AS folded, max(target) FILTER (r = 1) AS target, max(appearances) AS appearances,
+    max(votes) FILTER (r = 1) AS confirmations,
+    max(votes) FILTER (r = 1) >= 2 AND max(votes) FILTER (r = 1) >= 3 * coalesce(max(votes) FILTER (r = 2), 0) AS accepted
+  FROM placed WHERE r <= 2 GROUP BY name)"""
+
+
+def elected(spark, sf):
+    return E.elect_by_day(E.exact_day_votes(day_matches(spark, sf), renamed_fixtures(spark, sf)))
+
+
+@query("alias_coverage", ctes=ELECTED_SQL, sql="""
+SELECT count(*) FILTER (accepted) AS aliases, CAST(coalesce(sum(appearances) FILTER (accepted), 0) AS BIGINT) AS recovered,
+  count(*) FILTER (NOT accepted) AS refused, CAST(coalesce(sum(appearances) FILTER (NOT accepted), 0) AS BIGINT) AS lost FROM elected""")
+def alias_coverage(spark, sf):
+    rows = elected(spark, sf)
+    aliases = E.alias_rows(rows, E.BY_EXACT_DAY)
+    return E.alias_coverage(aliases, E.remaining_refusals(rows, aliases))
+
+
+@query("most_useful_aliases", ctes=ELECTED_SQL, sql="""
+SELECT folded, target, confirmations, appearances FROM elected WHERE accepted ORDER BY appearances DESC, folded LIMIT 12""")
+def most_useful_aliases(spark, sf):
+    return E.most_useful(E.alias_rows(elected(spark, sf))).select("folded", "target", "confirmations", "appearances")
+
+
 @query("alias_fixpoint")
 def alias_fixpoint(spark, sf):
     return E.alias_closure(day_matches(spark, sf), renamed_fixtures(spark, sf))
@@ -145,6 +173,6 @@ def _dictionary(spark, sf):
 @query("name_candidates")
 def name_candidates(spark, sf):
     """Corrupted spellings of all names against the names themselves."""
-    typed = F.concat_ws(" ", F.lit("FC"), "p_name", F.expr("substring(p_type, 1, 4)"), (F.col("p_size") + 1).cast("string"))
+    typed = F.concat_ws(" ", F.lit("FC"), "p_name", "p_type", (F.col("p_size") + 1).cast("string"))
     odd = V.table(spark, sf, "part").select(F.translate(typed, "eo", "éô").alias("name"))
     return E.name_candidates(odd, _dictionary(spark, sf))
