@@ -102,7 +102,7 @@ def bands(signature: np.ndarray, number: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, node, bands) of every row that has an id and words; node: hash of the sequence of words."""
+    """(id, node, size, bands) of every row that has an id and words; node: hash of the sequence of words, size: distinct shingles."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +114,10 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 continue
             key = bands(signatures(element, doc, count, len(texts)))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)), rows], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)),
+                                                pa.array(np.bincount(doc)), rows], ["id", "node", "size", "bands"])
 
-    return source.mapInArrow(run, "id long, node long, bands array<long>")
+    return source.mapInArrow(run, "id long, node long, size long, bands array<long>")
 
 
 def _distinct(element, doc):
@@ -191,22 +192,24 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sketch = scratch.keep(sketches(docs, text, key))
-    nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
-    bucket = nodes.select("node", "id", F.explode("bands").alias("band"))
-    shared = bucket.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id"))
+    nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min_by("bands", "id").alias("bands"))
+    bucket = nodes.select("node", "id", "size", F.explode("bands").alias("band"))
+    shared = bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id", "size"))
     sets = scratch.keep(shingle_sets(docs, member.select("id", "node").distinct(), text, key))
-    member = member.select("band", "node")
+    member = member.select("band", "node", "size")
+    # Sets whose sizes differ too much cannot be alike: exact, and known before any set is read.
+    fits = F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size") - 1e-9
     label = spark.createDataFrame([], "node long, class long, links long")
     links = used = tested = None
     leaders = LEADERS
     while True:
-        rows = member.select("band", "node", F.col("node").alias("class"), F.lit(0).alias("links")) if links is None else scratch.keep(_open(member, label))
+        rows = member.select("band", "node", "size", F.col("node").alias("class"), F.lit(0).alias("links")) if links is None else scratch.keep(_open(member, label))
         free = rows if used is None else rows.join(used, ["band", "node"], "left_anti")
         order = Window.partitionBy("band").orderBy(F.desc("links"), F.xxhash64("node"), "node")
         lead = scratch.keep(free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
-                            .select("band", F.col("node").alias("leader"), F.col("class").alias("leader_class")))
-        pairs = (rows.join(lead, "band").where("class != leader_class")
+                            .select("band", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("class").alias("leader_class")))
+        pairs = (rows.join(lead, "band").where((F.col("class") != F.col("leader_class")) & fits)
                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if lead.isEmpty():
@@ -228,7 +231,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
 
 def _open(member: DataFrame, label: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one class, with class and links."""
-    rows = member.join(label, "node", "left").select("band", "node", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = member.join(label, "node", "left").select("band", "node", "size", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     mixed = rows.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("band")
     return rows.join(mixed, "band", "left_semi")
 
