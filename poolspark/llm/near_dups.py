@@ -9,6 +9,10 @@ long texts stop after one point per element, and a text whose registers are not
 125 registers in 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995. Texts that are equal
 word for word are one node from the start, so copies make neither bands nor pairs.
 
+Every text also leaves a parity sketch: 512 bits, each set if an odd number of its elements fall on it. Two sketches
+differ in at most as many bits as the sets differ in elements, and a similarity bounds that number by the sizes. So the join
+of a bucket drops pairs that cannot be alike before any set is read, and loses none that is.
+
 Within a band bucket not all pairs are made. Members are compared with a leader; links are verified
 by the exact Jaccard similarity of the sets; classes are the connected components of the links. While a bucket
 still holds members of different classes, it gets sixteen times as many new leaders (members with most links first,
@@ -23,6 +27,8 @@ do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ BANDS, ROWS = 25, 5
 LEADERS = 1
 GROWTH = 16
 _FAR = 4.0
+PARITY = 8  # words of 64 bits that a set leaves as its parity sketch
+ODD = [f"odd{i}" for i in range(PARITY)]
 
 
 def shingles(batch_text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +109,19 @@ def bands(signature: np.ndarray, number: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
+def parities(element: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and n x PARITY words of the sets ``shingle_sets`` gives; elements ascending within each text."""
+    element = element >> U64(32)
+    new = np.concatenate([[True], (element[1:] != element[:-1]) | (doc[1:] != doc[:-1])])
+    element, doc = element[new], doc[new]
+    bits = 64 * PARITY
+    fallen = np.bincount(doc * bits + (W.mix(element) % U64(bits)).astype(np.int64), minlength=n * bits)
+    odd = (fallen & 1).astype(np.uint8).reshape(n, bits)
+    return np.bincount(doc, minlength=n), np.packbits(odd, axis=1).view(np.int64)
+
+
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, node, size, bands) of every row that has an id and words; node: hash of the sequence of words, size: distinct shingles."""
+    """(id, node, size, parity words, bands) of every row that has an id and words; node: hash of the sequence of words."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +133,12 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 continue
             key = bands(signatures(element, doc, count, len(texts)))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)),
-                                                pa.array(np.bincount(doc)), rows], ["id", "node", "size", "bands"])
+            size, parity = parities(element, doc, len(texts))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)), pa.array(size),
+                *[pa.array(np.ascontiguousarray(p)) for p in parity.T], rows], ["id", "node", "size", *ODD, "bands"])
 
-    return source.mapInArrow(run, "id long, node long, size long, bands array<long>")
+    return source.mapInArrow(run, f"id long, node long, size long, {', '.join(f'{p} long' for p in ODD)}, bands array<long>")
 
 
 def _distinct(element, doc):
@@ -192,23 +213,25 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sketch = scratch.keep(sketches(docs, text, key))
-    nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min_by("bands", "id").alias("bands"))
-    bucket = nodes.select("node", "id", "size", F.explode("bands").alias("band"))
+    nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("size", *ODD)], F.min_by("bands", "id").alias("bands"))
+    bucket = nodes.select("node", "id", "size", *ODD, F.explode("bands").alias("band"))
     shared = bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id", "size"))
+    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id", "size", *ODD))
     sets = scratch.keep(shingle_sets(docs, member.select("id", "node").distinct(), text, key))
-    member = member.select("band", "node", "size")
-    # Sets whose sizes differ too much cannot be alike: exact, and known before any set is read.
+    member = member.select("band", "node", "size", *ODD)
+    # Sets whose sizes or parities differ too much cannot be alike: exact, and known before any set is read.
     fits = F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size") - 1e-9
+    apart = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"leader_{p}"))) for p in ODD])
+    fits &= apart <= (F.col("size") + F.col("leader_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     label = spark.createDataFrame([], "node long, class long, links long")
     links = used = tested = None
     leaders = LEADERS
     while True:
-        rows = member.select("band", "node", "size", F.col("node").alias("class"), F.lit(0).alias("links")) if links is None else scratch.keep(_open(member, label))
+        rows = member.select("band", "node", "size", *ODD, F.col("node").alias("class"), F.lit(0).alias("links")) if links is None else scratch.keep(_open(member, label))
         free = rows if used is None else rows.join(used, ["band", "node"], "left_anti")
         order = Window.partitionBy("band").orderBy(F.desc("links"), F.xxhash64("node"), "node")
         lead = scratch.keep(free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
-                            .select("band", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("class").alias("leader_class")))
+                            .select("band", F.col("node").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in ("size", *ODD)], F.col("class").alias("leader_class")))
         pairs = (rows.join(lead, "band").where((F.col("class") != F.col("leader_class")) & fits)
                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -231,7 +254,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
 
 def _open(member: DataFrame, label: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one class, with class and links."""
-    rows = member.join(label, "node", "left").select("band", "node", "size", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = member.join(label, "node", "left").select("band", "node", "size", *ODD, F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     mixed = rows.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("band")
     return rows.join(mixed, "band", "left_semi")
 

@@ -269,6 +269,18 @@ def test_registers_agree_as_often_as_the_sets(prose):
     assert abs((x == y).mean() - len(p & q) / len(p | q)) < 0.04
 
 
+@pytest.mark.parametrize("shared", [0, 5, 200, 390, 400])
+def test_parities_differ_in_no_more_bits_than_the_sets_in_elements(shared):
+    rng = np.random.default_rng(shared)
+    pool = rng.choice(2**63, 800 - shared, replace=False).astype(np.uint64)
+    a, b = np.sort(pool[:400]), np.sort(pool[400 - shared:])
+    size, parity = near_dups.parities(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+    p, q = ({int(x) >> 32 for x in s} for s in (a, b))
+    bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in parity[0] ^ parity[1])
+    assert size.tolist() == [len(p), len(q)] and bits <= len(p ^ q)
+    assert parity.shape == (2, near_dups.PARITY) and (shared < 400 or bits == 0)
+
+
 def test_dedup_of_hard_rows(hard, empty):
     out = near_dups.deduplicate(hard)
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
