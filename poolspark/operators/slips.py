@@ -40,20 +40,36 @@ def enumeration_status(choices: str, cap: int = ENUMERATION_CAP) -> Column:
             .when(slip_count(choices) > cap, "refused").otherwise("listed"))
 
 
-def enumerate_slips(df: DataFrame, choices: str = "choices", cap: int = ENUMERATION_CAP, total: str = "total") -> DataFrame:
+def enumerate_slips(df: DataFrame, choices: str = "choices", cap: int = ENUMERATION_CAP, total: str = "total",
+                    first: int | None = None) -> DataFrame:
     """One row per slip, last match varying fastest: ``slip_ix``, ``picks`` and the pool's ``total``.
 
+    Pools with an empty set or too many slips give none; ``unlisted`` names them. ``first`` stops each pool early.
+
     Each index is decoded by mixed radix, so a pool is one generator and not an n-way product.
     """
     strides = (f"transform({choices}, (c, i) -> aggregate(slice({choices}, i + 2, size({choices})), 1L, "
                "(n, d) -> n * size(d)))")
     listed = (df.where(enumeration_status(choices, cap) == "listed")
               .withColumn("__strides", F.expr(strides)).withColumn(total, slip_count(choices)))
-    slips = listed.select("*", F.expr(f"explode(sequence(0L, {total} - 1))").alias("slip_ix"))
+    end = total if first is None else f"least({total}, {first}L)"
+    slips = listed.select("*", F.expr(f"explode(sequence(0L, {end} - 1))").alias("slip_ix"))
     picks = f"zip_with({choices}, __strides, (c, s) -> c[cast((slip_ix div s) % size(c) as int)])"
     return slips.withColumn("picks", F.expr(picks)).drop("__strides")
 
 
+def unlisted(df: DataFrame, key: Sequence[str], choices: str = "choices", cap: int = ENUMERATION_CAP) -> DataFrame:
+    """The pools ``enumerate_slips`` gives no slip for: ``status`` (``empty`` or ``refused``) and ``n_slips``."""
+    status = enumeration_status(choices, cap)
+    n = F.when(status == "empty", F.lit(0).cast("long")).otherwise(slip_count(choices))
+    return df.select(*key, status.alias("status"), n.alias("n_slips")).where("status != 'listed'")
+
+
+def preview(df: DataFrame, key: Sequence[str], choices: str = "choices", lines: int = PREVIEW) -> DataFrame:
+    """The first ``lines`` slips of every listed pool and how many it has; only these are generated."""
+    return enumerate_slips(df, choices, first=lines).select(*key, "slip_ix", to_text().alias("slip"), "total")
+
+
 def to_text(picks: str = "picks") -> Column:
     return F.expr(f"array_join(transform({picks}, p -> substring('{SIGNS}', p + 1, 1)), '')")
 
@@ -229,5 +245,5 @@ def reduction_summary(reduced: DataFrame, key: Sequence[str]) -> DataFrame:
     n = F.max("n_slips")
     return reduced.groupBy(*key).agg(
         F.max("status").alias("status"), kept.alias("kept"), n.alias("n_slips"),
-        (n - kept).alias("saved"), ((n - kept) / n).alias("saved_share"),
-        (F.max("covered") / n).alias("coverage"))
+        (n - kept).alias("saved"), F.try_divide(n - kept, n).alias("saved_share"),
+        F.try_divide(F.max("covered"), n).alias("coverage"))

@@ -54,12 +54,21 @@ def slip_count(spark, sf):
 
 
 @query("slip_enumerate", ctes=CHOICES_SQL, sql="""
-SELECT pool_id, count(*) AS slips, min(t) AS lowest, max(t) AS highest,
-  CAST(sum(slip_ix * (1 + strpos(t, '2'))) AS BIGINT) AS fingerprint FROM texts GROUP BY 1""")
+SELECT p.pool_id, CASE WHEN f.pool_id IS NULL THEN 'empty' WHEN total > 300000 THEN 'refused' ELSE 'listed' END AS status,
+  count(t) AS slips, min(t) AS lowest, max(t) AS highest, CAST(sum(slip_ix * (1 + strpos(t, '2'))) AS BIGINT) AS fingerprint
+FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id) LEFT JOIN texts USING (pool_id) GROUP BY 1, 2""")
 def slip_enumerate(spark, sf):
-    return slips(spark, sf).groupBy("pool_id").agg(
-        F.count("*").alias("slips"), F.min("t").alias("lowest"), F.max("t").alias("highest"),
+    listed = slips(spark, sf).groupBy("pool_id").agg(
+        F.lit("listed").alias("status"), F.count("*").alias("slips"), F.min("t").alias("lowest"), F.max("t").alias("highest"),
         F.sum(F.expr("slip_ix * (1 + instr(t, '2'))")).alias("fingerprint"))
+    others = S.unlisted(composed(spark, sf), ["pool_id"]).select("pool_id", "status", F.lit(0).cast("long").alias("slips"))
+    return listed.unionByName(others, allowMissingColumns=True)
+
+
+@query("slip_preview", ctes=CHOICES_SQL, sql="""
+SELECT pool_id, slip_ix, t AS slip, total FROM texts JOIN totals USING (pool_id) WHERE slip_ix < 40""")
+def slip_preview(spark, sf):
+    return S.preview(composed(spark, sf), ["pool_id"])
 
 
 MEASURES_SQL = """
@@ -160,7 +169,8 @@ def price_fallback(spark, sf):
 
 
 def _reduced(spark, sf):
-    return S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=5, total="total")
+    reduced = S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=5, total="total")
+    return reduced.unionByName(S.unlisted(composed(spark, sf), ["pool_id"]), allowMissingColumns=True)
 
 
 @query("covering_reduction")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from poolspark import schemas
@@ -22,7 +23,7 @@ BYTE_ORDER_MARKS = ["\u00ef\u00bb\u00bf", "\ufeff"]
 CUP_SOURCE = "cups"
 
 
-def lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def lookup(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A parquet lookup table, or an empty frame of its schema where it does not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -53,8 +54,13 @@ def archive_pools(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    """Captured socket frames, one per line, with a reading order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("body"))
+    """Captured socket frames, one per line, with ``seq``: file by age and name, then the place within the file.
+
+    The place is the start of the split and the row within it, so it does not depend on how files are packed into tasks.
+    """
+    seq = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"),
+                   F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(seq.alias("seq"), F.col("value").alias("body"))
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from poolspark.operators.matching import keep_last_plausible
 from poolspark.session import ensure_checkpoint_dir
+from poolspark.sources.readers import lookup
 from poolspark.streaming import frames as X
 
 
@@ -30,7 +32,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | No
     query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
              .option("checkpointLocation", f"{folder}/state").trigger(**(trigger or {"availableNow": True})).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return lookup(spark, f"{folder}/out", stream.schema)
 
 
 def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -48,7 +50,12 @@ def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame]
     query = (stream.writeStream.outputMode("update").foreachBatch(store)
              .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return merge(spark.read.parquet(f"{folder}/out").drop("part"))
+    return merge(_versions(spark, folder, stream.schema))
+
+
+def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Rows of all micro-batches with their batch number; an empty frame where no batch ran."""
+    return lookup(spark, f"{folder}/out", StructType(schema.fields + [StructField("batch", IntegerType())])).drop("part")
 
 
 def last_version(*key: str) -> Callable[[DataFrame], DataFrame]:
@@ -105,7 +112,8 @@ def emit_complete(stream: DataFrame, body: str = "body", seq: str = "seq") -> Da
 
     query = (rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return last_version("global_id")(spark.read.parquet(f"{folder}/out").drop("part"))
+    shape = spark.createDataFrame([], f"{seq} bigint, id bigint, payload string, kind string")
+    return last_version("global_id")(_versions(spark, folder, X.complete_pools(X.accumulate(shape, seq)).schema))
 
 
 def refresh_index(stream: DataFrame, build: Callable[[DataFrame], DataFrame], key: str = "pool_id") -> DataFrame:
@@ -118,7 +126,8 @@ def refresh_index(stream: DataFrame, build: Callable[[DataFrame], DataFrame], ke
 
     query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return last_version(key)(spark.read.parquet(f"{folder}/out").drop("part"))
+    shape = build(spark.createDataFrame([], stream.schema)).schema
+    return last_version(key)(_versions(spark, folder, shape))
 
 
 def activity(stream: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", *by: str) -> DataFrame:
