@@ -327,6 +327,40 @@ def test_planted_passages(spark, hard, empty, prose):
     assert decontaminate.matches(docs, benchmark.limit(0)).count() == 0
 
 
+def test_copies_whose_distinctive_words_are_edited(spark, prose):
+    rng = random.Random(8)
+    items, rows = [], []
+    for k in range(40):
+        words = prose(50, 500 + k).split()
+        own = rng.sample(range(50), 12)
+        for i in own:
+            words[i] = f"z{k}x{i}w"
+        items.append((k, " ".join(words)))
+        for i in own:
+            words[i] = words[i][:-1] + "v"
+        rows.append((k, prose(30, k) + " " + " ".join(words) + " " + prose(30, 90 + k)))
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(docs, benchmark).collect()}
+    assert got == {(k, k): 12 for k in range(40)}
+
+
+def test_recall_of_copies_edited_to_the_limit(spark, prose):
+    rng = random.Random(9)
+    items, rows = [(k, prose(45, 700 + k)) for k in range(150)], []
+    for k, t in items:
+        own = list(t)
+        for _ in range(len(t) // 10):
+            at = rng.randrange(len(own))
+            own[at:at + 1] = rng.choice([["q"], [], ["q", own[at]]])
+        rows.append((k, prose(20, k) + " " + "".join(own) + " " + prose(20, 90 + k)))
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
+    assert got <= {(k, k) for k, _ in items} and len(got) >= decontaminate.RECALL * len(items)
+    # Without sampling every copy within the limit is found.
+    everything = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark, recall=1.1).collect()}
+    assert everything == {(k, k) for k, _ in items}
+
+
 # Operator 3.
 
 def test_next_rows_and_edited_texts(spark, hard, empty):
