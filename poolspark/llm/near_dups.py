@@ -6,7 +6,9 @@ and a register keeps the element of its earliest point. Two texts agree in a reg
 Jaccard of their weighted sets. Points later than the time by which all registers are full cannot matter, so
 long texts stop after one point per element, and a text whose registers are not yet full goes on.
 
-125 registers in 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995. Texts that are equal
+125 registers in 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995. Links are judged by the plain sets, and
+where one text repeats an element more often than the other, the weighted sets can be far less alike than those. So every text
+has the bands of its plain set (all weights 1) too; they differ only in texts that repeat an element. Texts that are equal
 word for word are one node from the start, so copies make neither bands nor pairs.
 
 Every text also leaves a parity sketch: 512 bits, each set if an odd number of its elements fall on it. Two sketches
@@ -109,6 +111,20 @@ def bands(signature: np.ndarray, number: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
+def band_keys(element: np.ndarray, doc: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, keys): the different bands of each text, of its plain and of its weighted set."""
+    plain = bands(signatures(element, doc, np.ones(len(element)), n))
+    again = np.unique(doc[count > 1])
+    own = np.isin(doc, again)
+    weighted = bands(signatures(element[own], np.searchsorted(again, doc[own]), count[own], len(again)))
+    # A band of the same number that is equal is held once.
+    new = weighted != plain[again]
+    text = np.concatenate([np.repeat(np.arange(n), BANDS), np.repeat(again, new.sum(1))])
+    order = np.argsort(text, kind="stable")
+    key = np.concatenate([plain.ravel(), weighted[new]])[order]
+    return np.searchsorted(text[order], np.arange(n + 1)), key
+
+
 def parities(element: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and n x PARITY words of the sets ``shingle_sets`` gives; elements ascending within each text."""
     element = element >> U64(32)
@@ -131,8 +147,8 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             texts, doc = np.unique(doc, return_inverse=True)
             if not len(texts):
                 continue
-            key = bands(signatures(element, doc, count, len(texts)))
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
+            edge, key = band_keys(element, doc, count, len(texts))
+            rows = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(key.view(np.int64)))
             size, parity = parities(element, doc, len(texts))
             yield pa.RecordBatch.from_arrays([
                 batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)), pa.array(size),

@@ -260,6 +260,24 @@ def test_classes_equal_brute_force(spark, prose):
     assert {r.id: r.class_id for r in out} == {i: root(i) for i in range(len(texts))}
 
 
+def test_links_of_texts_that_repeat_unequally(spark, prose):
+    pairs = []
+    for k in range(40):
+        base, line = prose(200, 1000 + k).split(), prose(50, 2000 + k)
+        other = base[:185] + prose(15, 3000 + k).split()
+        pairs.append((" ".join(base) + (" " + line) * 50, " ".join(other) + " " + line))
+    texts = [t for p in pairs for t in p]
+
+    def plain(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    links = [k for k, (a, b) in enumerate(pairs) if len(plain(a) & plain(b)) >= 0.8 * len(plain(a) | plain(b))]
+    assert len(links) == 40
+    out = near_dups.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in out} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_registers_agree_as_often_as_the_sets(prose):
     a, b = prose(400, 1), " ".join(prose(400, 1).split()[:350] + prose(50, 2).split())
     element, doc, _ = near_dups.shingles(pa.array([a, b]))
