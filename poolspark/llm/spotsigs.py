@@ -2,12 +2,14 @@
 
 A signature is an anchor (a very common word) with the chain of up to two content words that follow it
 before the next anchor. Where no anchor comes for long, every ``RUN`` further content words make a signature of
-their own, so that lists and tables have some. A text without any signature falls back to its words. A fingerprint holds how many different signatures the text has and the ``KEPT``
-smallest of their hashes, so its size is bounded and equal texts have equal fingerprints.
+their own, so that lists and tables have some. A text without any signature falls back to its words. A fingerprint holds how many different signatures the text has and
+all of their hashes in ascending order, so equal texts have equal fingerprints and different sets different ones.
 
-Likeness is the Jaccard similarity of the signature sets: exact while both fit, else over the smallest
-``KEPT`` hashes of the union. It is pruned by length first: sets of sizes a <= b reach a / b at most, so
-where that is below ``least`` nothing is intersected and the bound itself is returned.
+Likeness is the Jaccard similarity of the whole signature sets. It is pruned by length first: sets of sizes a <= b reach
+a / b at most, so where that is below ``least`` nothing is intersected and the bound itself is returned.
+
+``alike`` is the join: sets are partitioned by length, so that a set meets only partitions whose lengths can reach
+``least``, and are compared where their rarest signatures (as many as a pair that is alike must share one of) meet.
 
 ``with_next`` pairs every row with the next one in descending order of id without a window over the whole
 table: rows are dealt by id range, and the largest id of each range is sent to the range above as well.
@@ -31,7 +33,6 @@ ANCHORS = ("the of and to in is that for it as was with on be by at this from or
            "el los las y que de una por con para su se del lo como").split()
 CHAIN = 2
 RUN = 4
-KEPT = 128
 
 
 def _pattern() -> str:
@@ -50,25 +51,54 @@ def signatures(text: Column) -> Column:
 
 
 def fingerprint(sigs: Column) -> Column:
-    """(n, kept): number of different signatures, and the smallest of their hashes in ascending order."""
+    """(n, kept): number of different signatures, and their hashes in ascending order."""
     hashes = F.array_sort(F.array_distinct(F.transform(sigs, lambda s: F.xxhash64(s))))
-    return F.struct(F.size(hashes).alias("n"), F.slice(hashes, 1, KEPT).alias("kept"))
+    return F.struct(F.size(hashes).alias("n"), hashes.alias("kept"))
 
 
 def as_text(print_: Column) -> Column:
-    """Number of signatures and the kept hashes in hexadecimal."""
+    """Number of signatures and their hashes in hexadecimal."""
     return F.concat_ws(":", print_["n"].cast("string"), F.array_join(F.transform(print_["kept"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     """Jaccard similarity of two fingerprints (0 to 1), pruned where their lengths rule out ``least``."""
     bound = F.least(a["n"], b["n"]) / F.greatest(a["n"], b["n"])
-    union = F.slice(F.array_sort(F.array_union(a["kept"], b["kept"])), 1, KEPT)
-    whole = (a["n"] <= KEPT) & (b["n"] <= KEPT)
-    union = F.when(whole, F.array_union(a["kept"], b["kept"])).otherwise(union)
-    common = F.size(F.array_intersect(union, F.array_intersect(a["kept"], b["kept"])))
+    common = F.size(F.array_intersect(a["kept"], b["kept"]))
     return (F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0))
-            .when(bound < least, bound).otherwise(F.least(bound, common / F.size(union))))
+            .when(bound < least, bound).otherwise(common / (a["n"] + b["n"] - common)))
+
+
+def alike(docs: DataFrame, least: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(a, b, likeness) of all pairs of different sets that reach ``least`` (between 0 and 1, both excluded).
+
+    Rows of equal sets stand under the smallest id among them, so copies make no pairs; rows without id are left out.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "alike")
+
+    def keep(df, name):
+        df.write.parquet(f"file://{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"file://{folder}/{name}")
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), fingerprint(signatures(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("print"))
+    sets = keep(rows.groupBy("print").agg(F.min("id").alias("id")).where("print.n > 0").select("id", "print"), "sets")
+    part = lambda n: F.floor(F.log(n) / F.log(F.lit(1 / least))).cast("int")
+    single = sets.select("id", F.col("print.n").alias("n"), F.explode("print.kept").alias("sig"))
+    often = single.groupBy("sig").agg(F.count("*").alias("often"))
+    # Rarest first; two sets that are alike share one of their first n - least * n + 1 signatures.
+    ranked = single.join(often, "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("s"))
+    first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    heads = keep(ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), first)).alias("s")).select("id", "n", "s.sig"), "heads")
+    short = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.sequence(part(F.col("n")), part(F.floor(F.col("n") / least + 1e-9)))).alias("part"))
+    long = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", part(F.col("n")).alias("part"))
+    later = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = short.join(long, ["sig", "part"]).where(later & (F.col("na") >= F.col("nb") * least - 1e-9)).select("a", "b").distinct()
+    sides = [sets.select(F.col("id").alias(c), F.col("print").alias(f"print_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("print_a"), F.col("print_b"), least).alias("likeness")).where(
+        F.col("likeness") >= least - 1e-9)
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", order: str = "text") -> DataFrame:

@@ -400,6 +400,35 @@ def test_likeness_is_the_jaccard_similarity(spark):
     assert len({r[0] for r in df.limit(1).select(F.explode(F.array(spotsigs.as_text(a), spotsigs.as_text(b)))).collect()}) == 1
 
 
+def test_likeness_of_long_texts_is_exact(spark):
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(" ".join(words[:n]), " ".join(words[a:b])) for n, a, b in ((1000, 0, 999), (1000, 3, 1000), (1200, 700, 1400), (500, 400, 1500), (1500, 0, 1500))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    prints = [spotsigs.fingerprint(F.split(c, " ")) for c in "ab"]
+    got = df.select(spotsigs.likeness(*prints), *[spotsigs.as_text(p) for p in prints]).collect()
+    for (a, b), (near, own, other) in zip(rows, got):
+        p, q = set(a.split()), set(b.split())
+        assert near == pytest.approx(len(p & q) / len(p | q), abs=1e-12) and (own == other) == (p == q)
+
+
+def test_pairs_that_are_alike_equal_brute_force(spark, hard, empty):
+    rng, rows = random.Random(12), []
+    for k in range(30):
+        own = [f"the c{rng.randrange(40)} d{rng.randrange(3)}" for _ in range(rng.randint(5, 60))]
+        rows += [(4 * k + i, " ".join(x for x in own if rng.random() > 0.1 * i)) for i in range(4)]
+    rows += [(900, rows[4][1]), (901, None), (902, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {}
+    for r in docs.where("doc_id is not null").select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect():
+        if r.s:
+            sets[frozenset(r.s)] = min(r.doc_id, sets.get(frozenset(r.s), r.doc_id))
+    for least in (0.3, 0.5, 0.8):
+        want = {(min(i, j), max(i, j)): len(p & q) / len(p | q) for p, i in sets.items() for q, j in sets.items() if i != j and len(p & q) >= least * len(p | q) - 1e-9}
+        got = spotsigs.alike(docs, least).collect()
+        assert len(got) == len(want) > 20 and {(r.a, r.b): r.likeness for r in got} == pytest.approx(want)
+    assert spotsigs.alike(empty).count() == 0 and spotsigs.alike(hard).count() >= 0
+
+
 def test_crc_is_that_of_zlib(spark):
     from poolspark.llm.q_kneser_ney import remainder
 
