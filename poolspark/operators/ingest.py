@@ -83,6 +83,14 @@ def predecessor(links: Column, number: Column) -> Column:
     return F.when(F.size(before) > 0, best(before)).otherwise(best(others))
 
 
+def page_predecessor(links: DataFrame, page: Sequence[str], url: str, number: str, wanted: str, out: str = "previous") -> DataFrame:
+    """The rule of ``predecessor`` over one row per link, ``wanted`` being the number of its page; no page is held as a whole."""
+    link = F.struct(F.col(number).alias("number"), F.col(url).alias("url"))
+    before = F.max(F.when(F.col(number) < F.col(wanted), link))
+    others = F.max(F.when(F.col(number) != F.col(wanted), link))
+    return links.groupBy(*page).agg(F.coalesce(before, others)["url"].alias(out))
+
+
 def chain_predecessors(archive: DataFrame, season: str, number: str, **sizes) -> DataFrame:
     """Stored predecessor of every archive pool: previous number of its season, else the last of the season before."""
     inside = neighbours(archive, [season], number, {"number": F.col(number)}, **sizes).drop("next_number")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from poolspark import scale as S
 from poolspark.operators import dating as D
+from poolspark.operators import ingest as I
 from poolspark.operators import resample as B
+from poolspark.plans.ingest import predecessor_link
 
 
 def _rows(spark, n=400, seed=3):
@@ -99,3 +101,21 @@ def test_chronology_matches_the_quadratic_rule(spark):
     for sizes in ({}, {"width": 10, "levels": 2}):
         got = D.chronological(df, ["g"], "id", "day", **sizes).where("kept").collect()
         assert {g: {(r.id - 1) // 3 for r in got if r.g == g} for g in expected} == expected
+
+
+def test_predecessor_of_a_page_is_that_of_its_array(spark):
+    rng = random.Random(6)
+    rows = [(p, f"u{rng.randrange(50)}", rng.choice([None, *range(8)]), p % 9) for p in range(60) for _ in range(rng.randint(1, 5))]
+    links = spark.createDataFrame(rows, "page int, url string, number int, wanted int")
+    arrays = links.groupBy("page", "wanted").agg(F.collect_list(F.struct("url", "number")).alias("links"))
+    want = {r.page: r.previous for r in arrays.select("page", I.predecessor(F.col("links"), F.col("wanted")).alias("previous")).collect()}
+    got = {r.page: r.previous for r in I.page_predecessor(links, ["page"], "url", "number", "wanted").collect()}
+    assert got == want and len(set(got.values())) > 5
+
+
+def test_predecessor_query_holds_no_page_as_an_array(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3) for i in range(300)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    out = predecessor_link(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert {r.page: r.previous for r in out.collect()} == {0: 297, 1: 37, 2: 77}
