@@ -194,11 +194,20 @@ def positional(spark, sf):
 SELECT pool_id, string_agg(home || '-' || away, ' · ' ORDER BY ord) AS lines FROM legs
 WHERE pool_id IN (SELECT pool_id FROM legs GROUP BY 1 HAVING count(DISTINCT part % 211) = count(*)) GROUP BY 1""")
 def fuzzy_completion(spark, sf):
+    return completed(V.pools(spark, sf).where("size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)"))
+
+
+@query("fuzzy_completion_all")
+def fuzzy_completion_all(spark, sf):
+    # Also pools in which a team number repeats, so that a line has twins; the SQL above has no twin rule.
+    return completed(V.pools(spark, sf))
+
+
+def completed(pools):
     # A price table missing every other match, completed and ordered by the full list.
     names = "named_struct('home', concat('Equipe', m.part % 211), 'away', m.away, 'cotes', array(m.p1, m.px, m.p2))"
     listed = f"transform(matches, m -> {names})"
-    rows = V.pools(spark, sf).where(
-        "size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)").select(
+    rows = pools.select(
         "pool_id", F.expr(listed).alias("listing"),
         F.expr(f"reverse(filter({listed}, (x, i) -> i % 2 = 0))").alias("table"))
     done = rows.select("pool_id", J.complete_lines(F.col("table"), F.col("listing")).alias("done"))

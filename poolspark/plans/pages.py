@@ -53,9 +53,17 @@ SELECT pool_id, string_agg('Equipe' || (part % 211) || '-' || away || '@' || CAS
 FROM (SELECT *, pool_id % 6 <> 0 AND (pool_id % 6 <> 1 OR ord % 2 = 0) AS seen FROM legs
   WHERE pool_id IN (SELECT pool_id FROM legs GROUP BY 1 HAVING count(DISTINCT part % 211) = count(*))) GROUP BY 1""")
 def price_pages(spark, sf):
-    pages = V.pools(spark, sf).where("size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)").select(
-        "pool_id", F.expr(PRICE_HTML).alias("html"))
-    rows = H.price_page(pages)
+    return price_lines(V.pools(spark, sf).where("size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)"))
+
+
+@query("price_page_extract_all")
+def price_pages_all(spark, sf):
+    # Also pools in which a team number repeats, so that a line has twins; the SQL above has no twin rule.
+    return price_lines(V.pools(spark, sf))
+
+
+def price_lines(pools):
+    rows = H.price_page(pools.select("pool_id", F.expr(PRICE_HTML).alias("html")))
     return rows.select("pool_id", F.expr(
         """array_join(transform(lines, l -> concat(l.home, '-', l.away, '@', coalesce(l.debut, ''), '=', if(l.cotes is null, '', 'x'),
         coalesce(concat(l.score[0], ':', l.score[1]), ''))), ' | ')""").alias("lines"),

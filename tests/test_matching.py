@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -179,3 +181,43 @@ def test_window_confirmation(spark):
     cands = spark.createDataFrame([("Barcelone", "barcelona", "Barcelona", 1)], "name string, folded string, display string, rank int")
     got = E.elect_by_window(context, E.window_votes(context, cands, fx)).first()
     assert (got.target, got.confirmations, got.appearances, got.accepted) == ("barcelona", 2, 2, True)
+
+
+def _twins(a, b):
+    words = [[{w for w in re.split("[^a-z0-9]+", x.lower()) if len(w) >= 4} for x in line[:2]] for line in (a, b)]
+    return all(p & q or not (p and q) for p, q in zip(*words))
+
+
+def _completed(table, listing):
+    """The rule, line by line: (home, away, ...)."""
+    if len(listing) <= len(table):
+        return table
+    lines = list(table)
+    for entry in listing:
+        if not any(_twins(x, entry) for x in lines):
+            lines.append(entry)
+    place = {x[:2]: i for i, x in enumerate(listing)}
+    return sorted(lines, key=lambda x: next((i for pair, i in place.items() if _twins(x, pair)), len(listing)))
+
+
+def test_pools_with_repeated_teams_are_completed_too(spark, monkeypatch):
+    from poolspark.plans import matching as plan, pages
+
+    rng, pools = random.Random(2), {}
+    for k in range(60):
+        pools[k] = [(i + 1, "2020-01-%02d" % (i + 1), "Club %d" % rng.randrange(3), rng.choice([None, i]), 1, rng.choice([None, 1.5]), 2.5, 3.25, rng.randrange(6))
+                    for i in range(rng.randint(3, 9))]
+    matches = "array<struct<line:int,kickoff:string,away:string,score_home:int,score_away:int,p1:double,px:double,p2:double,part:int>>"
+    frame = spark.createDataFrame(list(pools.items()), f"pool_id int, matches {matches}")
+    monkeypatch.setattr(pages.V, "pools", lambda *_: frame)
+
+    fuzzy, priced = {}, {}
+    for k, rows in pools.items():
+        bare = [(f"Equipe{m[8]}", m[2], "@=") for m in rows]
+        full = [(h, a, f"@{m[1]} 13:55:00=" + ("x" if m[5] else "") + (f"{m[3]}:{m[4]}" if m[3] is not None else ""), m[5] and m[5] + m[6] * 2 + m[7] * 3)
+                for m, (h, a, _) in zip(rows, bare)]
+        fuzzy[k] = " · ".join(f"{h.replace('Equipe', 'Équipe ')}-{a}" for h, a, _ in _completed(bare[::2][::-1], bare))
+        done = _completed([] if k % 6 == 0 else full[::2] if k % 6 == 1 else full, bare)
+        priced[k] = (" | ".join(f"{x[0]}-{x[1]}{x[2]}" for x in done), sum(x[3] or 0 for x in done if len(x) > 3))
+    assert {r.pool_id: r.lines for r in plan.fuzzy_completion_all(spark, "").collect()} == fuzzy
+    assert {r.pool_id: (r.lines, r.price_sum) for r in pages.price_pages_all(spark, "").collect()} == priced
