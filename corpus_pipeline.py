@@ -2,7 +2,7 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)) and is judged on its own input; every stage but the last
 returns the columns of ``documents``. ``run`` writes each stage's rows as Parquet to the shared folder and reads
-them again, so a lost executor costs one stage at most. Rows whose id is null are kept by every filter.
+them again, so a lost executor costs one stage at most. Rows whose id is null are never dropped as near-duplicates.
 """
 
 from __future__ import annotations

@@ -368,6 +368,9 @@ def _candidates(data, offsets, doc, which, begin, own) -> np.ndarray:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` without any item; rows without id are kept."""
-    bad = matches(docs, benchmark, share, recall, text, key).select(F.col(key).alias("__id")).distinct()
-    return docs.join(bad, F.col(key) == F.col("__id"), "left_anti")
+    """Rows of ``docs`` without any item. A decision holds for one id (or none) with one text, so other texts of the id stay."""
+    own = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text"))
+    rows = docs.select(own.alias("__row"), F.col(text).alias("__text"))
+    bad = matches(rows, benchmark.withColumnRenamed(text, "__text"), share, recall, "__text", "__row").select("__row").distinct()
+    same = own["id"].eqNullSafe(F.col("__row.id")) & (own["text"] == F.col("__row.text"))
+    return docs.join(bad, same, "left_anti")

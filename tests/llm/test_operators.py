@@ -379,6 +379,13 @@ def test_recall_of_copies_edited_to_the_limit(spark, prose):
     assert everything == {(k, k) for k, _ in items}
 
 
+def test_only_the_contaminated_rows_of_an_id_go(spark, prose):
+    item, other = prose(40, 61), prose(60, 62)
+    rows = [(1, item), (1, other), (2, prose(10, 63) + " " + item), (3, other), (None, item), (None, other), (4, None)]
+    out = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, other), (3, other), (None, other), (4, None)], key=str)
+
+
 # Operator 3.
 
 def test_next_rows_and_edited_texts(spark, hard, empty):
