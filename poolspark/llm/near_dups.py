@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolspark.llm import words as W
-from poolspark.llm.store import shared_folder
+from poolspark.llm.store import fresh, shared_folder
 
 U64 = np.uint64
 SHINGLE = 5
@@ -47,6 +47,8 @@ BANDS, ROWS = 25, 5
 LEADERS = 1
 GROWTH = 16
 _FAR = 4.0
+_TEXTS = 256
+_PIECE = 1 << 20  # bytes of text worked on at once: a task's arrays take some thirty times as much
 PARITY = 8  # words of 64 bits that a set leaves as its parity sketch
 ODD = [f"odd{i}" for i in range(PARITY)]
 
@@ -72,7 +74,19 @@ def shingles(batch_text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
 
 
 def signatures(element: np.ndarray, doc: np.ndarray, count: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
-    """n x registers: the element that holds each register; distinct elements per text, each text with one at least."""
+    """n x registers: the element that holds each register; distinct elements per text, each text with one at least.
+
+    A text makes some thousand points however short it is, so texts are taken ``_TEXTS`` at a time.
+    """
+    out = np.zeros((n, registers), U64)
+    edge = np.searchsorted(doc, np.arange(0, n + _TEXTS, _TEXTS))
+    for i, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        at = i * _TEXTS
+        out[at:at + _TEXTS] = _signatures(element[lo:hi], doc[lo:hi] - at, count[lo:hi], min(_TEXTS, n - at), registers)
+    return out
+
+
+def _signatures(element: np.ndarray, doc: np.ndarray, count: np.ndarray, n: int, registers: int) -> np.ndarray:
     weight = 1.0 + np.log(count)
     total = np.bincount(doc, weights=weight, minlength=n)
     horizon = registers / np.maximum(total, 1e-9) * (np.log(registers) + _FAR)
@@ -137,11 +151,11 @@ def parities(element: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, node, size, parity words, bands) of every row that has an id and words; node: hash of the sequence of words."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
+    """(id, text_hash, node, size, parity words, bands) of every row that has an id and words; node: hash of the sequence of words."""
+    source = _source(docs, text, key).where("id is not null").withColumn("text_hash", F.xxhash64("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, "t"):
+        for batch in W.pieces(batches, "t", _PIECE):
             element, doc, whole = shingles(batch.column("t"))
             element, doc, count = _distinct(element, doc)
             texts, doc = np.unique(doc, return_inverse=True)
@@ -151,10 +165,15 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             rows = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(key.view(np.int64)))
             size, parity = parities(element, doc, len(texts))
             yield pa.RecordBatch.from_arrays([
-                batch.column("id").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)), pa.array(size),
-                *[pa.array(np.ascontiguousarray(p)) for p in parity.T], rows], ["id", "node", "size", *ODD, "bands"])
+                batch.column("id").take(pa.array(texts)), batch.column("text_hash").take(pa.array(texts)), pa.array(whole[texts].view(np.int64)),
+                pa.array(size), *[pa.array(np.ascontiguousarray(p)) for p in parity.T], rows], ["id", "text_hash", "node", "size", *ODD, "bands"])
+
+    return source.mapInArrow(run, f"id long, text_hash long, node long, size long, {', '.join(f'{p} long' for p in ODD)}, bands array<long>")
 
-    return source.mapInArrow(run, f"id long, node long, size long, {', '.join(f'{p} long' for p in ODD)}, bands array<long>")
+
+def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, t); an id that is no whole number counts as missing."""
+    return docs.select(F.col(key).try_cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
 
 def _distinct(element, doc):
@@ -166,10 +185,10 @@ def _distinct(element, doc):
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
     """(node, elements): the ascending element hashes (cut to 32 bits) of the texts that ``ids`` (id, node) names."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(ids, "id")
+    source = _source(docs, text, key).join(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, "t"):
+        for batch in W.pieces(batches, "t", _PIECE):
             element, doc, whole = shingles(batch.column("t"))
             element, doc, _ = _distinct(element >> U64(32), doc)
             parts = np.split(element.astype(np.uint32), np.searchsorted(doc, np.arange(1, batch.num_rows)))
@@ -226,15 +245,23 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id, class_size) of every row: ids of one class are linked by similarities of ``similarity`` or more."""
+    found = _classes(docs, text, key, similarity, Scratch(docs.sparkSession)).select("id", "class_id", "class_size")
+    rest = _source(docs, text, key).where("id is null or t is null or not t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return found.union(rest.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
+
+def _classes(docs: DataFrame, text: str, key: str, similarity: float, scratch: "Scratch") -> DataFrame:
+    """(id, text_hash, class, class_id, class_size) of every row that has an id and words."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     sketch = scratch.keep(sketches(docs, text, key))
-    nodes = sketch.groupBy("node").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("size", *ODD)], F.min_by("bands", "id").alias("bands"))
-    bucket = nodes.select("node", "id", "size", *ODD, F.explode("bands").alias("band"))
-    shared = bucket.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    member = scratch.keep(bucket.join(shared, "band").select("band", "node", "id", "size", *ODD))
-    sets = scratch.keep(shingle_sets(docs, member.select("id", "node").distinct(), text, key))
-    member = member.select("band", "node", "size", *ODD)
+    # Only (band, node) is dealt out by band; sizes and parities follow for the nodes of the shared buckets.
+    bucket = sketch.select("node", F.explode("bands").alias("band"))
+    shared = bucket.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("band")
+    place = scratch.keep(bucket.join(scratch.keep(shared), "band", "left_semi").distinct())
+    inside = scratch.keep(place.select("node").distinct())
+    facts = scratch.keep(sketch.select("id", "node", "size", *ODD).join(inside, "node").groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "size", *ODD)]))
+    sets = scratch.keep(shingle_sets(docs, facts.select("id", "node"), text, key))
+    member = scratch.keep(place.join(facts.drop("id"), "node").select("band", "node", "size", *ODD))
     # Sets whose sizes or parities differ too much cannot be alike: exact, and known before any set is read.
     fits = F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size") - 1e-9
     apart = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"leader_{p}"))) for p in ODD])
@@ -260,12 +287,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
         if not found.isEmpty():
             label = components(links, scratch)
         leaders *= GROWTH
-    named = sketch.select("id", "node").join(label, "node", "left").select("id", F.coalesce("class", "node").alias("c"))
-    sizes = named.groupBy("c").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    found = named.join(sizes, "c").select("id", "class_id", "class_size")
-    rest = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where(
-        "id is null or t is null or not t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return found.union(rest.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    named = sketch.select("id", "text_hash", "node").join(label.select("node", "class"), "node", "left").select("id", "text_hash", F.coalesce("class", "node").alias("class"))
+    # Classes of one row need no table; the others are joined from a written one, so a hot class can be split.
+    sizes = scratch.keep(named.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"))
+    return named.join(sizes, "class", "left").select(
+        "id", "text_hash", "class", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def _open(member: DataFrame, label: DataFrame) -> DataFrame:
@@ -276,14 +302,24 @@ def _open(member: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of every class: the one with the smallest id; rows without id stay."""
-    found = classes(docs, text, key, similarity)
-    dropped = Scratch(docs.sparkSession).keep(found.where("id != class_id").select(F.col("id").alias("__id")).distinct())
-    kept = docs.join(dropped, F.col(key).cast("long") == F.col("__id"), "left_anti")
-    repeated = docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(F.col(key).alias("__again"))
+    """One row of every class: the one with the smallest id, and of several texts of that id the one of smallest hash.
+
+    A decision holds for an id together with its text, so a text of its own stays wherever its id stands on another too.
+    Rows without id, with an id that is no whole number, or without words stay; of rows equal in id and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(_classes(docs, text, key, similarity, scratch).where("class_size > 1"))
+    heads = found.where("id = class_id").groupBy("class").agg(F.min("text_hash").alias("head"))
+    gone_id, gone_hash = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    gone = scratch.keep(found.join(scratch.keep(heads), "class").where("id != class_id or text_hash != head")
+                        .select(F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct())
+    own_id, own_hash = F.col(key).try_cast("long"), F.xxhash64(F.col(text).cast("string"))
+    kept = docs.join(gone, (own_id == F.col(gone_id)) & (own_hash == F.col(gone_hash)), "left_anti")
+    # Rows equal in id and text are one class, so they are among the rows found.
+    repeated = found.where("id = class_id").groupBy("id", "text_hash").count().where("count > 1").select(
+        F.col("id").alias(gone_id), F.col("text_hash").alias(gone_hash))
+    repeated = scratch.keep(repeated)
     if repeated.isEmpty():
         return kept
-    # Rows that share an id: of equal texts one stays.
-    again = kept.join(repeated, F.col(key) == F.col("__again"), "left_semi")
-    once = kept.join(repeated, F.col(key) == F.col("__again"), "left_anti")
-    return once.unionByName(again.dropDuplicates([key, text]))
+    again = (own_id == F.col(gone_id)) & (own_hash == F.col(gone_hash))
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([key, text]))

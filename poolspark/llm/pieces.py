@@ -34,6 +34,7 @@ from poolspark.llm.units import UnitCache, cut_units, per_text
 _SPACE_MARK = 0x2581
 _GAP = W.byte_class(b" ")
 _BLOCK = 250_000  # characters indexed at once
+_PIECE = 1 << 20  # bytes of text encoded at once
 _LONG = 256  # units of more characters are joined with a heap, one by one
 _NONE = np.int32(2**31 - 1)
 _MODELS: dict[str, "Model"] = {}
@@ -347,7 +348,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.load(model)
-        for batch in W.pieces(batches, text):
+        for batch in W.pieces(batches, text, _PIECE):
             ids, size = own.encode(batch.column(text))
             rows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], rows], [*kept, out])
@@ -355,6 +356,23 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str, text: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """Adds the ids of every text and the text they decode to, in one pass: one worker a task holds the model."""
+    taken = [c for c in docs.columns if c not in (out, back)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema] + [f"`{out}` array<int>", f"`{back}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.load(model)
+        for batch in W.pieces(batches, text, _PIECE):
+            ids, size = own.encode(batch.column(text))
+            rows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            raw = own.decode(ids, size)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in taken], rows, pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())], [*taken, out, back])
+
+    return docs.select(*taken).mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of every array of ids; bytes that are not UTF-8 become U+FFFD."""
     kept, schema = _schema(docs, out, f"`{out}` string")

@@ -15,6 +15,6 @@ def model_file() -> str:
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark, sf_dir):
     path = model_file()
-    back = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    back = pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))

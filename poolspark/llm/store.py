@@ -7,7 +7,9 @@ name of its own and then renamed, so a task that runs again after a lost executo
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,9 +36,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         raise ValueError(f"spark.checkpoint.dir must be a mounted folder here, not {base}")
     folder = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
     os.makedirs(folder)
+    # Results read these files until the driver ends; nobody does after that.
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shard_bits(spark: SparkSession) -> int:
     """Shards follow the configured shuffle partitions, rounded up to a power of two."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()

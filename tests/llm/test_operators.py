@@ -162,6 +162,9 @@ def test_pieces_are_those_of_the_library(hard, hard_rows, empty):
     out = pieces.decode(pieces.encode(hard, path), path).collect()
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out) == Counter(
         (r[0], tuple(own.encode(r[1] or "")), own.decode(own.encode(r[1] or ""))) for r in hard_rows)
+    both = pieces.round_trip(hard.withColumn("decoded", F.lit("x")), path).select("doc_id", "ids", "decoded").collect()
+    assert sorted((r["doc_id"] or -1, r["ids"], r["decoded"]) for r in both) == sorted((r["doc_id"] or -1, r["ids"], r["decoded"]) for r in out)
+    assert pieces.round_trip(empty, path).count() == 0
     assert pieces.decode(pieces.encode(empty, path), path).count() == 0
 
 
@@ -306,6 +309,26 @@ def test_dedup_of_hard_rows(hard, empty):
     assert out.where("doc_id is null").count() == 1 and near_dups.classes(empty).count() == 0
 
 
+def test_decisions_hold_for_an_id_with_its_text(spark, prose):
+    a, b, near = prose(60, 1), prose(60, 2), prose(59, 1) + " end"
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, near), (3, near), (4, prose(30, 3)), (4, prose(30, 3))]
+    docs = spark.createDataFrame([(str(i), t, "x", "y") for i, t in rows] + [("none", a, "", ""), (None, a, "", "")], "doc_id string, text string, gone_id string, __id string")
+    got = near_dups.deduplicate(docs).collect()
+    assert sorted((r.doc_id or "-", r.text) for r in got) == sorted(
+        [("1", a), ("2", b), ("4", prose(30, 3)), ("none", a), ("-", a)])
+    assert got[0].asDict().keys() == {"doc_id", "text", "gone_id", "__id"}
+
+
+def test_short_texts_are_taken_in_parts(prose):
+    texts = pa.array([prose(6, i) for i in range(700)])
+    element, doc, _ = near_dups.shingles(texts)
+    element, doc, count = near_dups._distinct(element, doc)
+    whole = near_dups.signatures(element, doc, count, 700)
+    for i in (0, 255, 256, 699):
+        on = doc == i
+        assert (near_dups.signatures(element[on], doc[on] - i, count[on], 1)[0] == whole[i]).all()
+
+
 # Operator 2.
 
 def edit_distance_infix(pattern, text):
