@@ -6,7 +6,9 @@ A multi-slip is ``choices array<array<int>>`` (one set of outcomes 0/1/2 per mat
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -164,6 +166,11 @@ def agreement(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)")
 
 
+def agreement_of(a: Column, b: Column) -> Column:
+    """The same for two array columns."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+
+
 def presets(matches: str = "matches") -> dict[str, Column]:
     """Choice sets for a whole pool: favourite only, a given sign set, all three, none."""
     trio = "array(m.p1, m.px, m.p2)"
@@ -175,33 +182,89 @@ def presets(matches: str = "matches") -> dict[str, Column]:
             "clear": F.expr(f"transform({matches}, m -> cast(array() as array<int>))")}
 
 
-def _greedy(picks: np.ndarray, guarantee: int, coverage: float) -> tuple[list[int], int]:
-    """Indexes chosen by the greedy cover (most newly covered, lowest index on ties) and the covered count."""
-    n = len(picks)
-    agree = np.zeros((n, n), dtype=np.int8)
-    for column in picks.T:
-        agree += column[:, None] == column[None, :]
-    covers = agree >= guarantee
-    gains = covers.sum(axis=1, dtype=np.int64)
-    left = np.ones(n, dtype=bool)
-    goal = int(np.ceil(coverage * n))
-    chosen: list[int] = []
-    while n - left.sum() < goal:
-        best = int(gains.argmax())
-        if gains[best] <= 0:
-            break
-        chosen.append(best)
-        newly = covers[best] & left
-        left &= ~newly
-        gains -= covers[:, newly].sum(axis=1, dtype=np.int64)
-    return chosen, int(n - left.sum())
+def ball(n: int, distance: int) -> np.ndarray:
+    """Ways to change at most ``distance`` of ``n`` signs: one row per way, what is added to each sign (modulo 3)."""
+    ways = [np.zeros((1, n), np.int8)]
+    for k in range(1, min(distance, n) + 1):
+        for places in combinations(range(n), k):
+            shifts = np.zeros((2 ** k, n), np.int8)
+            shifts[:, places] = np.array(list(product((1, 2), repeat=k)), np.int8)
+            ways.append(shifts)
+    return np.concatenate(ways)
+
+
+class Neighbours:
+    """The given slips near a slip, from its code alone: every code within the distance is made and looked up.
+
+    ``codes`` ascend and are distinct; memory is linear in their number.
+    """
+
+    def __init__(self, codes: np.ndarray, n: int, distance: int):
+        self.codes, self.n = codes, n
+        self.weights = 3 ** np.arange(n - 1, -1, -1, dtype=np.int64)
+        self.ways = ball(n, distance)
+
+    def of(self, i: int) -> np.ndarray:
+        signs = self.codes[i] // self.weights % 3
+        near = ((signs + self.ways) % 3) @ self.weights
+        at = np.minimum(np.searchsorted(self.codes, near), len(self.codes) - 1)
+        return at[self.codes[at] == near]
+
+    def counts(self) -> np.ndarray:
+        """How many of the slips are near each: one lookup of all codes per way."""
+        signs = (self.codes[:, None] // self.weights % 3).astype(np.int8)
+        found = np.zeros(len(self.codes), np.int64)
+        for way in self.ways:
+            near = ((signs + way) % 3) @ self.weights
+            at = np.minimum(np.searchsorted(self.codes, near), len(self.codes) - 1)
+            found += self.codes[at] == near
+        return found
+
+
+def greedy_cover(codes: np.ndarray, n: int, guarantee: int, coverage: float) -> tuple[list[int], int]:
+    """Indexes chosen by the greedy cover (most newly covered, lowest index on ties) and the covered count.
+
+    A slip covers those that share ``guarantee`` signs with it: the codes in a ball around its own. Gains only fall, so
+    a queue holds the last known gain of every slip and only the slip at its head is counted again.
+    """
+    total = len(codes)
+    if guarantee > n or not total:
+        return [], 0
+    order = np.argsort(codes, kind="stable")
+    ascending = codes[order]
+    # Equal slips are one code; the lowest index stands for them, and each counts.
+    first = np.concatenate([[True], ascending[1:] != ascending[:-1]])
+    distinct, index = ascending[first], order[first]
+    copies = np.diff(np.append(np.flatnonzero(first), total))
+    near = Neighbours(distinct, n, n - guarantee)
+    gains = near.counts() if (copies == 1).all() else np.array([copies[near.of(i)].sum() for i in range(len(distinct))])
+    left = copies.copy()
+    queue = [(-int(g), int(ix), i) for i, (g, ix) in enumerate(zip(gains, index))]
+    heapq.heapify(queue)
+    goal, covered, chosen = int(np.ceil(coverage * total)), 0, []
+    while covered < goal and queue:
+        known, ix, i = queue[0]
+        own = near.of(i)
+        gain = int(left[own].sum())
+        if gain != -known:
+            if gain:
+                heapq.heapreplace(queue, (-gain, ix, i))
+            else:
+                heapq.heappop(queue)
+            continue
+        heapq.heappop(queue)
+        chosen.append(ix)
+        covered += gain
+        left[own] = 0
+    return chosen, covered
 
 
 def reduce_slips(slips: DataFrame, key: Sequence[str], guarantee: int, coverage: float = 1.0, *,
                  cap: int = REDUCTION_CAP, order: str = "slip_ix", picks: str = "picks", total: str | None = None) -> DataFrame:
     """Greedy covering set per pool: ``status``, ``order``, ``picks`` and the covered count.
 
-    Pools advance independently. A pool holding more than ``cap`` slips is refused from its count
+    Every pool has a row: ``none`` (nothing can be covered: fewer matches than ``guarantee``) and ``refused`` pools have one
+    without a slip. Pools advance independently. A pool holding more than ``cap`` slips is refused from its count
     alone, so no group ever holds more than ``cap`` slips, each packed in one number. ``total`` names
     a column bounding the slips of a pool: pools within the cap by that bound are not counted.
     """
@@ -218,22 +281,22 @@ def reduce_slips(slips: DataFrame, key: Sequence[str], guarantee: int, coverage:
         *key, "n", F.size("s").cast("long").alias("n_slips"), F.expr("transform(s, x -> x.ix)").alias("ix"),
         F.expr("transform(s, x -> x.code)").alias("codes"))
 
-    @F.pandas_udf("struct<chosen array<int>, covered bigint>")
-    def cover(codes: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<slips array<struct<ix bigint,code bigint>>, covered bigint>")
+    def cover(indexes: pd.Series, codes: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         found = []
-        for slip_codes, n in zip(codes, sizes):
-            digits = (np.asarray(slip_codes)[:, None] // 3 ** np.arange(n - 1, -1, -1, dtype=np.int64)) % 3
-            found.append(_greedy(digits.astype(np.int8), guarantee, coverage))
-        return pd.DataFrame(found, columns=["chosen", "covered"])
+        for own, slip_codes, n in zip(indexes, codes, sizes):
+            slip_codes = np.asarray(slip_codes)
+            chosen, covered = greedy_cover(slip_codes, int(n), guarantee, coverage)
+            found.append(([{"ix": int(own[i]), "code": int(slip_codes[i])} for i in chosen], covered))
+        return pd.DataFrame(found, columns=["slips", "covered"])
 
     # The search costs far more than its input weighs: keep every core busy.
     cores = slips.sparkSession.sparkContext.defaultParallelism
-    reduced = pools.repartition(cores, *key).withColumn("c", cover("codes", "n")).select(
-        *key, "n", "n_slips", F.col("c.covered").alias("covered"), F.explode("c.chosen").alias("i"), "ix", "codes")
-    kept = reduced.select(
-        *key, F.expr("ix[i]").alias(order),
-        F.expr("transform(sequence(1, n), k -> cast((codes[i] div cast(pow(3, n - k) as bigint)) % 3 as int))").cast(kind).alias(picks),
-        "n_slips", "covered", F.lit("reduced").alias("status"))
+    reduced = pools.repartition(cores, *key).withColumn("c", cover("ix", "codes", "n")).select(
+        *key, "n", "n_slips", F.col("c.covered").alias("covered"), F.explode_outer("c.slips").alias("s"))
+    signs = F.expr("transform(sequence(1, n), k -> cast((s.code div cast(pow(3, n - k) as bigint)) % 3 as int))").cast(kind)
+    kept = reduced.select(*key, F.col("s.ix").alias(order), F.when(F.col("s").isNotNull(), signs).alias(picks), "n_slips", "covered",
+                          F.when(F.col("s").isNull(), "none").otherwise("reduced").alias("status"))
     none = refused.select(*key, F.lit(None).cast("long").alias(order), F.lit(None).cast(kind).alias(picks), "n_slips",
                           F.lit(None).cast("long").alias("covered"), F.lit("refused").alias("status"))
     return kept.unionByName(none)

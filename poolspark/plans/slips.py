@@ -168,8 +168,11 @@ def price_fallback(spark, sf):
     return fallback(rows, published).select("pool_id", "ord", "p1", "px", "p2", "source")
 
 
+GUARANTEE = 5
+
+
 def _reduced(spark, sf):
-    reduced = S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=5, total="total")
+    reduced = S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=GUARANTEE, total="total")
     return reduced.unionByName(S.unlisted(composed(spark, sf), ["pool_id"]), allowMissingColumns=True)
 
 
@@ -178,6 +181,32 @@ def covering_reduction(spark, sf):
     return _reduced(spark, sf).select("pool_id", "slip_ix", S.to_text().alias("slip"), "n_slips", "covered", "status")
 
 
-@query("reduction_summary")
+COVERED_SQL = f"""
+SELECT p.pool_id, CASE WHEN f.pool_id IS NULL THEN 'empty' WHEN total > 8000 THEN 'refused' WHEN p.n < {GUARANTEE} THEN 'none' ELSE 'reduced' END AS status,
+  coalesce(total, 0) AS n_slips, CASE WHEN p.n < {GUARANTEE} AND f.pool_id IS NOT NULL THEN 0 ELSE total END AS covered"""
+
+
+@query("covering_invariant", ctes=CHOICES_SQL, sql=COVERED_SQL + f""",
+  CASE WHEN p.n < {GUARANTEE} AND f.pool_id IS NOT NULL THEN 0 ELSE total END AS within
+FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id)""")
+def covering_invariant(spark, sf):
+    """A row per pool: what the greedy cover says it covers, and how many slips do share enough signs with a chosen one."""
+    chosen = _reduced(spark, sf)
+    pools = chosen.groupBy("pool_id").agg(F.max("status").alias("status"), F.max("n_slips").alias("n_slips"), F.max("covered").alias("covered"),
+                                          F.collect_list("picks").alias("kept"))
+    near = F.exists("kept", lambda k: S.agreement_of(F.col("picks"), k) >= GUARANTEE)
+    every = slips(spark, sf).select("pool_id", "picks").join(pools.select("pool_id", "kept"), "pool_id")
+    within = every.groupBy("pool_id").agg(F.count_if(near).alias("within"))
+    return pools.drop("kept").join(within, "pool_id", "left")
+
+
+@query("reduction_summary", ctes=CHOICES_SQL, sql="SELECT pool_id, status, n_slips, covered / nullif(n_slips, 0) AS coverage, kept > 0 AS kept_some FROM (" + COVERED_SQL + """
+  , CASE WHEN f.pool_id IS NULL OR p.n < 5 OR total > 8000 THEN 0 ELSE 1 END AS kept
+FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id))""")
 def reduction_summary(spark, sf):
+    return S.reduction_summary(_reduced(spark, sf), ["pool_id"]).select("pool_id", "status", "n_slips", "coverage", (F.col("kept") > 0).alias("kept_some"))
+
+
+@query("reduction_savings")
+def reduction_savings(spark, sf):
     return rounded(S.reduction_summary(_reduced(spark, sf), ["pool_id"]))

@@ -1,7 +1,9 @@
 import itertools
+import math
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,42 @@ def test_reduction_examples(spark):
     assert all(max(sum(a == b for a, b in zip(s, p)) for p in picks) >= 4 for s in itertools.product(range(3), repeat=6))
 
 
+def matrix_cover(picks, guarantee, coverage):
+    """Brute force: agreement of all pairs, gains of all slips counted anew after each choice."""
+    covers = [[sum(a == b for a, b in zip(x, y)) >= guarantee for y in picks] for x in picks]
+    left, chosen = set(range(len(picks))), []
+    while len(picks) - len(left) < math.ceil(coverage * len(picks)):
+        gains = [sum(covers[i][j] for j in left) for i in range(len(picks))]
+        if not gains or max(gains) <= 0:
+            break
+        chosen.append(gains.index(max(gains)))
+        left -= {j for j in left if covers[chosen[-1]][j]}
+    return chosen, len(picks) - len(left)
+
+
+@pytest.mark.parametrize("n,guarantee,coverage,count", [(4, 3, 1.0, 81), (5, 3, 1.0, 90), (6, 5, 0.8, 120), (6, 4, 1.0, 150), (3, 5, 1.0, 20), (7, 7, 1.0, 60), (5, 0, 1.0, 30)])
+def test_cover_equals_brute_force(n, guarantee, coverage, count):
+    rnd = random.Random(n * 10 + guarantee)
+    picks = [tuple(rnd.randrange(3) for _ in range(n)) for _ in range(count)]
+    codes = np.array([sum(s * 3 ** (n - 1 - i) for i, s in enumerate(p)) for p in picks])
+    assert S.greedy_cover(codes, n, guarantee, coverage) == matrix_cover(picks, guarantee, coverage)
+
+
+def test_cover_of_nine_and_twelve_matches(spark):
+    """Real sizes: 12 matches with 7 triples (2,187 slips), 9 with 8 (6,561), one over the cap, one too short."""
+    rows = [[[0, 1, 2]] * 7 + [[0]] * 5, [[0, 1, 2]] * 8 + [[1]], [[0, 1, 2]] * 9, [[0, 1]] * 3]
+    pools = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "pool_id long, choices array<array<int>>")
+    out = S.reduce_slips(S.enumerate_slips(pools), ["pool_id"], 7, total="total").collect()
+    by = {i: [r for r in out if r.pool_id == i] for i in range(4)}
+    assert {i: {r.status for r in rs} for i, rs in by.items()} == {0: {"reduced"}, 1: {"reduced"}, 2: {"refused"}, 3: {"none"}}
+    assert by[2][0].n_slips == 19_683 and (by[3][0].covered, by[3][0].slip_ix, by[3][0].picks) == (0, None, None)
+    for i in (0, 1):
+        kept = np.array([r.picks for r in by[i]])
+        slips = np.array(list(itertools.product(*rows[i])))
+        assert by[i][0].covered == len(slips) and len(kept) < len(slips)
+        assert all((kept == s).sum(axis=1).max() >= 7 for s in slips)
+
+
 MATCH = "struct<match_id:bigint,home:string,away:string,kickoff:date,p1:double,px:double,p2:double>"
 POOL = (f"pool_id bigint, pool_type int, closed_on date, result_code string, histogram array<bigint>, "
         f"payouts array<struct<rank:int,winners:bigint,amount:double>>, matches array<{MATCH}>")
