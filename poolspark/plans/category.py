@@ -28,7 +28,11 @@ genres AS (
 
 
 def named_pools(spark, sf):
-    return V.pools(spark, sf).select("pool_type", "pool_id", F.expr(
+    return named_of(V.pools(spark, sf))
+
+
+def named_of(pools):
+    return pools.select("pool_type", "pool_id", F.expr(
         f"transform(matches, m -> named_struct('competition', {COMPETITION}))").alias("matches"))
 
 

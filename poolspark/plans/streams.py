@@ -1,7 +1,14 @@
 from pyspark.sql import functions as F
 
+from poolspark.functions.prices import plausible_market
+from poolspark.operators import category as K
+from poolspark.operators import publish as U
+from poolspark.operators.matching import keep_last_plausible
+from poolspark.plans.category import named_of
+from poolspark.plans.publish import INDEX_SQL
 from poolspark.plans.registry import query
 from poolspark.sources import views as V
+from poolspark.sources.versions import Versions, last_observations
 from poolspark.streaming import frames as X
 from poolspark.streaming import runs as S
 
@@ -67,11 +74,15 @@ def stream_complete(spark, sf):
         "array_join(transform(matches, m -> concat(m.home, ':', m.score_home)), ' ')").alias("lines"))
 
 
-@query("stream_keep_plausible", ctes=V.SNAPSHOTS_SQL + """,
-kept AS (SELECT pool_id, match_id, max(seq) AS last_seq, max(seq) FILTER (ok) AS good_seq FROM judged GROUP BY 1, 2)""", sql="""
+KEPT_SQL = V.SNAPSHOTS_SQL + """,
+kept AS (SELECT pool_id, match_id, max(seq) AS last_seq, max(seq) FILTER (ok) AS good_seq FROM judged GROUP BY 1, 2)"""
+KEPT = """
 SELECT k.pool_id, k.match_id, coalesce(g.p1, l.p1) AS p1, coalesce(g.px, l.px) AS px, coalesce(g.p2, l.p2) AS p2,
   CASE WHEN good_seq <> last_seq THEN g.collected_at END AS observed_at, l.collected_at
-FROM kept k JOIN judged l ON l.seq = last_seq LEFT JOIN judged g ON g.seq = good_seq""")
+FROM kept k JOIN judged l ON l.seq = last_seq LEFT JOIN judged g ON g.seq = good_seq"""
+
+
+@query("stream_keep_plausible", ctes=KEPT_SQL, sql=KEPT)
 def stream_keep(spark, sf):
     return S.keep_plausible(V.snapshots_of(stream(spark, sf, "events")))
 
@@ -85,17 +96,79 @@ def stream_activity(spark, sf):
     return S.activity(events, "ts", "1 hour", "10 minutes", "event_type")
 
 
-@query("stream_index_refresh", ctes=V.POOLS_SQL, sql="""
-SELECT o_orderkey AS pool_id, round(o_totalprice, 2) AS distributed, CAST(1 + o_orderkey % 97 AS BIGINT) AS played,
-  CAST(format('{:.4f}', o_totalprice / (1 + o_orderkey % 97)) AS DOUBLE) AS ratio FROM orders""")
-def stream_index(spark, sf):
-    from poolspark.functions.prices import payout_ratio
+def in_parts(spark, rows, part, n, name):
+    """The rows as a stream of ``n`` micro-batches at least: written part after part, one file at a time."""
+    folder = f"{S.workspace(spark, name)}/in"
+    for k in range(n):
+        rows.where(part == k).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+LINES_SQL = """
+SELECT g.pool AS global_id, {status} AS status, string_agg('T' || m.seq % 7 || ':' || m.seq % 5, ' ' ORDER BY e.match_id) AS lines
+FROM gate g JOIN pools p USING (pool) JOIN expected e USING (pool) JOIN matches m USING (match_id) WHERE expected = received GROUP BY 1, 2"""
 
-    def build(rows):
-        played = F.col("o_orderkey") % 97 + 1
-        return rows.select(F.col("o_orderkey").alias("pool_id"), F.col("o_totalprice").alias("distributed"), played.alias("played"),
-                           payout_ratio(F.col("o_totalprice"), played).alias("ratio"))
 
-    return S.refresh_index(stream(spark, sf, "orders"), build)
+def _lines(rows):
+    return rows.select("global_id", "status", F.expr("array_join(transform(matches, m -> concat(m.home, ':', m.score_home)), ' ')").alias("lines"))
 
 
+@query("stream_completeness_batches", ctes=ENTRY_SQL, sql=LINES_SQL.format(status="p.status"))
+def stream_complete_batches(spark, sf):
+    """Frames in several micro-batches, out of order: what a pool waits for is kept in its state."""
+    rows = frames(V.table(spark, sf, "events"))
+    return _lines(S.emit_complete(in_parts(spark, rows, F.pmod(F.lit(3) - F.col("seq"), F.lit(3)), 3, "frames")))
+
+
+@query("stream_completeness_settled", ctes=ENTRY_SQL, sql=LINES_SQL.format(status="'ENDED'"))
+def stream_complete_settled(spark, sf):
+    """A last frame settles every pool: it is stored a last time and its state ends."""
+    rows = frames(V.table(spark, sf, "events"))
+    last = rows.groupBy(F.regexp_extract("body", r'"poolId":(\d+)', 1).alias("pool"), F.regexp_extract("body", r'"matches":\[([0-9,]+)\]', 1).alias("ids")).agg(
+        F.max("seq").alias("seq")).where("pool != ''")
+    closing = last.select((F.col("seq") + 10**12).alias("seq"), F.concat(
+        F.lit('42["m",{"pools":{"'), "pool", F.lit('":{"poolId":'), "pool", F.lit(',"poolStatus":"ENDED","matches":['), "ids", F.lit("]}}}]")).alias("body"))
+    both = rows.select("seq", "body", F.lit(0).alias("part")).unionByName(closing.withColumn("part", F.lit(1)))
+    return _lines(S.emit_complete(in_parts(spark, both, F.col("part"), 2, "frames").drop("part"), settled=("ENDED",)))
+
+
+@query("stream_index_refresh", ctes=INDEX_SQL, sql="SELECT * FROM indexed")
+def stream_index(spark, sf):
+    """Every pool comes in three parts, in three micro-batches; the index ends as the one built at once."""
+    orders, prices = V.table(spark, sf, "orders"), V.match_prices(spark, sf)
+
+    def build(lines):
+        pools = V.pools_of(V.legs_of(lines), orders)
+        return U.published_index(pools, prices, K.categorise(named_of(pools)))
+
+    lines = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    stream_of = in_parts(spark, lines, F.col("l_linenumber") % 3, 3, "lines")
+    rows = S.refresh_index(stream_of, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], F.expr("l_orderkey div 4"), build)
+    paid = F.expr("array_join(transform(rapports, r -> concat(r.rank, ':', r.winners)), ' ')")
+    return rows.withColumn("rapports", paid).select(*U.INDEX_FIELDS)
+
+
+def snapshot_table(spark, sf):
+    """The price history of all events, written in three parts, compacted after the second."""
+    ok = plausible_market("p1", "px", "p2")
+    rows = V.snapshots(spark, sf)
+    table = Versions(spark, f"{S.workspace(spark, 'snapshots')}/table", rows.schema, ["pool_id", "match_id"], last_observations(["pool_id", "match_id"], "seq", ok))
+    for version in range(3):
+        table.append(rows.where(F.col("seq") % 3 == version), version)
+        if version == 1:
+            table.compact(1)
+    return table
+
+
+@query("snapshot_upsert", ctes=KEPT_SQL, sql=KEPT)
+def snapshot_upsert(spark, sf):
+    """Latest view of the snapshot table: base of the first two versions and the log after it, prices retained."""
+    return keep_last_plausible(snapshot_table(spark, sf).rows(), ["pool_id", "match_id"], ["seq"])
+
+
+@query("snapshot_history", sql="""
+SELECT user_id % 20 AS pool_id, user_id AS match_id, event_id % 3 AS version, count(*) AS rows, min(event_id) AS first, max(event_id) AS last
+FROM events GROUP BY 1, 2, 3""")
+def snapshot_history(spark, sf):
+    return snapshot_table(spark, sf).history().groupBy("pool_id", "match_id", F.col("version").cast("long").alias("version")).agg(
+        F.count("*").alias("rows"), F.min("seq").alias("first"), F.max("seq").alias("last"))

@@ -47,3 +47,6 @@ POOL_DATE = ("pool_type int, pool_id bigint, date date, date_min date, date_max
 ALIAS = ("folded string, target string, display string, confirmations bigint, appearances bigint, via string")
 CATEGORY = ("pool_type int, pool_id bigint, category string, family string, families map<string,bigint>, "
             "competitions map<string,bigint>, n bigint, named bigint")
+
+SNAPSHOT = ("pool_type int, pool_id bigint, match_id bigint, collected_at timestamp, p1 double, px double, p2 double, "
+            "observed_at timestamp")

@@ -67,11 +67,16 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
+def frame_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream: files are read whole as they appear, ``seq`` is the file by age and name and the line in it."""
+    files = spark.readStream.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "body"))
+    return files.where("body != ''").select(F.struct("written", "file", "line").alias("seq"), "body")
+
+
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only price history, one row per observation of a match."""
-    schema = ("pool_type int, pool_id bigint, match_id bigint, collected_at timestamp, p1 double, px double, p2 double, "
-              "observed_at timestamp")
-    return lookup(spark, path, schema)
+    """Every past version of the price table ``writers.price_table`` keeps at ``path``, with its ``version``; sort by it for oldest first."""
+    return lookup(spark, f"{path}/log", schemas.SNAPSHOT + ", version int, bucket int").drop("bucket")
 
 
 def fixture_lines(spark: SparkSession, path: str) -> DataFrame:

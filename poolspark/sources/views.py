@@ -35,7 +35,11 @@ def _price(name: str, formula: str, settled: str) -> str:
 
 def legs(spark: SparkSession, sf: str) -> DataFrame:
     """One row per match of a pool."""
-    base = (table(spark, sf, "lineitem")
+    return legs_of(table(spark, sf, "lineitem"))
+
+
+def legs_of(lineitem: DataFrame) -> DataFrame:
+    base = (lineitem
             .selectExpr("l_orderkey div 4 as pool_id", "l_linenumber as line", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
             .groupBy("pool_id", "line").agg(F.expr("min(l_partkey) as part"), F.expr("max(l_suppkey) as supp"),
                                             F.expr("sum(cast(l_quantity as bigint)) as qty"),
@@ -93,9 +97,13 @@ def _payout(rank: str) -> str:
 
 def pools(spark: SparkSession, sf: str) -> DataFrame:
     """Feed-form pools: matches, payouts, histogram and result code as nested columns."""
-    nested = legs(spark, sf).groupBy("pool_id").agg(F.expr("""sort_array(collect_list(struct(line, match_id, kickoff, home, away,
+    return pools_of(legs(spark, sf), table(spark, sf, "orders"))
+
+
+def pools_of(matches: DataFrame, orders: DataFrame) -> DataFrame:
+    nested = matches.groupBy("pool_id").agg(F.expr("""sort_array(collect_list(struct(line, match_id, kickoff, home, away,
       score_home, score_away, p1, px, p2, code, competition, source, part, supp, mix))) as matches"""))
-    orders = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 4 as pool_id")).agg(
+    orders = orders.groupBy(F.expr("o_orderkey div 4 as pool_id")).agg(
         F.expr("cast(sum(cast(o_totalprice as decimal(18,2))) as double) as net_stakes"),
         F.expr("max(cast(o_orderdate as date)) as closed_on"), F.expr("max(o_orderstatus) as status"))
     return nested.join(orders, "pool_id").selectExpr("*", "size(matches) as n").selectExpr(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolspark.functions.prices import plausible_market
 from poolspark.operators.matching import keep_last_plausible
 from poolspark.operators.slips import to_text
+from poolspark.schemas import SNAPSHOT
+from poolspark.sources.versions import Versions, last_observations
 
 
 def write_prices(prices: DataFrame, path: str) -> None:
@@ -29,14 +32,18 @@ def write_categories(categories: DataFrame, path: str) -> None:
     categories.write.mode("overwrite").partitionBy("pool_type").parquet(path)
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """History is appended, never rewritten: an absence cannot destroy an observation."""
-    snapshots.write.mode("append").partitionBy("pool_type").parquet(path)
+def price_table(spark: SparkSession, path: str) -> Versions:
+    """Snapshots of prices: history is appended, never rewritten, so an absence cannot destroy an observation.
 
+    The view keeps the latest and the latest plausible observation of a match; ``latest_prices`` is what is published.
+    """
+    key = ["pool_type", "pool_id", "match_id"]
+    return Versions(spark, path, SNAPSHOT, key, last_observations(key, "collected_at", plausible_market("p1", "px", "p2")))
 
-def latest_prices(snapshots: DataFrame) -> DataFrame:
+
+def latest_prices(table: Versions) -> DataFrame:
     """Current view of the snapshot table, pre-match prices retained."""
-    return keep_last_plausible(snapshots, ["pool_type", "pool_id", "match_id"], ["collected_at"])
+    return keep_last_plausible(table.rows(), ["pool_type", "pool_id", "match_id"], ["collected_at"])
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +57,29 @@ def pool_rows(accumulated: DataFrame) -> DataFrame:
         F.coalesce("p.matches", F.array().cast("array<bigint>")).alias("match_ids"))
 
 
-def match_rows(accumulated: DataFrame) -> DataFrame:
+def match_fields(m: str | Column) -> list[Column]:
+    """Columns of a match from its parsed content."""
     from poolspark.functions.dates import epoch_timestamp
 
+    m = F.col(m) if isinstance(m, str) else m
+    return [epoch_timestamp(m["matchStart"]).alias("kickoff"), m["competitor1Name"].alias("home"), m["competitor2Name"].alias("away"),
+            m["competitor1Id"].alias("home_id"), m["competitor2Id"].alias("away_id"), m["regularScore1"].alias("score_home"),
+            m["regularScore2"].alias("score_away"), m["status"].alias("status"), m["odds1"].alias("p1"), m["oddsX"].alias("px"), m["odds2"].alias("p2")]
+
+
+def match_rows(accumulated: DataFrame) -> DataFrame:
     m = accumulated.where("kind = 'match'").select("id", F.from_json("payload", MATCH_CONTENT).alias("m"))
-    return m.select(
-        F.col("id").alias("match_id"), epoch_timestamp("m.matchStart").alias("kickoff"), F.col("m.competitor1Name").alias("home"),
-        F.col("m.competitor2Name").alias("away"), F.col("m.competitor1Id").alias("home_id"), F.col("m.competitor2Id").alias("away_id"),
-        F.col("m.regularScore1").alias("score_home"), F.col("m.regularScore2").alias("score_away"), F.col("m.status").alias("status"),
-        F.col("m.odds1").alias("p1"), F.col("m.oddsX").alias("px"), F.col("m.odds2").alias("p2"))
+    return m.select(F.col("id").alias("match_id"), *match_fields("m"))
+
+
+def composed(records: DataFrame) -> DataFrame:
+    """Complete pools from ``id, payload, lines`` (the payloads of all matches, in the pool's order)."""
+    pools = pool_rows(records.select("id", "payload", F.lit("pool").alias("kind"))).drop("match_ids")
+    parsed = records.select(F.col("id").alias("global_id"), F.transform("lines", lambda l: F.struct(  # noqa: E741
+        l["match_id"].alias("match_id"), F.from_json(l["payload"], MATCH_CONTENT).alias("m"))).alias("lines"))
+    matches = F.transform("lines", lambda l, i: F.struct(  # noqa: E741
+        i.alias("ord"), l["match_id"].alias("match_id"), *match_fields(l["m"]), F.lit(False).alias("missing_in_frame")))
+    return pools.join(parsed.select("global_id", matches.alias("matches")), "global_id")
 
 
 def completeness(accumulated: DataFrame) -> DataFrame:
@@ -88,12 +100,3 @@ def complete_pools(accumulated: DataFrame) -> DataFrame:
     pools = pool_rows(accumulated).join(ready, "global_id", "left_semi")
     lines = compose_pool(pools, match_rows(accumulated), ["global_id"])
     return pools.drop("match_ids").join(lines, "global_id")
-
-
-def restrict(accumulated: DataFrame, global_id: int) -> DataFrame:
-    """Only the pool asked for, with every match (the optional filter of a visit)."""
-    return accumulated.where((F.col("kind") != "pool") | (F.col("id") == global_id))
-
-
-def probe_members(accumulated: DataFrame, key: Sequence[str] = ("match_id",)) -> DataFrame:
-    return pool_rows(accumulated).select(F.explode("match_ids").alias(key[0])).distinct()

@@ -9,14 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from poolspark.operators.matching import keep_last_plausible
+from poolspark.functions.prices import plausible_market
 from poolspark.session import ensure_checkpoint_dir
 from poolspark.sources.readers import lookup
+from poolspark.sources.versions import BUCKETS, Versions, newest_rows
 from poolspark.streaming import frames as X
+from poolspark.streaming.stateful import complete_records, keyed_state, newest, plausible_prices
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -35,22 +37,26 @@ def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | No
     return lookup(spark, f"{folder}/out", stream.schema)
 
 
-def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run an updating aggregate and return its last version of every key.
+def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame], shape: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+           report: list | None = None) -> DataFrame:
+    """Run a stream of changed rows and return the last version of every key.
 
-    Each micro-batch writes its changed rows under its own batch number (a replayed batch overwrites
-    itself); ``merge`` reduces the versions.
+    Each micro-batch writes its changed rows, put into ``shape``, under its own batch number (a replayed batch overwrites
+    itself); ``merge`` reduces the versions. ``report`` gets the progress of every micro-batch.
     """
     spark = stream.sparkSession
     folder = workspace(spark, name)
 
     def store(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
+        shape(rows).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(store)
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return merge(_versions(spark, folder, stream.schema))
+    with keyed_state(spark):
+        query = (stream.writeStream.outputMode("append").foreachBatch(store)
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+    if report is not None:
+        report.extend(query.recentProgress)
+    return merge(_versions(spark, folder, shape(spark.createDataFrame([], stream.schema)).schema))
 
 
 def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -67,67 +73,66 @@ def last_version(*key: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def accumulate_frames(stream: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
-    """Last entry per pool and match of a frame stream, kept in the state store."""
-    return upsert(X.accumulate(X.entries(stream, body, seq), seq), "frames", last_version("kind", "id"))
+    """Last entry per pool and match of a frame stream, kept in the state store until its time to live is over."""
+    return upsert(newest(X.entries(stream, body, seq), seq), "frames", last_version("kind", "id"))
 
 
-def keep_plausible(stream: DataFrame, key=("pool_id", "match_id"), order=("seq",)) -> DataFrame:
-    """Streaming twin of the retention rule: the same aggregate, updated per micro-batch.
+def keep_plausible(stream: DataFrame, key=("pool_id", "match_id"), order=("seq",), stamp: str = "collected_at") -> DataFrame:
+    """Streaming twin of the retention rule: two observations per match in the state store.
 
-    Snapshots older than the stored one cannot win whatever their order of arrival.
+    Snapshots older than the stored ones cannot win whatever their order of arrival.
     """
-    return upsert(keep_last_plausible(stream, list(key), list(order)), "retention", last_version(*key))
+    changes = plausible_prices(stream, list(key), list(order), stamp, plausible_market("p1", "px", "p2"))
+    return upsert(changes, "retention", last_version(*key))
 
 
-def emit_complete(stream: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
+def emit_complete(stream: DataFrame, body: str = "body", seq: str = "seq", settled: tuple[str, ...] = (), report: list | None = None) -> DataFrame:
     """Pools stored as soon as their row and all their matches have arrived; the last version of each.
 
-    Entries are kept by kind. A micro-batch looks up the pools it touches, directly or through one of
-    their matches, and only the entries of those pools are reduced and joined.
+    A match entry is routed to the pools that list it and a pool holds what it waits for (``streaming/stateful.py``), so
+    a micro-batch reads its own frames and the state of their keys, whatever came before. A pool whose status is in
+    ``settled`` is stored a last time and forgotten.
     """
-    spark = stream.sparkSession
-    folder = workspace(spark, "complete")
-    rows = X.entries(stream, body, seq)
-
-    def stored(kind: str) -> DataFrame:
-        return spark.read.schema(f"{seq} bigint, id bigint, payload string, kind string").option("basePath", f"{folder}/entries").parquet(
-            f"{folder}/entries/batch=*/kind={kind}")
-
-    def step(batch_rows: DataFrame, batch: int) -> None:
-        shaped = batch_rows.select(F.col(seq).cast("bigint").alias(seq), "id", "payload", "kind")
-        # Both kinds get a folder in every batch, so either may be missing from the frames.
-        for kind in ("pool", "match"):
-            shaped.where(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}/kind={kind}")
-        fresh = shaped.select("kind", "id").distinct()
-        pools = stored("pool").select(seq, "id", "payload", F.lit("pool").alias("kind"))
-        listed = X.pool_rows(pools).select(F.col("global_id").alias("id"), F.explode("match_ids").alias("match_id"))
-        arrived = fresh.where("kind = 'match'").select(F.col("id").alias("match_id"))
-        touched = (fresh.where("kind = 'pool'").select("id")
-                   .unionByName(listed.join(arrived, "match_id", "left_semi").select("id")).distinct())
-        mine = pools.join(touched, "id", "left_semi")
-        wanted = listed.join(touched, "id", "left_semi").select(F.col("match_id").alias("id")).distinct()
-        matches = stored("match").select(seq, "id", "payload", F.lit("match").alias("kind")).join(wanted, "id", "left_semi")
-        needed = X.accumulate(mine.unionByName(matches.select(*mine.columns)), seq)
-        X.complete_pools(needed).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
-
-    query = (rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    shape = spark.createDataFrame([], f"{seq} bigint, id bigint, payload string, kind string")
-    return last_version("global_id")(_versions(spark, folder, X.complete_pools(X.accumulate(shape, seq)).schema))
+    records = complete_records(X.entries(stream, body, seq), seq, settled)
+    return upsert(records, "complete", last_version("global_id"), X.composed, report)
 
 
-def refresh_index(stream: DataFrame, build: Callable[[DataFrame], DataFrame], key: str = "pool_id") -> DataFrame:
-    """Incremental run then index rebuild: only the pools of the micro-batch are indexed again."""
-    spark = stream.sparkSession
-    folder = workspace(spark, "index")
+class IndexRefresh:
+    """Incremental run, then index rebuild: stored rows and the index as versioned tables, both by pool.
 
-    def step(rows: DataFrame, batch: int) -> None:
-        build(rows).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
+    A micro-batch is stored under its number, the pools it touches are read back whole (from the buckets that hold them)
+    and only they are indexed again. A pool that comes in several parts is complete after the last; a batch that is run again
+    replaces its own rows and gives the same index.
+    """
 
-    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: list[str], pool: Column,
+                 build: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
+        """``pool`` is a row's pool, ``key`` names a row, ``build`` makes index rows (``id``) of all rows of some pools."""
+        self.build, self.pool = build, pool
+        stored = StructType([StructField("__pool", LongType()), *schema.fields])
+        self.rows = Versions(spark, f"{folder}/rows", stored, ["__pool"], newest_rows("__pool", *key), buckets)
+        shape = build(spark.createDataFrame([], schema)).schema
+        self.index = Versions(spark, f"{folder}/index", shape, ["id"], newest_rows("id"), buckets)
+
+    def step(self, batch_rows: DataFrame, batch: int) -> None:
+        named = batch_rows.withColumn("__pool", self.pool.cast("long"))
+        self.rows.append(named, batch)
+        written = self.rows.history().where(F.col("version") == batch)
+        touched = written.select("__pool").distinct()
+        whole = self.rows.rows(self.rows.touched(written)).join(touched, "__pool", "left_semi")
+        self.index.append(self.build(whole.drop("__pool", "version")), batch)
+
+    def current(self) -> DataFrame:
+        return self.index.rows().drop("version")
+
+
+def refresh_index(stream: DataFrame, key: list[str], pool: Column, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``IndexRefresh`` over everything available and return the index."""
+    folder = workspace(stream.sparkSession, "index")
+    run = IndexRefresh(stream.sparkSession, folder, stream.schema, key, pool, build)
+    query = (stream.writeStream.foreachBatch(run.step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    shape = build(spark.createDataFrame([], stream.schema)).schema
-    return last_version(key)(_versions(spark, folder, shape))
+    return run.current()
 
 
 def activity(stream: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", *by: str) -> DataFrame:
