@@ -38,6 +38,56 @@ def _accent_map() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> dict[str, str]:
+    """Every character that is a base and one combining mark, by those two: from the Unicode tables, exclusions left out."""
+    out = {}
+    for code in range(0xC0, 0x2000):
+        char = chr(code)
+        parts = unicodedata.normalize("NFD", char)
+        for cut in range(1, len(parts)):
+            base = unicodedata.normalize("NFC", parts[:cut])
+            if len(base) == 1 and unicodedata.normalize("NFC", base + parts[cut:]) == char and len(parts) - cut == 1:
+                out[base + parts[cut:]] = char
+    return out
+
+
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """The marks that can be joined, as ranges of a character class."""
+    codes = sorted({ord(pair[1]) for pair in _compositions()})
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+def _as_map(pairs: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.split(F.lit("\u0001".join(pairs)), "\u0001"), F.split(F.lit("\u0001".join(pairs.values())), "\u0001"))
+
+
+def compose(text) -> Column:
+    """Marks joined to the letter before them (canonical composition). Texts without marks cost one search.
+
+    The different pairs of a text are replaced one after the other, as often as a letter can carry marks (three).
+    """
+    t = _col(text)
+    table = _as_map(_compositions())
+    mark = _marks()
+
+    def once(whole: Column) -> Column:
+        pairs = F.array_distinct(F.regexp_extract_all(whole, F.lit(f"([^{mark}][{mark}])"), F.lit(1)))
+        return F.aggregate(pairs, whole, lambda done, pair: F.replace(done, pair, F.coalesce(F.try_element_at(table, pair), pair)))
+
+    # Most texts are plain ASCII, which their length tells.
+    return F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{mark}]"), once(once(once(t)))).otherwise(t)
+
+
+def decompose(text) -> Column:
+    """Letters with one mark as letter and mark."""
+    table = _as_map({v: k for k, v in _compositions().items()})
+    return F.array_join(F.transform(F.split(_col(text), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
 def _without_accents(text: Column) -> Column:
     source, target = _accent_map()
     return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
@@ -98,7 +148,7 @@ def parse_amount(text) -> Column:
 
 
 def clean_html_text(html) -> Column:
-    """Text of a cell: tags dropped, three entities decoded, trimmed."""
+    """Text of a cell: tags dropped, three entities decoded, trimmed. Pages are composed (``compose``) before they are cut into cells."""
     text = F.regexp_replace(_col(html), r"<[^>]+>", "")
     for entity, char in (("&nbsp;", " "), ("&euro;", "€"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))

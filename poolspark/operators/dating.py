@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ EXTRA_FIXTURES = 2
 WINDOW_DAYS = 3
 MANUAL_WEIGHT = 99
 TIGHT_DAYS = 3
+POOLS_AT_ONCE = 256
 # Where a date comes from.
 BY_FIXTURES, INTERPOLATED, OUTSIDE = "affiches", "interpolation", "hors_ancrage"
 
@@ -26,21 +28,58 @@ def anchors(matches: DataFrame, fixtures: DataFrame, minimum: int, key: Sequence
             window: int = WINDOW_DAYS) -> DataFrame:
     """Best day per pool: most matches having a fixture within ``window`` days after it, earliest on ties.
 
-    ``matches``: key, ord, home_key, away_key; ``fixtures``: home_key, away_key, match_date. Each
-    (match, fixture day) is spread over the days it would support, so no pair of days is compared.
+    ``matches``: key, ord, home_key, away_key; ``fixtures``: home_key, away_key, match_date. Every pair of teams becomes one
+    row with its calendar (the set of its days, at most one entry a day however many fixtures), every match one row with
+    that calendar, and every pool one row with those of its matches; days are counted inside the row of the pool. So no
+    row stands for a match and a day, and a pair that plays on thousands of days costs its calendar once a match.
     """
     key = list(key)
-    days = fixtures.select("home_key", "away_key", "match_date").distinct()
-    met = matches.select(*key, "ord", "home_key", "away_key").join(days, ["home_key", "away_key"]).select(
-        *key, "ord", "match_date").distinct()
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(window))).alias("d")
-    support = (met.select(*key, "ord", "match_date", offsets)
-               .select(*key, F.date_sub("match_date", F.col("d")).alias("day"), "ord", (F.col("d") == 0).alias("own"))
-               .groupBy(*key, "day", "ord").agg(F.bool_or("own").alias("own")))
-    counted = support.groupBy(*key, "day").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).where("own")
-    best = counted.groupBy(*key).agg(F.max(F.struct("n", (-F.unix_date("day")).alias("back"))).alias("b"))
-    return best.select(*key, F.date_from_unix_date(-F.col("b.back")).alias("day"), F.col("b.n").alias("n")).where(
-        F.col("n") >= minimum)
+    calendars = fixtures.where("match_date IS NOT NULL").groupBy("home_key", "away_key").agg(
+        F.collect_set(F.unix_date("match_date")).alias("days"))
+    met = matches.select(*key, "ord", "home_key", "away_key").join(calendars, ["home_key", "away_key"])
+    pools = met.groupBy(*key).agg(F.collect_list(F.struct("ord", "days")).alias("met")).select(
+        *key, F.transform("met", lambda m: m["ord"]).alias("ords"), F.transform("met", lambda m: m["days"]).alias("calendars"))
+    types = {f.name: f.dataType.simpleString() for f in pools.schema.fields}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, POOLS_AT_ONCE):
+                part = batch.slice(at, POOLS_AT_ONCE)
+                day, n = best_days(part.column("ords"), part.column("calendars"), window)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in key], pa.array(day, pa.int32()), pa.array(n, pa.int64())], [*key, "day", "n"])
+
+    schema = ", ".join([*[f"{k} {types[k]}" for k in key], "day int, n bigint"])
+    return pools.mapInArrow(best, schema).where(F.col("n") >= minimum).select(*key, F.date_from_unix_date("day").alias("day"), "n")
+
+
+def best_days(ords: pa.Array, calendars: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Day and number of supporting matches of every pool, from the match numbers and the calendars of its matches.
+
+    The same match met several times supports a day once. A day counts only if a fixture lies on it.
+    """
+    n = len(ords)
+    per_pool = np.asarray(ords.value_lengths().fill_null(0))
+    pool = np.repeat(np.arange(n), per_pool)
+    match = np.asarray(ords.flatten()).astype(np.int64)
+    lists = calendars.flatten()
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    day = np.asarray(lists.flatten()).astype(np.int64)
+    pool, match = np.repeat(pool, size), np.repeat(match, size)
+    low = int(day.min(initial=0)) - window
+    span = int(day.max(initial=0)) - low + 1
+    # (pool, supported day, match) as sorted distinct rows; offset 0 first marks the days a fixture lies on.
+    supported = [np.stack([pool, day - low - k, match]) for k in range(window + 1)]
+    rows = np.unique(np.concatenate(supported, axis=1), axis=1)
+    cell, counts = np.unique(rows[0] * span + rows[1], return_counts=True)
+    own = np.isin(cell, np.unique(pool * span + day - low))
+    cell, counts = cell[own], counts[own]
+    out_day, out_n = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    order = np.lexsort((cell, -counts, cell // span))
+    owner = cell[order] // span
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    out_day[owner[head]] = cell[order][head] % span + low
+    out_n[owner[head]] = counts[order][head]
+    return out_day, out_n
 
 
 def _chronology(dates: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -56,6 +56,7 @@ def archive_page(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The winning outcome is the marked span, the last one when several are marked.
     """
+    pages = pages.withColumn(html, T.compose(html))
     tables = _all(F.col(html), TABLE)
     base = pages.withColumn("__t", tables).where(F.size("__t") > 0).withColumn("__r", _all(F.col("__t")[0], ROW))
 
@@ -109,6 +110,7 @@ def price_page(pages: DataFrame, html: str = "html", out: str = "lines") -> Data
 
     The cell class names the outcome. The fixture list completes a table that misses rows.
     """
+    pages = pages.withColumn(html, T.compose(html))
     tables = _all(F.col(html), TABLE)
     rows = F.filter(_all(F.try_element_at(tables, F.lit(-1)), ROW_ATTR), lambda r: r.rlike(MATCH))
 

@@ -12,8 +12,10 @@ Draws come from an integer mixing function, so a run is reproducible whatever th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ SEED = 1789
 BACKTEST_REPLICATES = 3000
 ANALYSIS_REPLICATES = 4000
 MODULUS = 2147483629
+_ROWS, _CELLS = 1024, 1 << 15  # rows, and numbers, that a task draws for at once: they stay in its cache
 
 
 def mixed(replicate: Column, row: Column, seed: int = SEED) -> Column:
@@ -55,17 +58,15 @@ def poisson_weight(u: Column) -> Column:
 def replicate_means(df: DataFrame, values: Sequence[str], row: str, replicates: int, *,
                     method: str = "resample", seed: int = SEED) -> DataFrame:
     """``b`` and one mean per value column and replicate. ``row`` is a unique integer row key."""
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    # Each row fans out ``replicates`` times: spread the rows over every core first, the adaptive
-    # planner would otherwise merge the few input bytes into one task.
-    cores = df.sparkSession.sparkContext.defaultParallelism
     if method == "poisson":
-        drawn = (df.select(*values, row).repartition(cores, row).select(*values, row, numbers)
-                 .withColumn("u", mixed(F.col("b"), F.col(row), seed)).withColumn("w", poisson_weight(F.col("u"))))
-        return drawn.groupBy("b").agg(*[(F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values])
+        return _poisson_means(df, list(values), row, replicates, seed)
     if method != "resample":
         raise ValueError(f"unknown bootstrap method {method}")
     df = cut_lineage(df.select(*values, row))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+    # Each row fans out ``replicates`` times: spread the rows over every core first, the adaptive
+    # planner would otherwise merge the few input bytes into one task.
+    cores = df.sparkSession.sparkContext.defaultParallelism
     indexed = running_total(df.withColumn("__one", F.lit(1)), [], row, "__one", "ix")
     n = df.agg(F.count("*")).scalar()
     slots = indexed.select("ix").repartition(cores, "ix").select(
@@ -73,6 +74,50 @@ def replicate_means(df: DataFrame, values: Sequence[str], row: str, replicates:
     return slots.join(indexed.select("ix", *values), "ix").groupBy("b").agg(*[F.avg(v).alias(v) for v in values])
 
 
+def _weights(rows: np.ndarray, replicates: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, weights of replicates x rows): the draws of ``mixed`` and ``poisson_weight``, some replicates at a time."""
+    limits = poisson_limits()
+    step = max(1, _CELLS // max(1, len(rows)))
+    base = rows % MODULUS * 9973 + seed
+    for first in range(0, replicates, step):
+        b = np.arange(first, min(first + step, replicates), dtype=np.int64)
+        a = (b[:, None] * 40503 + base) % MODULUS
+        c = (a * a + 7) % MODULUS
+        u = (c * c + 3) % MODULUS
+        w = np.zeros(u.shape, np.int8)
+        for limit in limits:
+            w += u >= limit
+        yield first, w
+
+
+def _poisson_means(df: DataFrame, values: list[str], row: str, replicates: int, seed: int) -> DataFrame:
+    """A partial aggregate: every task adds up its rows in one vector per value and hands on ``replicates`` rows, whatever it read."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, sums, some = np.zeros(replicates), np.zeros((len(values), replicates)), False
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                keys = part.column(row).to_numpy(zero_copy_only=False).astype(np.int64)
+                held = np.nan_to_num(np.array([part.column(v).to_numpy(zero_copy_only=False) for v in values], np.float64))
+                some = some or len(keys) > 0
+                for first, w in _weights(keys, replicates, seed):
+                    own = slice(first, first + len(w))
+                    drawn[own] += w.sum(axis=1, dtype=np.int64)
+                    sums[:, own] += held @ w.T.astype(np.float64)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(drawn), *map(pa.array, sums)],
+                                             ["b", "drawn", *[f"s{i}" for i in range(len(values))]])
+
+    rows = df.where(F.col(row).isNotNull()).select(F.col(row).cast("long").alias(row), *[F.col(v).cast("double").alias(v) for v in values])
+    # Every row is weighed ``replicates`` times: the few input bytes are spread over every core.
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, row)
+    fields = "".join(f", s{i} double" for i in range(len(values)))
+    partial = rows.mapInArrow(add, f"b int, drawn double{fields}")
+    return partial.groupBy("b").agg(F.sum("drawn").alias("drawn"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(values))]).select(
+        "b", *[F.try_divide(f"s{i}", "drawn").alias(v) for i, v in enumerate(values)])
+
+
 def bootstrap_interval(df: DataFrame, values: Sequence[str], row: str, replicates: int, *,
                        method: str = "resample", seed: int = SEED, level: float = 0.95) -> DataFrame:
     """``name, low, high`` per value column: elements of the sorted replicate means."""
@@ -122,13 +167,37 @@ def top_share_frame(df: DataFrame, value: str) -> DataFrame:
                        F.when(F.col("total") != 0, top / F.col("total")).otherwise(F.lit(0.0)).alias("top_share"))
 
 
+CELLS = 4096  # of a counting pass
+
+
+def nth_key(df: DataFrame, key: str, rank: int) -> int:
+    """The whole-number key at ascending 0-based ``rank``, by counting: each pass counts the keys per cell of the range that
+    still holds it and goes on in one cell. At most six passes for 64 bits; a task hands on a row per cell."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    while low < high:
+        width = -(-(high - low + 1) // CELLS)
+        inside = df.where(F.col(key).between(low, high))
+        cell = F.expr(f"cast((cast(`{key}` as decimal(38,0)) - ({low})) div cast({width} as decimal(38,0)) as int)")
+        counts = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy("cell"))
+        found = counts.withColumn("upto", upto).where(F.col("upto") > rank).orderBy("cell").first()
+        rank -= found["upto"] - found["n"]
+        low, high = low + found["cell"] * width, min(high, low + (found["cell"] + 1) * width - 1)
+    return low
+
+
 def split_half(df: DataFrame, day: str, key: str) -> DataFrame:
-    """Adds ``half``: ``A`` for the first ``n // 2`` rows by (day, key), ``B`` for the others."""
-    from poolspark.scale import order_statistics
+    """Adds ``half``: ``A`` for the first ``n // 2`` rows by (day, key), ``B`` for the others; rows without a day come first.
 
-    # Days since 1970 and the row key packed in one exactly representable number.
-    packed = F.unix_date(F.col(day)).cast("long") * (1 << 36) + F.col(key)
-    marked = df.withColumn("__packed", packed)
-    n = F.col("n")
-    cut = order_statistics(marked, "__packed", {"cut": (0.5, F.floor(n / 2))}).select("cut").scalar()
-    return marked.withColumn("half", F.when(F.col("__packed") < cut, "A").otherwise("B")).drop("__packed")
+    Rows are counted per day, a table of one row a day, and the cut inside its day is found by counting keys.
+    """
+    upto = F.sum("n").over(Window.orderBy(F.col("d").asc_nulls_first()))
+    days = df.groupBy(F.unix_date(F.col(day)).alias("d")).agg(F.count("*").alias("n")).withColumn("upto", upto)
+    n = df.count()
+    if n < 2:
+        return df.withColumn("half", F.lit("B"))
+    at = days.where(F.col("upto") > n // 2).orderBy("upto").first()
+    of_day = F.unix_date(F.col(day)).eqNullSafe(F.lit(at["d"]).cast("int"))
+    cut = nth_key(df.where(of_day), key, n // 2 - (at["upto"] - at["n"]))
+    earlier = F.lit(False) if at["d"] is None else F.col(day).isNull() | (F.unix_date(F.col(day)) < at["d"])
+    return df.withColumn("half", F.when(earlier | (of_day & (F.col(key) < cut)), "A").otherwise("B"))

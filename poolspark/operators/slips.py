@@ -6,8 +6,8 @@ A multi-slip is ``choices array<array<int>>`` (one set of outcomes 0/1/2 per mat
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ENUMERATION_CAP = 300_000
 REDUCTION_CAP = 8_000
 PREVIEW = 40
+_PLACES = 1 << 21  # codes that get a place each: up to 13 matches
+_NEAR = 1 << 17  # neighbours worked on at once
 SIGNS = "1N2"
 
 
@@ -182,6 +184,7 @@ def presets(matches: str = "matches") -> dict[str, Column]:
             "clear": F.expr(f"transform({matches}, m -> cast(array() as array<int>))")}
 
 
+@lru_cache(maxsize=64)
 def ball(n: int, distance: int) -> np.ndarray:
     """Ways to change at most ``distance`` of ``n`` signs: one row per way, what is added to each sign (modulo 3)."""
     ways = [np.zeros((1, n), np.int8)]
@@ -194,68 +197,74 @@ def ball(n: int, distance: int) -> np.ndarray:
 
 
 class Neighbours:
-    """The given slips near a slip, from its code alone: every code within the distance is made and looked up.
+    """The given slips near some of them, from their codes alone: every code within the distance is made and looked up.
 
-    ``codes`` ascend and are distinct; memory is linear in their number.
+    ``codes`` ascend and are distinct; what is held is linear in their number, or one place per possible code.
     """
 
     def __init__(self, codes: np.ndarray, n: int, distance: int):
-        self.codes, self.n = codes, n
+        self.codes = codes
         self.weights = 3 ** np.arange(n - 1, -1, -1, dtype=np.int64)
+        self.signs = (codes[:, None] // self.weights % 3).astype(np.int8)
         self.ways = ball(n, distance)
-
-    def of(self, i: int) -> np.ndarray:
-        signs = self.codes[i] // self.weights % 3
-        near = ((signs + self.ways) % 3) @ self.weights
+        self.place = None
+        if 3 ** n <= _PLACES:
+            self.place = np.full(3 ** n, -1, np.int32)
+            self.place[codes] = np.arange(len(codes))
+
+    def of(self, some: np.ndarray) -> np.ndarray:
+        """Indexes of the slips near each of ``some``, one after the other."""
+        near = (((self.signs[some][:, None, :] + self.ways) % 3) @ self.weights).ravel()
+        if self.place is not None:
+            at = self.place[near]
+            return at[at >= 0]
         at = np.minimum(np.searchsorted(self.codes, near), len(self.codes) - 1)
         return at[self.codes[at] == near]
 
-    def counts(self) -> np.ndarray:
-        """How many of the slips are near each: one lookup of all codes per way."""
-        signs = (self.codes[:, None] // self.weights % 3).astype(np.int8)
-        found = np.zeros(len(self.codes), np.int64)
-        for way in self.ways:
-            near = ((signs + way) % 3) @ self.weights
-            at = np.minimum(np.searchsorted(self.codes, near), len(self.codes) - 1)
-            found += self.codes[at] == near
-        return found
+    def parts(self, some: np.ndarray):
+        """``some`` in parts whose neighbours fit in a bounded array."""
+        step = max(1, _NEAR // len(self.ways))
+        for at in range(0, len(some), step):
+            yield some[at:at + step]
 
 
 def greedy_cover(codes: np.ndarray, n: int, guarantee: int, coverage: float) -> tuple[list[int], int]:
     """Indexes chosen by the greedy cover (most newly covered, lowest index on ties) and the covered count.
 
-    A slip covers those that share ``guarantee`` signs with it: the codes in a ball around its own. Gains only fall, so
-    a queue holds the last known gain of every slip and only the slip at its head is counted again.
+    A slip covers those that share ``guarantee`` signs with it: the codes in a ball around its own. Every slip holds the
+    number it would cover; each slip that is covered takes itself out of its neighbours' numbers, once.
     """
     total = len(codes)
     if guarantee > n or not total:
         return [], 0
-    order = np.argsort(codes, kind="stable")
-    ascending = codes[order]
     # Equal slips are one code; the lowest index stands for them, and each counts.
-    first = np.concatenate([[True], ascending[1:] != ascending[:-1]])
-    distinct, index = ascending[first], order[first]
-    copies = np.diff(np.append(np.flatnonzero(first), total))
+    distinct, index, copies = np.unique(codes, return_index=True, return_counts=True)
     near = Neighbours(distinct, n, n - guarantee)
-    gains = near.counts() if (copies == 1).all() else np.array([copies[near.of(i)].sum() for i in range(len(distinct))])
-    left = copies.copy()
-    queue = [(-int(g), int(ix), i) for i, (g, ix) in enumerate(zip(gains, index))]
-    heapq.heapify(queue)
-    goal, covered, chosen = int(np.ceil(coverage * total)), 0, []
-    while covered < goal and queue:
-        known, ix, i = queue[0]
-        own = near.of(i)
-        gain = int(left[own].sum())
-        if gain != -known:
-            if gain:
-                heapq.heapreplace(queue, (-gain, ix, i))
+    everything = np.arange(len(distinct))
+    gains = np.zeros(len(distinct), np.int64)
+
+    def spread(some: np.ndarray, sign: int) -> None:
+        for part in near.parts(some):
+            if (copies[part] == 1).all():
+                gains[:] += sign * np.bincount(near.of(part), minlength=len(gains))
             else:
-                heapq.heappop(queue)
-            continue
-        heapq.heappop(queue)
-        chosen.append(ix)
-        covered += gain
-        left[own] = 0
+                for i in part:
+                    gains[near.of(np.array([i]))] += sign * copies[i]
+
+    spread(everything, 1)
+    left = np.ones(len(distinct), bool)
+    goal, covered, chosen = int(np.ceil(coverage * total)), 0, []
+    by_index = np.argsort(index, kind="stable")
+    while covered < goal:
+        best = int(by_index[gains[by_index].argmax()])
+        if gains[best] <= 0:
+            break
+        chosen.append(int(index[best]))
+        own = near.of(np.array([best]))
+        newly = own[left[own]]
+        covered += int(copies[newly].sum())
+        left[newly] = False
+        spread(newly, -1)
     return chosen, covered
 
 
@@ -281,19 +290,19 @@ def reduce_slips(slips: DataFrame, key: Sequence[str], guarantee: int, coverage:
         *key, "n", F.size("s").cast("long").alias("n_slips"), F.expr("transform(s, x -> x.ix)").alias("ix"),
         F.expr("transform(s, x -> x.code)").alias("codes"))
 
-    @F.pandas_udf("struct<slips array<struct<ix bigint,code bigint>>, covered bigint>")
+    @F.pandas_udf("struct<ix array<bigint>, code array<bigint>, covered bigint>")
     def cover(indexes: pd.Series, codes: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         found = []
         for own, slip_codes, n in zip(indexes, codes, sizes):
             slip_codes = np.asarray(slip_codes)
             chosen, covered = greedy_cover(slip_codes, int(n), guarantee, coverage)
-            found.append(([{"ix": int(own[i]), "code": int(slip_codes[i])} for i in chosen], covered))
-        return pd.DataFrame(found, columns=["slips", "covered"])
+            found.append((np.asarray(own)[chosen], slip_codes[chosen], covered))
+        return pd.DataFrame(found, columns=["ix", "code", "covered"])
 
     # The search costs far more than its input weighs: keep every core busy.
     cores = slips.sparkSession.sparkContext.defaultParallelism
     reduced = pools.repartition(cores, *key).withColumn("c", cover("ix", "codes", "n")).select(
-        *key, "n", "n_slips", F.col("c.covered").alias("covered"), F.explode_outer("c.slips").alias("s"))
+        *key, "n", "n_slips", F.col("c.covered").alias("covered"), F.explode_outer(F.arrays_zip("c.ix", "c.code")).alias("s"))
     signs = F.expr("transform(sequence(1, n), k -> cast((s.code div cast(pow(3, n - k) as bigint)) % 3 as int))").cast(kind)
     kept = reduced.select(*key, F.col("s.ix").alias(order), F.when(F.col("s").isNotNull(), signs).alias(picks), "n_slips", "covered",
                           F.when(F.col("s").isNull(), "none").otherwise("reduced").alias("status"))

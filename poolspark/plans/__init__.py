@@ -3,7 +3,7 @@
 from poolspark.plans import registry
 
 AREAS = ["market", "crowd", "matching", "slips", "strategies", "category", "publish", "audit", "ingest", "dating", "entity", "nested",
-         "pages", "functions", "streams", "sinks"]
+         "pages", "functions", "streams", "sinks", "files"]
 
 
 def load() -> tuple[dict, dict]:

@@ -80,13 +80,13 @@ SELECT o_orderkey, CAST(o_orderdate AS DATE) AS league, CAST(o_orderdate AS DATE
   year(o_orderdate) < 1997 AS old, strftime(o_orderdate, '%d/%m/%y') AS shown FROM orders""")
 def date_functions(spark, sf):
     day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
-    league = F.when(key % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    league = F.when(key % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(F.add_months(day, 12 * 12), "dd/MM/yy"))
     year = F.year(day).cast("string")
     url = F.concat(F.lit("/fr/"), year, F.lit("-"), (F.year(day) + 1).cast("string"), F.lit("/"), year, F.lit("-grille-"), key.cast("string"), F.lit("/"))
     epoch = F.when(key % 10 != 0, F.unix_timestamp(day.cast("timestamp"))).otherwise(F.lit(0).cast("long"))
     twenty = F.add_months(day, 12 * 12)
     return V.table(spark, sf, "orders").select(
-        "o_orderkey", D.parse_league_date(league).alias("league"),
+        "o_orderkey", F.when(key % 2 == 0, D.parse_league_date(league)).otherwise(F.add_months(D.parse_league_date(league), -12 * 12)).alias("league"),
         F.add_months(D.parse_cup_date(F.date_format(twenty, "dd-MM-yy '20:45'")), -12 * 12).alias("cup"),
         D.epoch_timestamp(epoch).cast("date").alias("epoch"), D.pool_key(F.lit(7), key).alias("key"),
         D.pool_id_of(D.pool_key(F.lit(7), key), F.lit(7)).alias("back"), T.archive_key(url).alias("archive"),

@@ -190,16 +190,9 @@ def positional(spark, sf):
     return J.enrich_archive(shaped).select("pool_id", "status", "priced")
 
 
-@query("fuzzy_completion", ctes=V.POOLS_SQL, sql="""
-SELECT pool_id, string_agg(home || '-' || away, ' · ' ORDER BY ord) AS lines FROM legs
-WHERE pool_id IN (SELECT pool_id FROM legs GROUP BY 1 HAVING count(DISTINCT part % 211) = count(*)) GROUP BY 1""")
+@query("fuzzy_completion")
 def fuzzy_completion(spark, sf):
-    return completed(V.pools(spark, sf).where("size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)"))
-
-
-@query("fuzzy_completion_all")
-def fuzzy_completion_all(spark, sf):
-    # Also pools in which a team number repeats, so that a line has twins; the SQL above has no twin rule.
+    """All pools, also those in which a team number repeats, so that a line has twins; held against brute force in the tests."""
     return completed(V.pools(spark, sf))
 
 

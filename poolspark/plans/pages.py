@@ -45,20 +45,9 @@ PRICE_HTML = """concat('<ul class="repart">', array_join(transform(matches, m ->
       coalesce(concat(m.score_home, '-', m.score_away), ''), '</td></tr>')), ''), '</table>')))"""
 
 
-@query("price_page_extract", ctes=V.POOLS_SQL, sql="""
-SELECT pool_id, string_agg('Equipe' || (part % 211) || '-' || away || '@' || CASE WHEN seen THEN CAST(kickoff AS VARCHAR) || ' 13:55:00'
-    ELSE '' END || '=' || CASE WHEN seen AND p1 IS NOT NULL THEN 'x' ELSE '' END || CASE WHEN seen AND score_home IS NOT NULL THEN
-    score_home || ':' || score_away ELSE '' END, ' | ' ORDER BY ord) AS lines,
-  round(coalesce(sum(p1 + px * 2 + p2 * 3) FILTER (seen), 0), 6) AS price_sum
-FROM (SELECT *, pool_id % 6 <> 0 AND (pool_id % 6 <> 1 OR ord % 2 = 0) AS seen FROM legs
-  WHERE pool_id IN (SELECT pool_id FROM legs GROUP BY 1 HAVING count(DISTINCT part % 211) = count(*))) GROUP BY 1""")
+@query("price_page_extract")
 def price_pages(spark, sf):
-    return price_lines(V.pools(spark, sf).where("size(array_distinct(transform(matches, m -> m.part % 211))) = size(matches)"))
-
-
-@query("price_page_extract_all")
-def price_pages_all(spark, sf):
-    # Also pools in which a team number repeats, so that a line has twins; the SQL above has no twin rule.
+    """All pools, also those in which a team number repeats, so that a line has twins; held against brute force in the tests."""
     return price_lines(V.pools(spark, sf))
 
 
@@ -140,3 +129,16 @@ def page_titles(spark, sf):
     return V.table(spark, sf, "pages").select(
         "page_id", T.clean_html_text(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
         F.size(F.regexp_extract_all("html", F.lit(r"<li[^>]*>"), F.lit(0))).alias("items"))
+
+
+TITLE_SQL = r"""SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]+>', '', 'g'),
+  '&nbsp;', ' '), '&euro;', '€'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages"""
+
+
+@query("title_composition", sql=f"SELECT page_id, nfc_normalize('Équipe Ñandú ' || title) AS title, TRUE AS same FROM ({TITLE_SQL})")
+def title_composition(spark, sf):
+    """Titles written with separate marks are the titles written with whole letters."""
+    whole = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    rows = V.table(spark, sf, "pages").select("page_id", F.concat(F.lit("Équipe Ñandú "), T.clean_html_text(whole)).alias("title"))
+    return rows.select("page_id", T.clean_html_text(T.compose(T.decompose("title"))).alias("title"),
+                       (T.compose(T.decompose("title")) == T.compose("title")).alias("same"))

@@ -34,13 +34,13 @@ def lookup(spark: SparkSession, path: str, schema: str | StructType) -> DataFram
 
 
 def feed_pools(spark: SparkSession, path: str) -> DataFrame:
-    """Feed-form pool documents, one JSON object per file or line."""
-    return spark.read.schema(schemas.POOL).option("multiLine", True).json(path)
+    """Feed-form pool documents, one JSON object per line."""
+    return spark.read.schema(schemas.POOL).json(path)
 
 
-def page_pools(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Page-form pools and, beside them, the files that could not be read."""
-    raw = (spark.read.schema(schemas.PAGE_POOL + f", {CORRUPT} string").option("multiLine", True)
+def page_pools(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Page-form pools and, beside them, the files (or ``lines``, one object each) that could not be read."""
+    raw = (spark.read.schema(schemas.PAGE_POOL + f", {CORRUPT} string").option("multiLine", not lines)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
            .withColumn("file", F.input_file_name()))
     # Spark refuses a scan that reads nothing but the corrupt column: the number is read beside it.
@@ -50,7 +50,8 @@ def page_pools(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def archive_pools(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ARCHIVE_POOL).option("multiLine", True).json(path)
+    """Archive-form pool documents, one JSON object per line."""
+    return spark.read.schema(schemas.ARCHIVE_POOL).json(path)
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
@@ -79,17 +80,40 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
     return lookup(spark, f"{path}/log", schemas.SNAPSHOT + ", version int, bucket int").drop("bucket")
 
 
+def league_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the league files with their file and the place of their split: ``path, at, line``.
+
+    Files are read whole lines at a time in Latin-1, large ones in splits.
+    """
+    text = spark.read.option("encoding", "ISO-8859-1").option("header", False).option("sep", "\u0001").option("quote", "").schema("line string").csv(path)
+    return text.select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("at"), "line").where("line IS NOT NULL")
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """One row per file with lines: ``path, header``; null where no line of its first split names the teams and the date.
+
+    Only first splits are read for it, reduced map-side, so the largest file costs one split.
+    """
+    named = F.col("line").contains("Date,") & F.col("line").rlike("(^|,)(HomeTeam|Home)(,|$)")
+    return lines.where("at = 0").groupBy("path").agg(F.first(F.when(named, F.col("line")), ignorenulls=True).alias("header"))
+
+
+def unrecognised_files(lines: DataFrame) -> DataFrame:
+    """Report of the files no line of which can be read: ``file, what, detail`` (the first line)."""
+    heads = file_headers(lines).where("header IS NULL").select("path")
+    first = lines.where("at = 0").groupBy("path").agg(F.first("line").alias("detail"))
+    return first.join(heads, "path").select(F.col("path").alias("file"), F.lit("en-tête non reconnu").alias("what"), "detail")
+
+
 def fixture_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the league files with their own header: ``path, header, line``. Empty files give nothing.
+    """Lines of the league files with the header of their own file: ``path, header, line``.
 
-    Files are read whole lines at a time in Latin-1; the header is the first line of each file.
+    Empty files give nothing, files whose header is not recognised are rows of ``unrecognised_files``. The headers are one
+    short row per file, a table Spark sends to every task as long as it is small; beyond that a large file is split in the join.
     """
-    text = spark.read.option("encoding", "ISO-8859-1").option("header", False).option("sep", "\u0001").option("quote", "").schema(
-        "line string").csv(path).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("at"), "line")
-    rows = text.where("line IS NOT NULL")
-    heads = rows.where(F.col("line").contains("Date,") & F.col("line").rlike("(^|,)(HomeTeam|Home)(,|$)"))
-    headers = heads.groupBy("path").agg(F.min_by("line", "at").alias("header"))
-    return rows.join(headers, "path").where(F.col("line") != F.col("header")).select("path", "header", "line")
+    lines = league_lines(spark, path)
+    headers = file_headers(lines).where("header IS NOT NULL")
+    return lines.join(headers, "path").where(F.col("line") != F.col("header")).select("path", "header", "line")
 
 
 def parse_fixture_lines(lines: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import unicodedata
 from datetime import date
 
 import pytest
@@ -153,3 +154,10 @@ def test_combo_retention(spark):
     legs = [{"p1": 3 / 1.14, "px": 3 / 1.14, "p2": 3 / 1.14}] * 7
     row = spark.createDataFrame([(legs,)], "m array<struct<p1:double,px:double,p2:double>>")
     assert row.select(P.combo_retention(F.col("m")).alias("x")).first().x == pytest.approx((1 / 1.14) ** 7)
+
+
+@pytest.mark.parametrize("text", ["Équipe", "Ñandú à l'été", "Việt Nam", "ǘ ế", "plain", "", "é́", "́x", "Ångström"])
+def test_composition_equals_the_canonical_one(one, text):
+    apart = unicodedata.normalize("NFD", text)
+    assert one(T.compose("x"), x=apart) == unicodedata.normalize("NFC", text)
+    assert one(T.compose(T.decompose("x")), x=unicodedata.normalize("NFC", text)) == unicodedata.normalize("NFC", text)

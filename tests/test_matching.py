@@ -1,6 +1,6 @@
 import random
 import re
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,5 +219,24 @@ def test_pools_with_repeated_teams_are_completed_too(spark, monkeypatch):
         fuzzy[k] = " · ".join(f"{h.replace('Equipe', 'Équipe ')}-{a}" for h, a, _ in _completed(bare[::2][::-1], bare))
         done = _completed([] if k % 6 == 0 else full[::2] if k % 6 == 1 else full, bare)
         priced[k] = (" | ".join(f"{x[0]}-{x[1]}{x[2]}" for x in done), sum(x[3] or 0 for x in done if len(x) > 3))
-    assert {r.pool_id: r.lines for r in plan.fuzzy_completion_all(spark, "").collect()} == fuzzy
-    assert {r.pool_id: (r.lines, r.price_sum) for r in pages.price_pages_all(spark, "").collect()} == priced
+    assert {r.pool_id: r.lines for r in plan.fuzzy_completion(spark, "").collect()} == fuzzy
+    assert {r.pool_id: (r.lines, r.price_sum) for r in pages.price_pages(spark, "").collect()} == priced
+
+
+def test_anchor_days_equal_brute_force_with_a_hot_pair(spark):
+    rnd = random.Random(3)
+    day0 = date(2020, 1, 1)
+    fixtures = [(h, a, day0 + timedelta(days=rnd.randrange(60))) for h in "abc" for a in "xyz" for _ in range(3)]
+    fixtures += [("hot", "pair", day0 + timedelta(days=d)) for d in range(0, 1500, 2)] * 2
+    matches = [(7, p, o, *(("hot", "pair") if rnd.random() < 0.4 else (rnd.choice("abc"), rnd.choice("xyz")))) for p in range(60) for o in range(5)]
+    frame = spark.createDataFrame(matches, "pool_type int, pool_id long, ord int, home_key string, away_key string").repartition(3)
+    known = spark.createDataFrame(fixtures, "home_key string, away_key string, match_date date")
+    got = {r.pool_id: (r.day, r.n) for r in D.anchors(frame, known, 2).collect()}
+    want = {}
+    for p in range(60):
+        own = [{f[2] for f in fixtures if f[:2] == m[3:]} for m in matches if m[1] == p]
+        best = max(((sum(any(d + timedelta(days=k) in s for k in range(4)) for s in own), -(d - day0).days) for d in set().union(*own)), default=(0, 0))
+        if best[0] >= 2:
+            want[p] = (day0 - timedelta(days=best[1]), best[0])
+    assert got == want
+    assert D.anchors(frame, known.where("home_key = ''"), 2).count() == 0

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -119,3 +120,34 @@ def test_predecessor_query_holds_no_page_as_an_array(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
     assert {r.page: r.previous for r in out.collect()} == {0: 297, 1: 37, 2: 77}
+
+
+def test_nth_key_by_counting(spark):
+    keys = [-(1 << 60), -5, 0, 0, 0, 7, 1 << 40, (1 << 40) + 1, (1 << 62) + 3]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [B.nth_key(df, "k", i) for i in range(len(keys))] == sorted(keys)
+
+
+def test_split_half_with_keys_beyond_36_bits_and_missing_days(spark):
+    rows = [(None, 5), (None, 1 << 50)] + [("2020-01-01", (1 << 40) + k) for k in range(5)] + [("2020-01-02", k) for k in range(4)]
+    df = spark.createDataFrame(rows, "d string, k long").withColumn("d", F.to_date("d"))
+    got = {(str(r.d) if r.d else None, r.k) for r in B.split_half(df, "d", "k").where("half = 'A'").collect()}
+    assert got == {(None, 5), (None, 1 << 50), *[("2020-01-01", (1 << 40) + k) for k in range(3)]}
+    assert B.split_half(df.where("k < 0"), "d", "k").count() == 0
+
+
+def test_partial_vectors_equal_a_plain_loop(spark):
+    rows = [(k * 12_345_678_901, float(k % 7) - 2.5, float(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
+    got = {r.b: (r.x, r.y) for r in B.replicate_means(df, ["x", "y"], "k", 40, method="poisson").collect()}
+    limits = B.poisson_limits()
+    for b in range(40):
+        weights = []
+        for k, _, _ in rows:
+            a = (b * 40503 + k % B.MODULUS * 9973 + B.SEED) % B.MODULUS
+            c = (a * a + 7) % B.MODULUS
+            weights.append(sum((c * c + 3) % B.MODULUS >= limit for limit in limits))
+        want = [sum(w * r[i] for w, r in zip(weights, rows)) / sum(weights) for i in (1, 2)]
+        assert got[b] == pytest.approx(want)
+    plan = B.replicate_means(df, ["x"], "k", 40, method="poisson")._jdf.queryExecution().toString()
+    assert "Generate" not in plan and B.replicate_means(df.where("k < 0"), ["x"], "k", 40, method="poisson").count() == 0
