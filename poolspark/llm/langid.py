@@ -12,11 +12,14 @@ and text.
 
 Training has the language of a whole text only. Sequences are made of spans of several sampled texts, one
 after the other, each word with the language of its text; so the transitions see switches. The sample is
-bounded (``rows``) and learnt from in one task with adaptive rates.
+bounded and learnt from in one task with adaptive rates: ``rows`` texts in equal shares of the languages, at
+least one of each, and ``SPAN`` words a text. A longer text gives stretches spread evenly from its first word
+to its last one.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no runs; a language that is
 null is not learnt from; without any training row all texts are ``und``; ties go to the language that sorts
-first; repeated rows score alike; other columns stay, the outputs are replaced.
+first; repeated rows score alike and are learnt from once; an id on several texts is several rows; other columns
+stay, the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolspark.llm import store
@@ -34,7 +37,8 @@ from poolspark.llm import words as W
 
 U64 = np.uint64
 ROWS = 4_000  # texts of the training sample
-SPAN = 2_000  # words of a sampled text that are trained on
+SPAN = 2_000  # words of a sampled text that are trained on, in stretches spread over all of it
+STRETCH = 40
 BITS = 18
 LEXICON = 300
 BLOCK = 64
@@ -162,6 +166,15 @@ def _words(column: pa.Array):
     return data, start, end, doc
 
 
+def stretches(n: int, span: int = SPAN, size: int = STRETCH) -> np.ndarray:
+    """(first, last) words to learn from in a text of ``n`` words: all, or ``span`` words in stretches spread evenly over it."""
+    if n <= span:
+        return np.array([[0, n - 1]])
+    count = span // size
+    first = np.arange(count) * (n - size) // (count - 1)
+    return np.stack([first, first + size - 1], 1)
+
+
 def _learn(rows: list[tuple[str, bytes]], epochs: int, rate: float, l2: float) -> Model:
     langs = sorted({lang for lang, _ in rows})
     label = {lang: i for i, lang in enumerate(langs)}
@@ -170,16 +183,16 @@ def _learn(rows: list[tuple[str, bytes]], epochs: int, rate: float, l2: float) -
     offsets[-1] -= 1
     start, end, doc = W.spans(data, offsets, W.PUNCTUATION)
     lang = np.array([label[x] for x, _ in rows])[doc]
-    keep = np.arange(len(doc)) - np.searchsorted(doc, doc) < SPAN
-    start, end, doc, lang = start[keep], end[keep], doc[keep], lang[keep]
     hashes = W.span_hashes(data, start, end)
     # Lexicon: for each language its most frequent words; a word's value is the set of languages that list it.
+    # The set is written as the sum of a random number per language, so any number of languages can be told apart.
     members: dict[int, int] = {}
+    mark = W.mix(np.arange(1, len(langs) + 1, dtype=U64)).tolist()
     for i in range(len(langs)):
         words, n = W.counted(hashes[lang == i])
         for w in words[np.argsort(-n, kind="stable")[:LEXICON]].tolist():
-            members[w] = members.get(w, 0) | 1 << min(i, 62)
-    lexicon = {"word": np.array(sorted(members), U64), "langs": np.array([members[w] for w in sorted(members)], np.int64)}
+            members[w] = (members.get(w, 0) + mark[i]) & (1 << 64) - 1
+    lexicon = {"word": np.array(sorted(members), U64), "langs": np.array([members[w] for w in sorted(members)], U64)}
     distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
     place = np.argsort(sample)
     rank = np.empty(len(place), np.int64)
@@ -248,17 +261,28 @@ def _expected(emission, gold, size, transition):
     own = np.zeros((n, longest, k))
     own[live] = gold
     seen = np.einsum("nti,ntj->ij", own[:, :-1], own[:, 1:])
-    return p, pairs, seen
+    # Before the first word stands an unseen one of any language, so its transitions count by their share.
+    share, first = step / step.sum(0), np.cumsum(size) - size
+    return p, pairs + share * p[first].sum(0), seen + share * gold[first].sum(0)
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS, epochs: int = 2, rate: float = 0.2,
         l2: float = 0.01) -> Model:
-    """Learn from at most ``rows`` texts of ``docs``, those with the smallest hash of the id."""
-    chosen = (docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("y")).where("k is not null and y is not null")
-              .withColumn("o", F.xxhash64("k")).orderBy("o", "y").limit(rows))
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.lower(F.col(text).cast("string")).alias("t")).where("t is not null")
-    # The sample holds ``rows`` ids: that is what is broadcast.
-    sample = texts.join(F.broadcast(chosen), "k").select("o", "y", "t").repartition(1).sortWithinPartitions("o", "y", "t")
+    """Learn from at most ``rows`` texts of ``docs`` (one of each language, should there be more languages than that).
+
+    Every language has the same share, its rows with the smallest hash of the id and of the text. Equal rows are one.
+    """
+    usable = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("y"),
+                         F.lower(F.col(text).cast("string")).alias("t")).where("k is not null and y is not null and t is not null")
+    marked = usable.select(F.xxhash64("k").alias("o"), F.xxhash64("t").alias("h"), "y", "t")
+    tongues = usable.select("y").distinct().count()
+    place = F.row_number().over(Window.partitionBy("y").orderBy("o", "h"))
+    # Tasks keep their own first rows of a language, so a frequent language does not reach one task whole.
+    chosen = (marked.select("o", "h", "y").withColumn("place", place)
+              .where(F.col("place") <= max(1, rows // max(1, tongues))).select("o", "h", "y").distinct())
+    # The sample is what is broadcast: max(``rows``, languages) rows of two numbers and a name.
+    sample = (marked.join(F.broadcast(chosen), ["o", "h", "y"]).groupBy("o", "h", "y").agg(F.min("t").alias("t"))
+              .repartition(1).sortWithinPartitions("o", "y", "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -266,9 +290,9 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
             data, start, end, doc = _words(batch.column("t"))
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             for i, y in enumerate(batch.column("y").to_pylist()):
-                n = min(first[i + 1] - first[i], SPAN)
-                if n:
-                    held.append((y, data[start[first[i]]:end[first[i] + n - 1]].tobytes()))
+                if first[i + 1] > first[i]:
+                    taken = stretches(int(first[i + 1] - first[i])) + first[i]
+                    held.append((y, b"\n".join(data[start[a]:end[b]].tobytes() for a, b in taken.tolist())))
         if held:
             m = _learn(held, epochs, rate, l2)
             body = store.pack([m.weight.ravel(), m.transition.ravel(), m.lexicon["word"], m.lexicon["langs"]])
@@ -276,7 +300,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
     found = sample.mapInArrow(run, "langs string, body binary").collect()  # one row: 2^18 weights per language
     if not found:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), {"word": np.zeros(0, U64), "langs": np.zeros(0, np.int64)})
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), {"word": np.zeros(0, U64), "langs": np.zeros(0, U64)})
     langs = found[0].langs.split("\x00")
     w, t, words, sets = store.unpack(found[0].body)
     return Model(langs, w.reshape(-1, len(langs)), t.reshape(len(langs), len(langs)), {"word": words, "langs": sets})

@@ -233,6 +233,61 @@ def test_switches_inside_a_text_are_found(spark, hard, empty):
     assert {r.lang_pred for r in langid.label(hard, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_words_to_learn_from_are_spread_over_the_whole_text():
+    assert langid.stretches(5).tolist() == [[0, 4]] and langid.stretches(2000).tolist() == [[0, 1999]]
+    for n in (2001, 2500, 10_000, 123_457):
+        taken = langid.stretches(n)
+        assert taken[0, 0] == 0 and taken[-1, 1] == n - 1 and (taken[:, 1] - taken[:, 0] == 39).all() and len(taken) == 50
+        gap = np.diff(taken[:, 0])
+        assert gap.min() >= 40 and gap.max() - gap.min() <= 1
+
+
+def test_rare_languages_are_learnt(spark):
+    # 70 languages, one of them with nearly all rows and one that shows itself only behind 3,000 words without a letter.
+    rng = random.Random(4)
+    word = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 2 + rng.choice("aeiou") + rng.choice("rstk")
+    text = lambda i, n=40: " ".join(word(i) for _ in range(n))
+    rows = [(i, text(0), "l00") for i in range(800)] + [(1000 + i, text(i % 70), f"l{i % 70:02}") for i in range(140)]
+    rows += [(2000, "7 " * 3000 + text(75, 3000), "late")] + [(2001, text(1), "l01")] * 300
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=142)
+    assert model.langs == sorted({r[2] for r in rows})
+    asked = [(i, text(i), f"l{i:02}") for i in range(70)] + [(75, text(75), "late")]
+    got = langid.label(spark.createDataFrame(asked, "doc_id long, text string, expected string"), model)
+    assert got.where("lang_pred = expected").count() >= 69
+
+
+def test_training_slope_equals_finite_differences():
+    rng = np.random.default_rng(3)
+    size, k = np.array([7, 1, 12]), 3
+    emission, transition = rng.normal(size=(size.sum(), k)), rng.normal(size=(k, k))
+    lang = rng.integers(0, k, size.sum())
+    gold = np.eye(k)[lang]
+
+    def loss(e, t):
+        total, at = 0.0, 0
+        for n in size:
+            before = np.logaddexp.reduce(t, axis=0)  # an unseen word of any language stands first
+            state = before + e[at]
+            for i in range(at + 1, at + n):
+                state = np.logaddexp.reduce(state[:, None] + t, axis=0) + e[i]
+            own = (before[lang[at]] + e[np.arange(at, at + n), lang[at:at + n]].sum()
+                   + t[lang[at:at + n - 1], lang[at + 1:at + n]].sum())
+            total, at = total + np.logaddexp.reduce(state) - own, at + n
+        return total
+
+    def slope(f, x):
+        out = np.zeros_like(x)
+        for i in np.ndindex(x.shape):
+            step = np.zeros_like(x)
+            step[i] = 1e-5
+            out[i] = (f(x + step) - f(x - step)) / 2e-5
+        return out
+
+    p, pairs, seen = langid._expected(emission, gold, size, transition)
+    assert np.allclose(p - gold, slope(lambda e: loss(e, transition), emission), atol=1e-6)
+    assert np.allclose(pairs - seen, slope(lambda t: loss(emission, t), transition), atol=1e-6)
+
+
 # Operator 9.
 
 def test_classes_equal_brute_force(spark, prose):
