@@ -8,54 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolspark.functions.prices import SIGNATURE_MARGIN, SIGNATURE_MAX_NUMBERS, SIGNATURE_PRICE
-from poolspark.session import cut_lineage
 
-STEP = 4
+# Levels opened at a time and rounds of them: more levels than parse_json accepts (1,000).
+STEP, ROUNDS = 32, 32
 
-_IS_OBJECT = "startswith(schema_of_variant({v}), 'OBJECT')"
-_IS_ARRAY = "startswith(schema_of_variant({v}), 'ARRAY')"
+_NO_NODES = "cast(array() as array<struct<path:string,value:variant>>)"
 
 
-def walk(df: DataFrame, key: Sequence[str], payload: str, step: int = STEP) -> DataFrame:
+def walk(df: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
     """Every object of a variant payload with its path: ``key, path, object``.
 
-    One linear plan opens ``step`` levels; payloads that go deeper are opened again from where they
-    stopped, so any depth is reached and flat payloads cost a single pass.
+    A payload is opened inside its own row, level by level, by one expression: values stay variants, nothing is
+    shuffled or stored. Empty objects count, null, scalars and lists do not. A payload nested deeper than
+    ``STEP * ROUNDS`` levels fails rather than losing objects.
     """
-    key = list(key)
-    rows = df.select(*key, F.lit("").alias("path"), F.col(payload).alias("value"), F.lit(True).alias("fresh"))
-    done = None
-    while True:
-        for _ in range(step):
-            rows = _open(rows, key)
-        rows = cut_lineage(rows)
-        closed = rows.where("not fresh").select(*key, "path", "value")
-        done = closed if done is None else done.unionByName(closed)
-        rows = rows.where("fresh")
-        if rows.isEmpty():
-            return done.where(_IS_OBJECT.format(v="value")).withColumnRenamed("value", "object")
-
-
-def _open(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Replace every fresh container by itself (closed) and its container children (fresh)."""
-    container = f"({_IS_OBJECT.format(v='x.value')} or {_IS_ARRAY.format(v='x.value')})"
-    children = f"""case
-      when fresh and {_IS_OBJECT.format(v='value')} then transform(
-        map_entries(from_json(to_json(value), 'map<string,variant>')),
-        e -> named_struct('path', if(path = '', e.key, concat(path, '.', e.key)), 'value', e.value))
-      when fresh and {_IS_ARRAY.format(v='value')} then transform(
-        from_json(to_json(value), 'array<variant>'),
-        (v, i) -> named_struct('path', concat(path, '[', i, ']'), 'value', v))
-      end"""
-    opened = f"""concat(array(named_struct('path', path, 'value', value, 'fresh', false)),
-      transform(filter(coalesce({children}, slice(array(named_struct('path', path, 'value', value)), 1, 0)), x -> {container}),
-        x -> named_struct('path', x.path, 'value', x.value, 'fresh', true)))"""
-    return rows.select(*key, F.expr(f"explode({opened})").alias("n")).select(*key, "n.*")
+    opened = f"if(size(s.open) = 0, s, aggregate(sequence(1, {STEP}), s, (s, i) -> if(size(s.open) = 0, s, {_LEVEL})))"
+    start = f"named_struct('done', {_NO_NODES}, 'open', array(named_struct('path', '', 'value', __payload)))"
+    nodes = f"""aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {opened},
+      s -> if(size(s.open) = 0, s.done, raise_error('payload nested too deep')))"""
+    rows = df.select(*key, F.col(payload).alias("__payload")).select(*key, F.explode(F.expr(nodes)).alias("__node"))
+    return rows.select(*key, F.col("__node.path").alias("path"), F.col("__node.value").alias("object"))
+
+
+# One level: the objects among the open values are done, the members of objects and lists are open next.
+_CELLS = """transform(s.open, x -> named_struct('path', x.path, 'value', x.value,
+  'members', map_entries(try_variant_get(x.value, '$', 'map<string,variant>')),
+  'items', try_variant_get(x.value, '$', 'array<variant>')))"""
+_MEMBERS = """transform(c.members, e ->
+  named_struct('path', if(c.path = '', e.key, concat(c.path, '.', e.key)), 'value', e.value))"""
+_ITEMS = "transform(c.items, (v, i) -> named_struct('path', concat(c.path, '[', i, ']'), 'value', v))"
+_LEVEL = f"""element_at(transform(array({_CELLS}), cells -> named_struct(
+  'done', concat(s.done, transform(filter(cells, c -> c.members is not null), c -> named_struct('path', c.path, 'value', c.value))),
+  'open', flatten(transform(cells, c -> coalesce({_MEMBERS}, {_ITEMS}, {_NO_NODES}))))), 1)"""
 
 
 def entries(obj: str) -> Column:
     """``array<struct<key,value variant>>`` of an object column."""
-    return F.expr(f"map_entries(from_json(to_json({obj}), 'map<string,variant>'))")
+    return F.expr(f"map_entries(try_variant_get({obj}, '$', 'map<string,variant>'))")
 
 
 def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object") -> DataFrame:
@@ -66,7 +55,7 @@ def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object")
     """
     low, high = SIGNATURE_PRICE
     number = "schema_of_variant(e.value) rlike '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)'"
-    numbers = f"""transform(filter(cells, e -> {number} and try_variant_get(e.value, '$', 'double') between {low}D and {high}D),
+    numbers = f"""transform(filter(cells, e -> try_variant_get(e.value, '$', 'double') between {low}D and {high}D and {number}),
       e -> named_struct('k', e.key, 'v', variant_get(e.value, '$', 'double')))"""
     n = "size(nums)"
     span = lambda a: f"if({a} > {n}, slice(array(0), 1, 0), sequence({a}, {n}))"

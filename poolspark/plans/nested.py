@@ -61,6 +61,23 @@ def suspects(spark, sf):
     return found.select("pool_id", "path", "margin").orderBy("margin", "pool_id", "path").limit(20)
 
 
+# A payload per pool whose matches carry null, "", [], {} and filled values under several keys.
+FILLED = """concat('{"matches":[', array_join(transform(matches, m -> concat('{"id":', m.match_id,
+  ',"note":', case m.mix % 3 when 0 then 'null' when 1 then '""' else '"x"' end, ',"marks":', if(m.mix % 2 = 0, '[]', '[1,[{"z":null}]]'),
+  ',"meta":', if(m.mix % 5 = 0, '{}', '{"k":0}'), '}')), ','), ']}')"""
+
+
+@query("payload_key_inventory", ctes=V.POOLS_SQL, sql="""
+SELECT key, count(*) AS present, count(*) FILTER (filled) AS filled FROM (
+  SELECT 'matches' AS key, true AS filled FROM pools
+  UNION ALL SELECT 'id', true FROM legs UNION ALL SELECT 'note', mix % 3 = 2 FROM legs
+  UNION ALL SELECT 'marks', mix % 2 <> 0 FROM legs UNION ALL SELECT 'z', false FROM legs WHERE mix % 2 <> 0
+  UNION ALL SELECT 'meta', mix % 5 <> 0 FROM legs UNION ALL SELECT 'k', true FROM legs WHERE mix % 5 <> 0) GROUP BY 1""")
+def payload_key_inventory(spark, sf):
+    bodies = V.pools(spark, sf).select("pool_id", F.expr(f"parse_json({FILLED})").alias("payload"))
+    return N.key_inventory(N.walk(bodies, ["pool_id"], "payload"))
+
+
 RESTRICTED = """transform(matches, m -> named_struct('home', m.home, 'issue', m.code,
   'public', if(m.mix % 4 = 0, null, array(m.p1, m.px, m.p2))))"""
 

@@ -141,6 +141,26 @@ def test_market_signature(spark):
     assert got == {"matches.1": (1.9, 3.6, 4.2), "deep[0].l.m.n.o.p": (2.5, 3.1, 2.9)}
 
 
+def test_walk_equals_plain_recursion(spark):
+    def objects(value, path=""):
+        if isinstance(value, dict):
+            yield path, value
+            for k, v in value.items():
+                yield from objects(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                yield from objects(v, f"{path}[{i}]")
+
+    deep = {"end": 1}
+    for i in range(150):
+        deep = {"n": deep} if i % 2 else [0, deep]
+    bodies = [{}, [], None, 3, "text", {"a": None, "b": "", "c": [], "d": {}}, [1, {"x": [{"y": {}}, None, "z"]}, [[{"é.k": [True]}]]], {"": {"": {}}}, deep]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(99, None)], "id int, j string")
+    rows = N.walk(df.select("id", F.expr("parse_json(j)").alias("object")), ["id"], "object")
+    got = sorted((r.id, r.path, json.dumps(json.loads(r.j), sort_keys=True)) for r in rows.select("id", "path", F.to_json("object").alias("j")).collect())
+    assert got == sorted((i, p, json.dumps(o, sort_keys=True)) for i, b in enumerate(bodies) for p, o in objects(b))
+
+
 def test_key_inventory(spark):
     df = spark.createDataFrame([('{"a":1,"b":null,"c":0}',), ('{"a":"","b":[],"c":false}',)], "j string").select(F.expr("parse_json(j)").alias("object"))
     assert {r.key: (r.present, r.filled) for r in N.key_inventory(df).collect()} == {"a": (2, 1), "b": (2, 0), "c": (2, 2)}
