@@ -42,9 +42,13 @@ _LEVEL = f"""element_at(transform(array({_CELLS}), cells -> named_struct(
   'open', flatten(transform(cells, c -> coalesce({_MEMBERS}, {_ITEMS}, {_NO_NODES}))))), 1)"""
 
 
+def _entries(obj: str) -> str:
+    return f"map_entries(try_variant_get({obj}, '$', 'map<string,variant>'))"
+
+
 def entries(obj: str) -> Column:
     """``array<struct<key,value variant>>`` of an object column."""
-    return F.expr(f"map_entries(try_variant_get({obj}, '$', 'map<string,variant>'))")
+    return F.expr(_entries(obj))
 
 
 def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object") -> DataFrame:
@@ -57,13 +61,13 @@ def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object")
     number = "schema_of_variant(e.value) rlike '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)'"
     numbers = f"""transform(filter(cells, e -> try_variant_get(e.value, '$', 'double') between {low}D and {high}D and {number}),
       e -> named_struct('k', e.key, 'v', variant_get(e.value, '$', 'double')))"""
-    n = "size(nums)"
-    span = lambda a: f"if({a} > {n}, slice(array(0), 1, 0), sequence({a}, {n}))"
+    span = lambda a: f"if({a} > size(nums), slice(array(0), 1, 0), sequence({a}, size(nums)))"
     triples = f"""flatten(flatten(transform({span('1')}, i -> transform({span('i + 1')}, j -> transform({span('j + 1')}, k ->
       named_struct('a', nums[i - 1], 'b', nums[j - 1], 'c', nums[k - 1]))))))"""
-    found = (objects.withColumn("cells", entries(obj)).withColumn("nums", F.expr(numbers))
-             .where(F.size("nums").between(3, SIGNATURE_MAX_NUMBERS))
-             .select(*key, F.explode(F.expr(triples)).alias("t")))
+    # The numbers are bound once; objects with too many or too few give no triple.
+    searched = f"""flatten(transform(filter(transform(array({_entries(obj)}), cells -> {numbers}),
+      nums -> size(nums) between 3 and {SIGNATURE_MAX_NUMBERS}), nums -> {triples}))"""
+    found = objects.select(*key, F.explode(F.expr(searched)).alias("t"))
     margin = 1 / F.col("t.a.v") + 1 / F.col("t.b.v") + 1 / F.col("t.c.v")
     return found.withColumn("m", margin).where(F.col("m").between(*SIGNATURE_MARGIN)).select(
         *key, *[F.col(f"t.{s}.k").alias(f"k{i}") for i, s in enumerate("abc", 1)],
