@@ -24,7 +24,8 @@ WINDOW_DAYS = 3
 LEAD = 3
 BY_EXACT_DAY = "date_exacte"
 
-CHUNK = 2_000
+CHUNK = 10_000
+WORD_BITS = 64
 
 
 def distinct_names(fixtures: DataFrame, order: Sequence[str], columns: Sequence[str] = ("home_name", "away_name")) -> DataFrame:
@@ -36,11 +37,38 @@ def distinct_names(fixtures: DataFrame, order: Sequence[str], columns: Sequence[
         F.min_by("display", first).alias("display"), F.min(first).alias("first"))
 
 
+def _places(plain: list[str], alphabet: dict[str, int]) -> np.ndarray:
+    """Per letter and text the places of the letter among the first 64, as the bits of a word."""
+    codes = np.array(plain, dtype=f"U{WORD_BITS}").view(np.uint32).reshape(len(plain), WORD_BITS)
+    letters = np.array([ord(c) for c in alphabet], dtype=np.uint32)  # ascending, as the alphabet is
+    bits = np.zeros((len(alphabet), len(plain)), dtype=np.uint64)
+    for place in range(WORD_BITS):
+        held = np.flatnonzero(codes[:, place])
+        bits[np.searchsorted(letters, codes[held, place]), held] |= np.uint64(1) << np.uint64(place)
+    return bits
+
+
+def _common_subsequences(places: np.ndarray, target: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of the target with every text at once, one letter per step.
+
+    A cleared bit marks a place where the subsequence grows by one.
+    """
+    state = np.full(places.shape[1], ~np.uint64(0), dtype=np.uint64)
+    met, rest = np.empty_like(state), np.empty_like(state)
+    for letter in target:
+        np.bitwise_and(state, places[letter], out=met)
+        np.subtract(state, met, out=rest)
+        np.add(state, met, out=state)
+        np.bitwise_or(state, rest, out=state)
+    return np.bitwise_count(~state).astype(np.int64)
+
+
 def _best(names: pd.DataFrame, known: pd.DataFrame, order: Sequence[str]) -> list[tuple]:
     """Top candidates of every name within one block of the dictionary.
 
-    The character overlap bounds the ratio from above; candidates are scored by falling bound until
-    the bound drops below the twelfth score, so the pruning loses nothing.
+    The blocks a ratio counts are a common subsequence, so it is bounded by the letters in common and, closer, by
+    the longest common subsequence. Candidates are scored by falling bound until the bound drops below the
+    twelfth score: the pruning loses nothing.
     """
     plain = known["plain"].tolist()
     alphabet = {c: i for i, c in enumerate(sorted(set("".join(plain))))}
@@ -52,7 +80,10 @@ def _best(names: pd.DataFrame, known: pd.DataFrame, order: Sequence[str]) -> lis
     folded, display = known["folded"].tolist(), known["display"].tolist()
     values = list(zip(*[[None if pd.isna(v) else v for v in known[c]] for c in order]))
     first = [tuple((v is not None, v if v is not None else 0) for v in row) for row in values]  # nulls first
-    matchers = [SequenceMatcher(None, "", p) for p in plain]
+    matchers: dict[int, SequenceMatcher] = {}
+    places = _places(plain, alphabet)
+    # A longer text, or one with the character that pads the others, keeps the bound by letters.
+    short = np.array([len(p) <= WORD_BITS and "\0" not in p for p in plain], dtype=bool)
     holders: dict[str, list[int]] = {}
     for row, listed in enumerate(known["words"]):
         for word in listed:
@@ -64,16 +95,22 @@ def _best(names: pd.DataFrame, known: pd.DataFrame, order: Sequence[str]) -> lis
             if char in alphabet:
                 own[alphabet[char]] = n
         total = lengths + len(target)
-        bound = np.where(total > 0, 2.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(total, 1), 1.0)
+        common = np.minimum(counts, own).sum(axis=1)
+        bound = np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
         shared = np.zeros(len(plain), dtype=bool)
         for word in target_words:
             shared[holders.get(word, [])] = True
+        closer = np.flatnonzero((shared | (bound >= SIMILARITY)) & short & (total > 0))
+        longest = _common_subsequences(places[:, closer], [alphabet[c] for c in target if c in alphabet])
+        bound[closer] = 2.0 * np.minimum(common[closer], longest) / total[closer]
         ceiling = bound + WORD_BONUS * shared
         possible = np.flatnonzero(shared | (bound >= SIMILARITY))
         found: list[tuple[float, tuple, int]] = []  # (-score, first, row), best first
         for j in possible[np.argsort(-ceiling[possible], kind="stable")].tolist():
             if len(found) == TOP and ceiling[j] < -found[-1][0] - 1e-12:
                 break
+            if j not in matchers:
+                matchers[j] = SequenceMatcher(None, "", plain[j])
             matchers[j].set_seq1(target)
             ratio = matchers[j].ratio()
             if shared[j] or ratio >= SIMILARITY:

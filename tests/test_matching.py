@@ -144,6 +144,40 @@ def test_candidates_equal_brute_force(spark):
         assert got == expected
 
 
+def test_longest_common_subsequences():
+    import random
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdé ") for _ in range(rnd.choice([0, 1, 7, 40, 63, 64]))) for _ in range(60)]
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+    for target in ["", "a", "é b", texts[3], texts[7][::-1], "abcd" * 30]:
+        got = E._common_subsequences(E._places(texts, alphabet), [alphabet[c] for c in target if c in alphabet])
+        for text, n in zip(texts, got.tolist()):
+            row = [0] * (len(text) + 1)
+            for c in target:
+                last = 0
+                for i, d in enumerate(text):
+                    last, row[i + 1] = row[i + 1], last + 1 if c == d else max(row[i + 1], row[i])
+            assert n == row[-1]
+
+
+def test_candidates_of_odd_names_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    known = ["", "a", "x" * 64, "x" * 65, "real " * 20, "real madrid", "réal-madrid", "a\0b", "b a", "zzz", "ab " * 90]
+    names = ["", "a", "x" * 63 + "y", "x" * 70, "real", "madrid real", "a\0b", "ab " * 88 + "c"]
+    plain = lambda t: t.replace("é", "e").lower()
+    words = lambda t: set(plain(t).replace("-", " ").split())
+    expected = {}
+    for n in names:
+        scored = [(-(SequenceMatcher(None, plain(n), plain(k)).ratio() + 0.3 * bool(words(n) & words(k))), i) for i, k in enumerate(known)
+                  if words(n) & words(k) or SequenceMatcher(None, plain(n), plain(k)).ratio() >= 0.55]
+        expected[n] = [i for _, i in sorted(scored)[:12]]
+    dictionary = spark.createDataFrame([(f"k{i}", k, (i,)) for i, k in enumerate(known)], "folded string, display string, first struct<i:int>")
+    rows = E.name_candidates(spark.createDataFrame([(n,) for n in names], "name string"), dictionary).orderBy("name", "rank").collect()
+    assert {n: [int(r.folded[1:]) for r in rows if r.name == n] for n in names} == expected
+
+
 def _day(spark, matches, known):
     rows = spark.createDataFrame(matches, "home string, away string, day date, score_home int, score_away int")
     return rows, fixtures(spark, known)
