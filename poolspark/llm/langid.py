@@ -270,19 +270,24 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
         l2: float = 0.01) -> Model:
     """Learn from at most ``rows`` texts of ``docs`` (one of each language, should there be more languages than that).
 
-    Every language has the same share, its rows with the smallest hash of the id and of the text. Equal rows are one.
+    Every language has the same share, its rows with the smallest hash of id and text. Equal rows are one.
     """
     usable = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("y"),
                          F.lower(F.col(text).cast("string")).alias("t")).where("k is not null and y is not null and t is not null")
-    marked = usable.select(F.xxhash64("k").alias("o"), F.xxhash64("t").alias("h"), "y", "t")
-    tongues = usable.select("y").distinct().count()
-    place = F.row_number().over(Window.partitionBy("y").orderBy("o", "h"))
-    # Tasks keep their own first rows of a language, so a frequent language does not reach one task whole.
-    chosen = (marked.select("o", "h", "y").withColumn("place", place)
-              .where(F.col("place") <= max(1, rows // max(1, tongues))).select("o", "h", "y").distinct())
-    # The sample is what is broadcast: max(``rows``, languages) rows of two numbers and a name.
-    sample = (marked.join(F.broadcast(chosen), ["o", "h", "y"]).groupBy("o", "h", "y").agg(F.min("t").alias("t"))
-              .repartition(1).sortWithinPartitions("o", "y", "h"))
+    marked = usable.select(F.xxhash64("k", "t").alias("o"), "y", "t")
+    slim = marked.select("o", "y")
+    # The model holds 2^18 weights a language; a name and a number of each are far smaller.
+    sizes = slim.groupBy("y").agg(F.approx_count_distinct("o", 0.02).alias("n"))
+    share = max(1, rows // max(1, slim.select("y").distinct().count()))
+    # Hashes are even, so those below this cut hold four times the share (and all rows of a small language): the rows
+    # ranked by language are few, whatever the table.
+    below = F.col("o") / F.lit(2.0**64) + 0.5 <= (4 * share + 64) / F.col("n")
+    place = F.row_number().over(Window.partitionBy("y").orderBy("o"))
+    chosen = (slim.join(F.broadcast(sizes), "y").where(below).select("o", "y").distinct().withColumn("place", place)
+              .where(F.col("place") <= share).drop("place"))
+    # The sample is what is broadcast: max(``rows``, languages) rows of a number and a name.
+    sample = (marked.join(F.broadcast(chosen), ["o", "y"]).groupBy("o", "y").agg(F.min("t").alias("t"))
+              .repartition(1).sortWithinPartitions("o", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []

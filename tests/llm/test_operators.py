@@ -249,6 +249,7 @@ def test_rare_languages_are_learnt(spark):
     text = lambda i, n=40: " ".join(word(i) for _ in range(n))
     rows = [(i, text(0), "l00") for i in range(800)] + [(1000 + i, text(i % 70), f"l{i % 70:02}") for i in range(140)]
     rows += [(2000, "7 " * 3000 + text(75, 3000), "late")] + [(2001, text(1), "l01")] * 300
+    rows += [(3000, text(72, 5 + i % 60), "same") for i in range(900)]  # one id on many texts
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=142)
     assert model.langs == sorted({r[2] for r in rows})
     asked = [(i, text(i), f"l{i:02}") for i in range(70)] + [(75, text(75), "late")]
