@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolspark.scale import LEVELS, WIDTH, growing_frames, neighbours, running_total
+from poolspark.operators.chronology import chronological
+from poolspark.scale import LEVELS, WIDTH, neighbours
 from poolspark.session import cut_lineage
 
 # Agreeing fixtures of a sure and of a supplementary anchor, window in days.
@@ -82,98 +82,6 @@ def best_days(ords: pa.Array, calendars: pa.Array, window: int) -> tuple[np.ndar
     return out_day, out_n
 
 
-def _chronology(dates: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Members of the longest non-decreasing subsequence of weighted runs.
-
-    Ties: among equal lengths the earliest predecessor and the earliest end win. Prefix maxima over
-    the ranked dates are kept in a binary indexed tree, O(n log n).
-    """
-    n = len(dates)
-    values, rank = np.unique(dates, return_inverse=True)
-    size = len(values)
-    best_at = [(0, 0)] * (size + 1)  # per tree node: (length, -index of its first holder)
-    length, parent = [0] * n, [-1] * n
-    for i in range(n):
-        node, best = int(rank[i]) + 1, (0, 0)
-        j = node
-        while j > 0:
-            if best_at[j] > best:
-                best = best_at[j]
-            j -= j & -j
-        length[i] = best[0] + int(weights[i])
-        parent[i] = -best[1] - 1 if best[0] else -1
-        entry = (length[i], -(i + 1))
-        j = node
-        while j <= size:
-            if entry > best_at[j]:
-                best_at[j] = entry
-            j += j & -j
-    keep = np.zeros(n, dtype=bool)
-    i = int(np.argmax(length)) if n else -1
-    while i != -1:
-        keep[i] = True
-        i = parent[i]
-    return keep
-
-
-def chronological(rows: DataFrame, group: Sequence[str], key: str, day: str, *, width: int = WIDTH,
-                  levels: int = LEVELS) -> DataFrame:
-    """Adds ``kept``: the row belongs to the longest non-decreasing run of days by key.
-
-    The sequence is cut wherever every earlier day is at most every later one: the answer on both
-    sides is independent there, ties included, so each block is its own group. Inside a block equal
-    neighbouring days are one weighted run. A block is as long as the disorder it spans.
-    """
-    group = list(group)
-    packed = rows.withColumn("__day", F.unix_date(F.col(day)))
-    bounded = running_extremes(packed, group, key, "__day", width=width, levels=levels)
-    cut = F.col("__max_before") <= F.least(F.col("__day"), F.coalesce("__min_after", F.col("__day")))
-    marked = bounded.withColumn("__cut", F.coalesce(cut, F.lit(True)).cast("long"))
-    blocks = running_total(marked, group, key, "__cut", "__b", width=width, levels=levels).withColumn(
-        "__block", F.col("__b") + F.col("__cut"))
-    slim = cut_lineage(blocks.select(*group, key, "__block", "__day"))
-    # A block of one row is kept as it is; only disorder reaches Python.
-    sizes = slim.groupBy(*group, "__block").agg(F.count("*").alias("__n"))
-    sized = slim.join(sizes, [*group, "__block"])
-    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    schema = ", ".join([*[f"{g} {types[g]}" for g in group], f"{key} {types[key]}", "kept boolean"])
-
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        run = (pdf["__day"] != pdf["__day"].shift()).cumsum().to_numpy() - 1
-        weights = np.bincount(run)
-        firsts = pdf["__day"].to_numpy()[np.concatenate(([0], np.cumsum(weights)[:-1]))]
-        keep = _chronology(firsts, weights)
-        return pdf[[*group, key]].assign(kept=keep[run])
-
-    mixed = sized.where("__n > 1").groupBy(*group, "__block").applyInPandas(one_block, schema)
-    single = sized.where("__n = 1").select(*group, key, F.lit(True).alias("kept"))
-    return rows.join(mixed.unionByName(single), [*group, key])
-
-
-def running_extremes(rows: DataFrame, group: list[str], key: str, value: str, *, width: int, levels: int) -> DataFrame:
-    """Adds ``__max_before`` (largest value at smaller keys) and ``__min_after`` (smallest at larger keys)."""
-    if levels <= 0:
-        before, after = growing_frames(group, key)
-        return rows.select("*", F.max(value).over(before).alias("__max_before"), F.min(value).over(after).alias("__min_after"))
-    b = f"__x{levels}"
-    bucketed = rows.withColumn(b, F.floor(F.col(key) / F.lit(width)).cast("long"))
-    local = running_extremes(bucketed, [*group, b], key, value, width=width, levels=0)
-    totals = bucketed.groupBy(*group, b).agg(F.max(value).alias("__hi"), F.min(value).alias("__lo"))
-    upper = _outer_extremes(totals, group, b, width, levels - 1)
-    return (local.join(upper, [*group, b], "left")
-            .withColumn("__max_before", F.greatest("__max_before", "__up_max"))
-            .withColumn("__min_after", F.least("__min_after", "__up_min")).drop(b, "__up_max", "__up_min"))
-
-
-def _outer_extremes(totals: DataFrame, group: list[str], b: str, width: int, levels: int) -> DataFrame:
-    highs = running_extremes(totals, group, b, "__hi", width=width, levels=levels).select(
-        *group, b, F.col("__max_before").alias("__up_max"))
-    lows = running_extremes(totals, group, b, "__lo", width=width, levels=levels).select(
-        *group, b, F.col("__min_after").alias("__up_min"))
-    return highs.join(lows, [*group, b])
-
-
 def with_manual(skeleton: DataFrame, manual: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Manual anchors override the skeleton with a fixed weight; disagreements are returned beside it."""
     key = list(key)

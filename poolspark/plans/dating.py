@@ -100,25 +100,57 @@ def dating_report(spark, sf):
     return D.dating_report(D.interpolate(sure(spark, sf), V.pools(spark, sf)))
 
 
-@query("longest_nondecreasing")
+def chain_sql(source: str, name: str) -> str:
+    """CTEs that end in ``name``: (pool_type, pool_id) of the longest non-decreasing run of days of ``source``.
+
+    ``tails`` keeps the lowest last day of a run of each length, so it gives the length at every row; the run is then
+    followed back from the earliest longest end, each time to the earliest row that is one shorter.
+    """
+    return f""",
+{name}_seq AS MATERIALIZED (SELECT pool_type, pool_id, date_diff('day', DATE '1970-01-01', day) AS d,
+  row_number() OVER (PARTITION BY pool_type ORDER BY pool_id) AS i FROM {source}),
+{name}_tails AS MATERIALIZED (
+  SELECT pool_type, 0::BIGINT AS i, 0::BIGINT AS l, []::BIGINT[] AS t FROM (SELECT DISTINCT pool_type FROM {name}_seq)
+  UNION ALL
+  SELECT s.pool_type, s.i, CAST(len([x FOR x IN t IF x <= d]) + 1 AS BIGINT), list_concat(list_concat(t[1:len([x FOR x IN t IF x <= d])], [d]),
+    t[len([x FOR x IN t IF x <= d]) + 2:]) FROM {name}_tails JOIN {name}_seq s ON s.pool_type = {name}_tails.pool_type AND s.i = {name}_tails.i + 1),
+{name}_item AS MATERIALIZED (SELECT pool_type, pool_id, i, d, l FROM {name}_tails JOIN {name}_seq USING (pool_type, i)),
+{name}_back AS MATERIALIZED (
+  SELECT pool_type, l, i, d FROM (SELECT *, row_number() OVER (PARTITION BY pool_type ORDER BY l DESC, i) AS rn FROM {name}_item) WHERE rn = 1
+  UNION ALL
+  SELECT x.pool_type, x.l, min(x.i), arg_min(x.d, x.i) FROM {name}_back b JOIN {name}_item x ON x.pool_type = b.pool_type AND x.l = b.l - 1
+    AND x.i < b.i AND x.d <= b.d GROUP BY 1, 2),
+{name} AS (SELECT pool_type, pool_id FROM {name}_back JOIN {name}_seq USING (pool_type, i))"""
+
+
+RUN_SQL = EVERY_SQL + chain_sql("dated", "run")
+
+
+@query("longest_nondecreasing", ctes=RUN_SQL, sql="""
+SELECT dated.*, run.pool_id IS NOT NULL AS kept FROM dated LEFT JOIN run USING (pool_type, pool_id)""")
 def longest_nondecreasing(spark, sf):
     return D.chronological(every_day(spark, sf), ["pool_type"], "pool_id", "day")
 
 
-@query("chronology_length", ctes=EVERY_SQL + """,
-seq AS (SELECT pool_type, date_diff('day', DATE '1970-01-01', day) AS d,
-  row_number() OVER (PARTITION BY pool_type ORDER BY pool_id) AS i FROM dated),
-tails AS (
-  SELECT pool_type, 0::BIGINT AS i, []::BIGINT[] AS t FROM (SELECT DISTINCT pool_type FROM seq)
-  UNION ALL
-  SELECT s.pool_type, s.i, list_concat(list_concat(t[1:len([x FOR x IN t IF x <= d])], [d]),
-    t[len([x FOR x IN t IF x <= d]) + 2:]) FROM tails JOIN seq s ON s.pool_type = tails.pool_type AND s.i = tails.i + 1)""", sql="""
-SELECT pool_type, CAST(len(arg_max(t, i)) AS BIGINT) AS kept, max(i) AS anchors FROM tails GROUP BY 1""")
+@query("chronology_length", ctes=RUN_SQL, sql="""
+SELECT pool_type, CAST(count(run.pool_id) AS BIGINT) AS kept, count(*) AS anchors FROM dated LEFT JOIN run USING (pool_type, pool_id) GROUP BY 1""")
 def chronology_length(spark, sf):
     rows = D.chronological(every_day(spark, sf), ["pool_type"], "pool_id", "day")
     return rows.groupBy("pool_type").agg(F.count_if("kept").alias("kept"), F.count("*").alias("anchors"))
 
 
-@query("two_step_anchors")
+TWO_STEP_SQL = (ANCHOR_SQL + ", cand AS MATERIALIZED (SELECT * FROM best WHERE n >= 2), strong AS (SELECT * FROM cand WHERE n >= 3)"
+                + chain_sql("strong", "frame") + """,
+near AS (SELECT c.*, f.pool_id IS NOT NULL AS sure,
+    last_value(CASE WHEN f.pool_id IS NOT NULL THEN day END IGNORE NULLS) OVER (PARTITION BY c.pool_type ORDER BY c.pool_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+    first_value(CASE WHEN f.pool_id IS NOT NULL THEN day END IGNORE NULLS) OVER (PARTITION BY c.pool_type ORDER BY c.pool_id
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b
+  FROM cand c LEFT JOIN frame f USING (pool_type, pool_id)),
+admitted AS MATERIALIZED (SELECT * FROM near WHERE sure OR day BETWEEN a AND b)""" + chain_sql("admitted", "final"))
+
+
+@query("two_step_anchors", ctes=TWO_STEP_SQL, sql="""
+SELECT a.pool_type, a.pool_id, a.day, a.n FROM admitted a JOIN final USING (pool_type, pool_id)""")
 def two_step(spark, sf):
     return D.two_step_anchors(match_keys(spark, sf), fixtures(spark, sf))

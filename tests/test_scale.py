@@ -99,11 +99,42 @@ def test_chronology_matches_the_quadratic_rule(spark):
         expected[g] = _longest(days)
         rows += [(g, i * 3 + 1, d) for i, d in enumerate(days)]
     df = spark.createDataFrame(rows, "g int, id long, d int").withColumn("day", F.date_from_unix_date("d")).drop("d")
-    for sizes in ({}, {"width": 10, "levels": 2}):
-        got = D.chronological(df, ["g"], "id", "day", **sizes).where("kept").collect()
+    for span in (1, 7, 50, 1024):
+        got = D.chronological(df, ["g"], "id", "day", span=span).where("kept").collect()
         assert {g: {(r.id - 1) // 3 for r in got if r.g == g} for g in expected} == expected
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_chronology_over_many_buckets(spark, seed):
+    rnd = random.Random(seed)
+    # Few days, so that lengths tie; keys beyond 2^53, with gaps and below zero; a far-off day at the start of one group.
+    rows, expected = [], {}
+    for g in range(5):
+        days = [rnd.randrange(3 + 9 * g) for _ in range(120)] if g < 3 else [i // 4 for i in range(120)]
+        if g == 4:
+            days[1] = 90_000
+        base = rnd.choice([-200, 2**60 + 1])
+        keys = sorted(rnd.sample(range(base, base + 400), len(days)))
+        expected[f"g{g}"] = {keys[i] for i in _longest(days)}
+        rows += [(f"g{g}", k, d) for k, d in zip(keys, days)]
+    df = spark.createDataFrame([*rows, (None, 1, 1), ("g0", 999, None)], "g string, id long, d int").withColumn("day", F.date_from_unix_date("d"))
+    got = D.chronological(df, ["g"], "id", "day", span=16).collect()
+    assert len(got) == len(rows)
+    assert {g: {r.id for r in got if r.g == g and r.kept} for g in expected} == expected
+
+
+def test_a_far_off_day_leaves_groups_bounded(spark):
+    # Nothing parts the rows before and after it; a bucket is what a task holds, whatever the disorder.
+    rows = spark.range(6000).select(F.col("id"), F.expr("date_add(date'2020-01-01', cast(if(id = 0, 9000, id div 500) as int))").alias("day"))
+    out = D.chronological(rows, [], "id", "day", span=256)
+    assert out.where("kept").count() == 5999 and out.where("not kept").first().id == 0
+
+
+def test_chronology_of_nothing(spark):
+    df = spark.createDataFrame([], "g int, id long, day date")
+    assert D.chronological(df, ["g"], "id", "day").count() == 0
+
+
 def test_predecessor_of_a_page_is_that_of_its_array(spark):
     rng = random.Random(6)
     rows = [(p, f"u{rng.randrange(50)}", rng.choice([None, *range(8)]), p % 9) for p in range(60) for _ in range(rng.randint(1, 5))]
