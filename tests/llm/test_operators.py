@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poolspark.llm import decontaminate, huffman, kneser_ney, langid, near_dups, ordinal, pieces, spotsigs, store, substrings, toxicity
+from poolspark.llm import decontaminate, huffman, kneser_ney, langid, linear, near_dups, ordinal, pieces, spotsigs, store, substrings, toxicity
 from poolspark.llm import words as W
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -198,6 +198,98 @@ def test_grades_are_ordered(spark, prose):
     assert mean[0] + 0.4 < mean[1] < mean[2] - 0.4
 
 
+def plain_ftrl(weights, state, at, slope, alpha=1.0, beta=1.0):
+    """One step of FTRL-proximal, a coordinate at a time; ``state``: z and n by coordinate."""
+    for i in at:
+        z, n = state.get(i, (0.0, 0.0))
+        rise = (math.sqrt(n + slope * slope) - math.sqrt(n)) / alpha
+        state[i] = z + slope - rise * weights.get(i, 0.0), n + slope * slope
+        z, n = state[i]
+        weights[i] = 0.0 if abs(z) <= 6.0 else -(z - math.copysign(6.0, z)) / ((beta + math.sqrt(n)) / alpha)
+
+
+def graded(spark, prose, grades):
+    rng = random.Random(grades)
+    rows = []
+    for i in range(260):
+        y = rng.randrange(grades)
+        rows.append((i, prose(20, i) + f" sign{y}x sign{rng.choice([y, y, 0])}y", y))
+    rows += [(900, None, 0), (901, "", 1), (902, prose(9, 1), None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1)], "doc_id long, grade int")
+    order = [r.doc_id for r in labels.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id")).collect()]
+    known = {r[0]: r for r in rows if r[1] is not None}
+    return docs, labels, [known[i] for i in order if i in known]
+
+
+def of_each(features, texts):
+    feature, doc = features(pa.array(texts))
+    return [feature[doc == i].tolist() for i in range(len(texts))]
+
+
+def test_toxicity_equals_plain_ftrl(spark, prose, hard, hard_rows):
+    docs, labels, rows = graded(spark, prose, 2)
+    model = toxicity.fit(docs, labels, label="grade")
+    own = of_each(lambda c: linear.distinct(*linear.text_features(c)), [t for _, t, _ in rows])
+    weights, state = {}, {}
+    for _ in range(4):
+        for (_, _, y), at in zip(rows, own):
+            at = [*at, "bias"]
+            slope = 1 / (1 + math.exp(-sum(weights.get(i, 0.0) for i in at))) - y
+            plain_ftrl(weights, state, at, slope)
+    used = {i: w for i, w in weights.items() if w and i != "bias"}
+    assert len(used) > 2 and model.bias == pytest.approx(weights["bias"], abs=1e-9)
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(used, rel=1e-5)
+    # Hard rows under a model that has learnt: every text has the sum of its own weights, whatever stands around it.
+    got = toxicity.score(hard, model).collect()
+    texts = [r[1] or "" for r in hard_rows]
+    want = [1 / (1 + math.exp(-model.bias - sum(used.get(i, 0.0) for i in at)))
+            for at in of_each(lambda c: linear.distinct(*linear.text_features(c)), texts)]
+    assert sorted((r.text or "", r.predicted) for r in got) == sorted((t, int(w >= 0.7)) for t, w in zip(texts, want))
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want), rel=1e-5)
+
+
+def test_grades_equal_a_plain_cumulative_link(spark, prose, hard, hard_rows):
+    docs, labels, rows = graded(spark, prose, 3)
+    model = ordinal.fit(docs, labels, F.col("grade"), 3)
+    own = of_each(ordinal.features, [t for _, t, _ in rows])
+    weights, state = {}, {}
+    first, gap, spent = math.log(1 / 2), math.log(math.log(2 / 1) - math.log(1 / 2)), [1.0, 1.0]
+    link = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(s, y, a, b):
+        """-log P(y) of a score and the two numbers that the thresholds come from."""
+        low, high = link(a - s), link(a + math.exp(b) - s)
+        return -math.log((low, high - low, 1 - high)[y])
+
+    for _ in range(4):
+        for (_, _, y), at in zip(rows, own):
+            s, h = sum(weights.get(i, 0.0) for i in at), 1e-5
+            # Slopes by central differences: nothing of the operator's own derivation is used.
+            by = [(loss(s + h * (k == 0), y, first + h * (k == 1), gap + h * (k == 2))
+                   - loss(s - h * (k == 0), y, first - h * (k == 1), gap - h * (k == 2))) / (2 * h) for k in range(3)]
+            plain_ftrl(weights, state, at, by[0])
+            spent = [spent[0] + by[1] ** 2, spent[1] + by[2] ** 2]
+            first, gap = first - 0.1 * by[1] / math.sqrt(spent[0]), gap - 0.1 * by[2] / math.sqrt(spent[1])
+    used = {i: w for i, w in weights.items() if w}
+    assert len(used) > 2 and model.thresholds.tolist() == pytest.approx([first, first + math.exp(gap)], abs=1e-5)
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(used, abs=1e-4)
+    got = ordinal.score(hard, model).collect()
+    totals = [sum(used.get(i, 0.0) for i in at) for at in of_each(ordinal.features, [r[1] or "" for r in hard_rows])]
+    above = [[1 - link(t - s) for t in model.thresholds] for s in totals]
+    assert sorted(r.tail_probability for r in got) == pytest.approx(sorted(a[0] for a in above), abs=1e-4)
+    assert sorted(r.expected_grade for r in got) == pytest.approx(sorted(map(sum, above)), abs=1e-4)
+
+
+def test_grades_of_unseen_texts(spark, prose):
+    docs, labels, _ = graded(spark, prose, 3)
+    model = ordinal.fit(docs, labels, F.col("grade"), 3)
+    unseen = [(i, prose(20, 5000 + i) + f" sign{i % 3}x sign{i % 3}y", i % 3) for i in range(90)]
+    out = ordinal.score(spark.createDataFrame(unseen, "doc_id long, text string, grade int"), model).collect()
+    right = sum(r.expected_grade < o.expected_grade for r in out for o in out if r.grade < o.grade)
+    assert right / (3 * 30 * 30) > 0.95
+
+
 # Operator 10.
 
 def test_marginals_equal_a_plain_forward_backward():
