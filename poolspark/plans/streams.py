@@ -89,8 +89,7 @@ def stream_keep(spark, sf):
 
 @query("stream_activity_windows", sql="""
 SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
-FROM events GROUP BY 1, 2
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+FROM events GROUP BY 1, 2""")
 def stream_activity(spark, sf):
     events = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return S.activity(events, "ts", "1 hour", "10 minutes", "event_type")

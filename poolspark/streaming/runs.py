@@ -38,7 +38,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | No
 
 
 def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame], shape: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-           report: list | None = None) -> DataFrame:
+           report: list | None = None, mode: str = "append") -> DataFrame:
     """Run a stream of changed rows and return the last version of every key.
 
     Each micro-batch writes its changed rows, put into ``shape``, under its own batch number (a replayed batch overwrites
@@ -51,7 +51,7 @@ def upsert(stream: DataFrame, name: str, merge: Callable[[DataFrame], DataFrame]
         shape(rows).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
 
     with keyed_state(spark):
-        query = (stream.writeStream.outputMode("append").foreachBatch(store)
+        query = (stream.writeStream.outputMode(mode).foreachBatch(store)
                  .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
         query.awaitTermination()
     if report is not None:
@@ -136,10 +136,14 @@ def refresh_index(stream: DataFrame, key: list[str], pool: Column, build: Callab
 
 
 def activity(stream: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", *by: str) -> DataFrame:
-    """Event-time windows with a watermark: a window is written once its end is ``late`` behind the newest event."""
+    """Event-time windows with a watermark; every window with an event is in the result, the last ones too.
+
+    A micro-batch hands on the windows it changed and their last version counts. A window whose end is ``late`` behind
+    the newest event is final and leaves the state.
+    """
     windowed = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *by)
     counted = windowed.agg(F.count("*").alias("events"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return drain(counted.select(F.col("w.start").alias("start"), *by, "events", "cents"), "activity")
+    return upsert(counted.select(F.col("w.start").alias("start"), *by, "events", "cents"), "activity", last_version("start", *by), mode="update")
 
 
 def sessions(stream: DataFrame, key: str, ts: str = "ts", gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:

@@ -206,6 +206,62 @@ def test_fixpoint_unlocks_a_second_round(spark):
     assert got == {"beta": ("b", 1), "gamma": ("g", 2)}
 
 
+def _closure(matches, known):
+    """The rounds, match by match: {folded name: (target, confirmations, appearances, round)}."""
+    fx = [(h.lower(), a.lower(), day, (x, y)) for h, a, day, x, y, _ in known]
+    teams, pairs = {t for f in fx for t in f[:2]}, {f[:2] for f in fx}
+    only = {}
+    for h, a, day, score in fx:
+        only.setdefault((h, day, "home"), []).append((a, score))
+        only.setdefault((a, day, "away"), []).append((h, score))
+    learnt, turn = {}, 0
+    while True:
+        turn += 1
+        key = lambda x: learnt.get(x.lower(), (x.lower(),))[0]
+        votes, seen = {}, {}
+        for h, a, day, x, y in matches:
+            if x is None or day is None or (key(h), key(a)) in pairs or (key(h) in teams) == (key(a) in teams):
+                continue
+            team, role, name = (key(h), "home", a) if key(h) in teams else (key(a), "away", h)
+            seen[name] = seen.get(name, 0) + 1
+            met = only.get((team, day, role), [])
+            if len(met) == 1 and met[0][1] == (x, y):
+                own = votes.setdefault(name, {})
+                own[met[0][0]] = own.get(met[0][0], 0) + 1
+        best = {}
+        for name, own in votes.items():
+            (target, n), *rest = sorted(own.items(), key=lambda v: (-v[1], v[0]))
+            if n >= 2 and n >= 3 * (rest[0][1] if rest else 0):
+                best[name.lower()] = max(best.get(name.lower(), (0, "", "")), (n, name, target))
+        fresh = {f: (target, n, seen[name], turn) for f, (n, name, target) in best.items() if f not in learnt}
+        if not fresh:
+            return learnt
+        learnt |= fresh
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_fixpoint_equals_plain_rounds(spark, seed):
+    rng = random.Random(seed)
+    teams = [(f"Team{i}", f"Team{i}" if i < 2 else f"Local{i}") for i in range(14)]
+    known, matches = [], []
+    for _ in range(330):
+        i = rng.randrange(13)
+        j = i + 1 if rng.random() < 0.97 else rng.randrange(14)  # mostly neighbours, so that names unlock one another
+        if i == j:
+            continue
+        day, x, y = D0 + timedelta(days=rng.randrange(150)), rng.randrange(3), rng.randrange(3)
+        known.append((teams[i][0], teams[j][0], day, x, y, "F1"))
+        home, away = teams[i][1], teams[j][1]
+        if rng.random() < 0.3:
+            away = away.upper()  # another spelling that folds to the same
+        if rng.random() < 0.2:
+            x = rng.choice([None, 3])
+        matches.append((home, away, rng.choice([day] * 12 + [None]), x, None if x is None else y))
+    want = _closure(matches, known)
+    got = {r.folded: (r.target, r.confirmations, r.appearances, r.round) for r in E.alias_closure(*_day(spark, matches, known)).collect()}
+    assert got == want and max(v[3] for v in want.values()) >= 3 and len(want) >= 6
+
+
 def test_window_confirmation(spark):
     matches = spark.createDataFrame([(i, "Barcelone", "Sevilla") for i in (1, 2, 3)], "pool_id long, home string, away string")
     dated = spark.createDataFrame([(1, D0, D0), (2, date(2020, 6, 10), date(2020, 6, 10)), (3, None, D0)], "pool_id long, date_min date, date_max date")

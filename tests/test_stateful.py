@@ -1,6 +1,7 @@
 """Keyed stream state, versioned tables and the incremental index."""
 
 import json
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,15 @@ def test_versions_of_an_empty_table(spark, tmp_path):
     table.append(spark.createDataFrame([], "id bigint, x int"), 0)
     table.compact(0)
     assert table.rows().count() == 0
+
+
+def test_last_windows_are_counted_over_batches(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    rows = [(base + timedelta(minutes=7 * i), "ab"[i % 2], i / 4) for i in range(90)]
+    stream = batches(spark, tmp_path / "in", [rows[:30], rows[30:60], rows[60:]], "ts timestamp, kind string, value double")
+    got = {(r.start, r.kind): (r.events, r.cents) for r in S.activity(stream, "ts", "1 hour", "10 minutes", "kind").collect()}
+    want = {}
+    for ts, kind, value in rows:
+        n, cents = want.get((ts.replace(minute=0), kind), (0, 0))
+        want[ts.replace(minute=0), kind] = n + 1, cents + round(value * 100)
+    assert got == want
