@@ -27,7 +27,8 @@ ROW_SCORE = r">\s*(\d{1,2})\s*-\s*(\d{1,2})\s*<"
 LIST = r'(?s)<ul class="repart">(.*?)</ul>'
 ITEM = r"(?s)<li[^>]*>(.*?)</li>"
 TEAM = r'(?s)class="team"[^>]*>(.*?)</span>'
-DATATABLE = r'(?s)(?=(data-wpdatatable_id="\d+".{0,4000}))data-wpdatatable_id='
+DATATABLE = r'(?s)(?=(data-wpdatatable_id="\d+".{0,%d}))data-wpdatatable_id='
+DATATABLE_OWN = r'^data-wpdatatable_id="\d+"'
 DATATABLE_ID = r'data-wpdatatable_id="(\d+)"'
 DATATABLE_HEADER = r"wdtheader[^>]*>\s*([A-Za-z0-9_ ]+?)</th>"
 NONCE = r'name="wdtNonceFrontendServerSide_(\d+)" value="([^"]+)"'
@@ -35,6 +36,8 @@ PRICE_HEADERS, SCORE_HEADERS = ["H", "D", "A"], ["FTHG", "FTAG"]
 AMOUNT_LINE = r"montant distribue\s*:?\s*([\d\s  .,]+)"
 SETTLED_WORD, CANCEL_WORD = "terminee", "annul"
 DISCARD_LENGTH, CONTEXT = 120, 60
+# Fixed values, in characters: how far behind its id the headers of a table are read, how far before its end a row's score.
+HEAD_REACH, SCORE_TAIL = 4000, 400
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -121,7 +124,7 @@ def price_page(pages: DataFrame, html: str = "html", out: str = "lines") -> Data
     def line(row):
         home, away = _teams(T.clean_html_text(_first(row, MATCH)))
         trio = F.array(*[price(row, s) for s in ("1", "n", "2")])
-        tail = F.substring(row, -400, 400)
+        tail = F.substring(row, -SCORE_TAIL, SCORE_TAIL)
         goals = F.array(_first(tail, ROW_SCORE, 1).cast("int"), _first(tail, ROW_SCORE, 2).cast("int"))
         return F.struct(home.alias("home"), away.alias("away"), _first(row, KICKOFF).alias("debut"),
                         F.when(F.forall(trio, lambda p: F.coalesce(p != 0, F.lit(False))), trio).alias("cotes"),
@@ -132,11 +135,14 @@ def price_page(pages: DataFrame, html: str = "html", out: str = "lines") -> Data
     return staged.withColumn(out, complete_lines(F.col("__table"), F.col("__list"))).drop("__table", "__list")
 
 
-def data_tables(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
-    """Tables carrying prices or scores, by their headers and with their token: ``table_id, kind, headers, token``."""
-    chunks = F.explode(_all(F.col(html), DATATABLE, 1)).alias("__c")
+def data_tables(pages: DataFrame, html: str = "html", *keep: str, reach: int = HEAD_REACH) -> DataFrame:
+    """Tables carrying prices or scores, by their headers and with their token: ``table_id, kind, headers, token``.
+
+    Headers count up to ``reach`` characters from the id on; ``cut_heads`` reports the tables that have more behind.
+    """
+    chunks = F.explode(_all(F.col(html), DATATABLE % reach, 1)).alias("__c")
     nonce = F.arrays_zip(_all(F.col(html), NONCE, 1).alias("id"), _all(F.col(html), NONCE, 2).alias("token"))
-    rows = pages.select(*keep, nonce.alias("__n"), chunks).withColumn("__c", F.substring("__c", 1, 4000)).select(
+    rows = pages.select(*keep, nonce.alias("__n"), chunks).withColumn("__c", F.substring("__c", 1, reach)).select(
         *keep, "__n", F.regexp_extract("__c", DATATABLE_ID, 1).alias("table_id"),
         F.transform(_all(F.col("__c"), DATATABLE_HEADER, 1), F.trim).alias("headers"))
     has = lambda names: F.size(F.array_except(F.array(*[F.lit(n) for n in names]), F.col("headers"))) == 0
@@ -145,6 +151,19 @@ def data_tables(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
             .withColumn("token", token).where("kind IS NOT NULL AND token IS NOT NULL").drop("__n"))
 
 
+def cut_heads(pages: DataFrame, html: str = "html", *keep: str, reach: int = HEAD_REACH) -> DataFrame:
+    """Tables with headers that ``data_tables`` does not read: ``table_id, read, beyond`` (numbers of headers).
+
+    What stands up to the id of the next table belongs to a table.
+    """
+    own = F.filter(F.split(F.col(html), "(?=data-wpdatatable_id=)"), lambda c: c.rlike(DATATABLE_OWN))
+    headers = lambda text: F.size(_all(text, DATATABLE_HEADER, 1))
+    read = headers(F.substring("__c", 1, reach))
+    return pages.select(*keep, F.explode(own).alias("__c")).select(
+        *keep, F.regexp_extract("__c", DATATABLE_ID, 1).alias("table_id"), read.alias("read"),
+        (headers(F.col("__c")) - read).alias("beyond")).where("beyond > 0")
+
+
 def page_record(pages: DataFrame) -> DataFrame:
     """Row rules of a rendered page, from staged rows to the stored record.
 

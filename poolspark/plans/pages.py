@@ -74,6 +74,16 @@ def table_discovery(spark, sf):
     return H.data_tables(pages, "html", "pool_id").select("pool_id", "table_id", "kind", "token")
 
 
+@query("table_heads_cut", ctes=V.POOLS_SQL, sql="""
+SELECT pool_id, CAST(pool_id AS VARCHAR) AS table_id, 1 AS read, CASE pool_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS beyond
+FROM pools WHERE pool_id % 7 * 1000 >= 4000""")
+def table_heads_cut(spark, sf):
+    """The pages of ``table_discovery`` with up to 6,000 characters between the first header and the others."""
+    long = F.regexp_replace(F.expr(DATATABLE_HTML), "(id</th>)", F.concat(F.lit("$1"), F.expr("repeat('-', cast(pool_id % 7 * 1000 as int))")))
+    pages = V.pools(spark, sf).select("pool_id", long.alias("html"))
+    return H.cut_heads(pages, "html", "pool_id")
+
+
 def staged_pages(spark, sf):
     """Rendered rows of the pools: cancelled, blank and missing cells, nameless rows, unsettled pages."""
     row = """named_struct('text', concat(m.home, '1N2', m.away, if(m.mix % 67 = 0, '', coalesce(concat(m.score_home, ' - ', m.score_away), 'Annulé'))),

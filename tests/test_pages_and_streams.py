@@ -253,3 +253,15 @@ def test_no_forbidden_shortcuts():
     assert set(oracles) <= set(queries)
     source = "\n".join(p.read_text() for p in pathlib.Path(__file__).resolve().parent.parent.joinpath("poolspark").rglob("*.py"))
     assert "local" + "Checkpoint" not in source and ".cross" + "Join(" not in source
+
+
+def test_headers_beyond_the_reach_are_reported(spark):
+    head = lambda *names: "".join(f'<th class="wdtheader">{n}</th>' for n in names)
+    token = lambda n: f'<input name="wdtNonceFrontendServerSide_{n}" value="t{n}">'
+    far = f'<div data-wpdatatable_id="1">{head("H", "D")}{"." * 300}{head("A", "B")}</div>'
+    near = f'<div data-wpdatatable_id="2">{head("FTHG", "FTAG")}</div>{token(1)}{token(2)}'
+    pages = spark.createDataFrame([(1, far + near), (2, near), (3, None), (4, "")], "page int, html string")
+    assert [tuple(r) for r in H.cut_heads(pages, "html", "page", reach=200).collect()] == [(1, "1", 2, 2)]
+    assert H.cut_heads(pages, "html", "page").count() == 0
+    found = {reach: sorted((r.page, r.table_id, r.kind) for r in H.data_tables(pages, "html", "page", reach=reach).collect()) for reach in (200, 4000)}
+    assert found[200] == [(1, "2", "scores"), (2, "2", "scores")] and found[4000] == [(1, "1", "cotes"), *found[200]]
