@@ -52,14 +52,35 @@ def enumerate_slips(df: DataFrame, choices: str = "choices", cap: int = ENUMERAT
 
     Each index is decoded by mixed radix, so a pool is one generator and not an n-way product.
     """
-    strides = (f"transform({choices}, (c, i) -> aggregate(slice({choices}, i + 2, size({choices})), 1L, "
-               "(n, d) -> n * size(d)))")
     listed = (df.where(enumeration_status(choices, cap) == "listed")
-              .withColumn("__strides", F.expr(strides)).withColumn(total, slip_count(choices)))
+              .withColumn("__strides", F.expr(_strides(choices))).withColumn(total, slip_count(choices)))
     end = total if first is None else f"least({total}, {first}L)"
     slips = listed.select("*", F.expr(f"explode(sequence(0L, {end} - 1))").alias("slip_ix"))
-    picks = f"zip_with({choices}, __strides, (c, s) -> c[cast((slip_ix div s) % size(c) as int)])"
-    return slips.withColumn("picks", F.expr(picks)).drop("__strides")
+    return slips.withColumn("picks", F.expr(_decoded(choices, "__strides"))).drop("__strides")
+
+
+def _strides(choices: str) -> str:
+    """How many slips follow before a match moves to its next sign."""
+    return (f"transform({choices}, (c, i) -> aggregate(slice({choices}, i + 2, size({choices})), 1L, "
+            "(n, d) -> n * size(d)))")
+
+
+def _decoded(choices: str, strides: str) -> str:
+    return f"zip_with({choices}, {strides}, (c, s) -> c[cast((slip_ix div s) % size(c) as int)])"
+
+
+def picks_at(choices: str = "choices") -> Column:
+    """The slip of a multi-slip at ``slip_ix``; null without an index."""
+    return F.expr(f"if(slip_ix is null, null, {_decoded(choices, _strides(choices))})")
+
+
+def shape(choices: str = "choices") -> Column:
+    """The multi-slip with every sign replaced by its place in its set.
+
+    Multi-slips of one shape have as many slips, and slips of the same two indexes agree on the same matches: whatever
+    depends on agreement alone, as a covering reduction does, is found once for all of them.
+    """
+    return F.expr(f"transform({choices}, c -> transform(c, x -> cast(array_position(array_distinct(c), x) - 1 as int)))")
 
 
 def unlisted(df: DataFrame, key: Sequence[str], choices: str = "choices", cap: int = ENUMERATION_CAP) -> DataFrame:
@@ -311,6 +332,13 @@ def reduce_slips(slips: DataFrame, key: Sequence[str], guarantee: int, coverage:
     return kept.unionByName(none)
 
 
+def reduce_shapes(shapes: DataFrame, guarantee: int, coverage: float = 1.0, *, cap: int = REDUCTION_CAP) -> DataFrame:
+    """``reduce_slips`` of all slips of every different ``shape``; shapes without slips, or with too many, have a row too."""
+    kinds = shapes.select("shape").distinct()
+    reduced = reduce_slips(enumerate_slips(kinds, "shape"), ["shape"], guarantee, coverage, cap=cap, total="total")
+    return reduced.unionByName(unlisted(kinds, ["shape"], "shape"), allowMissingColumns=True)
+
+
 def reduction_summary(reduced: DataFrame, key: Sequence[str]) -> DataFrame:
     """Slips kept, saving and coverage rate per pool."""
     kept = F.count("slip_ix")

@@ -171,14 +171,22 @@ def price_fallback(spark, sf):
 GUARANTEE = 5
 
 
-def _reduced(spark, sf):
-    reduced = S.reduce_slips(slips(spark, sf), ["pool_id"], guarantee=GUARANTEE, total="total")
-    return reduced.unionByName(S.unlisted(composed(spark, sf), ["pool_id"]), allowMissingColumns=True)
+def _shaped(spark, sf):
+    return composed(spark, sf).withColumn("shape", S.shape())
+
+
+def _of_pools(pools, kinds):
+    """What was found per shape, for every pool of that shape."""
+    return pools.join(kinds, "shape").drop("shape")
 
 
 @query("covering_reduction")
 def covering_reduction(spark, sf):
-    return _reduced(spark, sf).select("pool_id", "slip_ix", S.to_text().alias("slip"), "n_slips", "covered", "status")
+    pools = _shaped(spark, sf)
+    kinds = S.reduce_shapes(pools, GUARANTEE).groupBy("shape").agg(
+        F.collect_list("slip_ix").alias("kept"), F.max("n_slips").alias("n_slips"), F.max("covered").alias("covered"), F.max("status").alias("status"))
+    rows = _of_pools(pools, kinds).select("pool_id", "choices", F.explode_outer("kept").alias("slip_ix"), "n_slips", "covered", "status")
+    return rows.withColumn("picks", S.picks_at()).select("pool_id", "slip_ix", S.to_text().alias("slip"), "n_slips", "covered", "status")
 
 
 COVERED_SQL = f"""
@@ -191,22 +199,28 @@ SELECT p.pool_id, CASE WHEN f.pool_id IS NULL THEN 'empty' WHEN total > 8000 THE
 FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id)""")
 def covering_invariant(spark, sf):
     """A row per pool: what the greedy cover says it covers, and how many slips do share enough signs with a chosen one."""
-    chosen = _reduced(spark, sf)
-    pools = chosen.groupBy("pool_id").agg(F.max("status").alias("status"), F.max("n_slips").alias("n_slips"), F.max("covered").alias("covered"),
-                                          F.collect_list("picks").alias("kept"))
+    shaped = _shaped(spark, sf).select("pool_id", "shape")
+    chosen = S.reduce_shapes(shaped, GUARANTEE)
+    kinds = chosen.groupBy("shape").agg(F.max("status").alias("status"), F.max("n_slips").alias("n_slips"), F.max("covered").alias("covered"),
+                                        F.collect_list("picks").alias("kept"))
     near = F.exists("kept", lambda k: S.agreement_of(F.col("picks"), k) >= GUARANTEE)
-    every = slips(spark, sf).select("pool_id", "picks").join(pools.select("pool_id", "kept"), "pool_id")
-    within = every.groupBy("pool_id").agg(F.count_if(near).alias("within"))
-    return pools.drop("kept").join(within, "pool_id", "left")
+    every = S.enumerate_slips(kinds.select("shape", "kept"), "shape")
+    within = every.groupBy("shape").agg(F.count_if(near).alias("within"))
+    return _of_pools(shaped, kinds.drop("kept").join(within, "shape", "left"))
+
+
+def _summaries(spark, sf):
+    shaped = _shaped(spark, sf).select("pool_id", "shape")
+    return _of_pools(shaped, S.reduction_summary(S.reduce_shapes(shaped, GUARANTEE), ["shape"]))
 
 
 @query("reduction_summary", ctes=CHOICES_SQL, sql="SELECT pool_id, status, n_slips, covered / nullif(n_slips, 0) AS coverage, kept > 0 AS kept_some FROM (" + COVERED_SQL + """
   , CASE WHEN f.pool_id IS NULL OR p.n < 5 OR total > 8000 THEN 0 ELSE 1 END AS kept
 FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id))""")
 def reduction_summary(spark, sf):
-    return S.reduction_summary(_reduced(spark, sf), ["pool_id"]).select("pool_id", "status", "n_slips", "coverage", (F.col("kept") > 0).alias("kept_some"))
+    return _summaries(spark, sf).select("pool_id", "status", "n_slips", "coverage", (F.col("kept") > 0).alias("kept_some"))
 
 
 @query("reduction_savings")
 def reduction_savings(spark, sf):
-    return rounded(S.reduction_summary(_reduced(spark, sf), ["pool_id"]))
+    return rounded(_summaries(spark, sf))
