@@ -2,8 +2,9 @@
 
 Two forms with the same contract (low <= mean <= high, zero variance collapses the interval):
 
-* ``resample``: every replicate draws exactly n rows with replacement, found by row index. It moves
-  replicates x n rows and fits corpora of the usual size.
+* ``resample``: every replicate draws exactly n rows with replacement, found by row index. The draws are made and
+  looked up inside the tasks, a block of the values and a share of the replicates each: rows are moved once a share, never
+  once a replicate. The work is replicates x n draws for every block of ``BLOCK`` rows.
 * ``poisson``: every row weighs in each replicate with a Poisson(1) count. One pass, no join and no
   row number; only partial sums per replicate are shuffled, so it is the form for large tables.
 
@@ -26,6 +27,7 @@ SEED = 1789
 BACKTEST_REPLICATES = 3000
 ANALYSIS_REPLICATES = 4000
 MODULUS = 2147483629
+BLOCK, PIECE, SHARE = 1 << 21, 1 << 15, 125  # rows looked up in one task, rows in one packed row, replicates of one task
 _ROWS, _CELLS = 1024, 1 << 15  # rows, and numbers, that a task draws for at once: they stay in its cache
 
 
@@ -62,16 +64,54 @@ def replicate_means(df: DataFrame, values: Sequence[str], row: str, replicates:
         return _poisson_means(df, list(values), row, replicates, seed)
     if method != "resample":
         raise ValueError(f"unknown bootstrap method {method}")
-    df = cut_lineage(df.select(*values, row))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    # Each row fans out ``replicates`` times: spread the rows over every core first, the adaptive
-    # planner would otherwise merge the few input bytes into one task.
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    return _resampled_means(df, list(values), row, replicates, seed)
+
+
+def _remainder(x: np.ndarray, n: int) -> np.ndarray:
+    """``x % n`` of numbers from 0 on; numpy divides by one number faster than it takes a remainder."""
+    return x - x // n * n
+
+
+def _drawn_sums(low: int, held: Sequence[np.ndarray], n: int, replicates: range, seed: int) -> Iterator[tuple[int, list[float]]]:
+    """(replicate, sum per column of ``held``) over the draws that fall on rows ``low`` and following of ``n``."""
+    size, totals = len(held[0]), np.zeros((len(replicates), len(held)))
+    for at in range(0, n, PIECE):
+        base = np.arange(at, min(at + PIECE, n), dtype=np.int64) % MODULUS * 9973 + seed
+        for i, b in enumerate(replicates):
+            a = _remainder(base + b * 40503, MODULUS)
+            c = _remainder(a * a + 7, MODULUS)
+            drawn = _remainder(_remainder(c * c + 3, MODULUS), n)
+            if size < n:
+                drawn = drawn - low
+                drawn = drawn[(drawn >= 0) & (drawn < size)]
+            totals[i] += [column[drawn].sum() for column in held]
+    return zip(replicates, totals.tolist())
+
+
+def _resampled_means(df: DataFrame, values: list[str], row: str, replicates: int, seed: int) -> DataFrame:
+    df = cut_lineage(df.select(*[F.col(v).cast("double").alias(v) for v in values], row))
     indexed = running_total(df.withColumn("__one", F.lit(1)), [], row, "__one", "ix")
     n = df.agg(F.count("*")).scalar()
-    slots = indexed.select("ix").repartition(cores, "ix").select(
-        numbers, "ix").select("b", (mixed(F.col("b"), F.col("ix"), seed) % n).alias("ix"))
-    return slots.join(indexed.select("ix", *values), "ix").groupBy("b").agg(*[F.avg(v).alias(v) for v in values])
+    pieces = indexed.groupBy(F.floor(F.col("ix") / PIECE).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("ix", *values))).alias("rows"))
+    shares = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // SHARE))).alias("share")
+    packed = pieces.select(F.floor(F.col("piece") * PIECE / BLOCK).alias("block"), "piece", n.alias("n"),
+                           *[F.col("rows").getField(v).alias(f"v{i}") for i, v in enumerate(values)]).select("*", shares)
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        low, n = table.column("piece")[0].as_py() * PIECE, table.column("n")[0].as_py()
+        own = range(key[1].as_py() * SHARE, min(replicates, (key[1].as_py() + 1) * SHARE))
+        held = []
+        for i in range(len(values)):
+            column = pa.chunked_array([c.flatten() for c in table.column(f"v{i}").chunks], pa.float64())
+            held += [column.fill_null(0.0).to_numpy(), column.is_valid().to_numpy().astype(np.float64)]
+        rows = list(_drawn_sums(low, held, n, own, seed))
+        return pa.table({"b": pa.array([b for b, _ in rows], pa.int32()), **{
+            name: pa.array([t[k] for _, t in rows], pa.float64()) for k, name in enumerate(names)}})
+
+    names = [f"{part}{i}" for i in range(len(values)) for part in ("s", "n")]
+    sums = packed.groupBy("block", "share").applyInArrow(draw, "b int, " + ", ".join(f"{x} double" for x in names))
+    return sums.groupBy("b").agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(v) for i, v in enumerate(values)])
 
 
 def _weights(rows: np.ndarray, replicates: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:

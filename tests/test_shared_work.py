@@ -1,4 +1,5 @@
 """Work that equal parts of the data share is done once, with the results of the plain form."""
+from poolspark.operators import resample as B
 from poolspark.operators import slips as S
 
 
@@ -13,3 +14,20 @@ def test_multi_slips_of_one_shape_are_reduced_together(spark):
     got = sorted(map(repr, mine.where("status = 'reduced'").select(fields).collect()))
     assert got == sorted(map(repr, plain.select(fields).collect())) and len(got) == 5
     assert [(r.status, r.picks) for r in mine.where("pool_id = 3").collect()] == [("empty", None)]
+
+
+def test_draws_are_looked_up_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 32)
+    monkeypatch.setattr(B, "PIECE", 8)
+    monkeypatch.setattr(B, "SHARE", 7)
+    df = spark.createDataFrame([(i * 3, float(i * i % 17) if i % 5 else None, 1.0) for i in range(75)], "id long, v double, one double").repartition(3)
+    plan = B.replicate_means(df, ["v", "one"], "id", 20)
+    held = [float(i * i % 17) if i % 5 else None for i in range(75)]
+    for r in plan.collect():
+        a = [(r.b * 40503 + i * 9973 + B.SEED) % B.MODULUS for i in range(75)]
+        drawn = [held[(((x * x + 7) % B.MODULUS) ** 2 + 3) % B.MODULUS % 75] for x in a]
+        known = [v for v in drawn if v is not None]
+        assert abs(r.v - sum(known) / len(known)) < 1e-9 and r.one == 1.0
+    # No row of a replicate and a draw is made: the join on drawn rows is gone.
+    assert plan.count() == 20 and "Join Inner, (ix" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert B.replicate_means(df.where("id < 0"), ["v"], "id", 20).count() == 0
