@@ -19,7 +19,8 @@ EXTRA_FIXTURES = 2
 WINDOW_DAYS = 3
 MANUAL_WEIGHT = 99
 TIGHT_DAYS = 3
-POOLS_AT_ONCE = 256
+CHUNK = 1 << 14  # pools of one group of the anchor search, by number
+CELLS = 1 << 25  # matches x days that a task counts at once
 # Where a date comes from.
 BY_FIXTURES, INTERPOLATED, OUTSIDE = "affiches", "interpolation", "hors_ancrage"
 
@@ -28,58 +29,113 @@ def anchors(matches: DataFrame, fixtures: DataFrame, minimum: int, key: Sequence
             window: int = WINDOW_DAYS) -> DataFrame:
     """Best day per pool: most matches having a fixture within ``window`` days after it, earliest on ties.
 
-    ``matches``: key, ord, home_key, away_key; ``fixtures``: home_key, away_key, match_date. Every pair of teams becomes one
-    row with its calendar (the set of its days, at most one entry a day however many fixtures), every match one row with
-    that calendar, and every pool one row with those of its matches; days are counted inside the row of the pool. So no
-    row stands for a match and a day, and a pair that plays on thousands of days costs its calendar once a match.
+    ``matches``: key (its last column a whole number), ord, home_key, away_key; ``fixtures``: home_key, away_key,
+    match_date. Every pair of teams becomes one row with its calendar, a bit a day. Pools are taken in chunks of ``CHUNK``
+    numbers, and a chunk gets the calendar of a pair once, however many of its matches that pair plays; days are counted there.
     """
     key = list(key)
-    calendars = fixtures.where("match_date IS NOT NULL").groupBy("home_key", "away_key").agg(
+    days = fixtures.where("match_date IS NOT NULL").groupBy("home_key", "away_key").agg(
         F.collect_set(F.unix_date("match_date")).alias("days"))
-    met = matches.select(*key, "ord", "home_key", "away_key").join(calendars, ["home_key", "away_key"])
-    pools = met.groupBy(*key).agg(F.collect_list(F.struct("ord", "days")).alias("met")).select(
-        *key, F.transform("met", lambda m: m["ord"]).alias("ords"), F.transform("met", lambda m: m["days"]).alias("calendars"))
-    types = {f.name: f.dataType.simpleString() for f in pools.schema.fields}
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, POOLS_AT_ONCE):
-                part = batch.slice(at, POOLS_AT_ONCE)
-                day, n = best_days(part.column("ords"), part.column("calendars"), window)
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in key], pa.array(day, pa.int32()), pa.array(n, pa.int64())], [*key, "day", "n"])
+    calendars = days.mapInArrow(_packed, "home_key string, away_key string, first int, bits binary")
+    rows = matches.select(*key, "ord", "home_key", "away_key", F.floor(F.col(key[-1]) / CHUNK).alias("chunk"))
+    pairs = rows.select(*[F.col(c).alias(c) for c in ("chunk", "home_key", "away_key")]).distinct()
+    wanted = pairs.join(calendars, ["home_key", "away_key"])
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def best(own: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.append_column("at", pa.array(np.arange(known.num_rows)))
+        met = own.join(known.select(["home_key", "away_key", "at"]), ["home_key", "away_key"], join_type="inner")
+        met = met.sort_by([(c, "ascending") for c in (*key, "ord")])
+        heads, lines = _starts(met, key), _starts(met, [*key, "ord"])
+        day, n = best_days(heads, lines, met.column("at").to_numpy(), known.column("first").to_numpy(), known.column("bits"), window)
+        pools = met.select(key).take(pa.array(heads))
+        return pa.table([*pools.columns, pa.array(day, pa.int32()), pa.array(n, pa.int64())], names=[*key, "day", "n"])
 
     schema = ", ".join([*[f"{k} {types[k]}" for k in key], "day int, n bigint"])
-    return pools.mapInArrow(best, schema).where(F.col("n") >= minimum).select(*key, F.date_from_unix_date("day").alias("day"), "n")
-
-
-def best_days(ords: pa.Array, calendars: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Day and number of supporting matches of every pool, from the match numbers and the calendars of its matches.
-
-    The same match met several times supports a day once. A day counts only if a fixture lies on it.
+    found = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(best, schema)
+    return found.where(F.col("n") >= minimum).select(*key, F.date_from_unix_date("day").alias("day"), "n")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calendars as the first day and a bit for every day from it on."""
+    for batch in batches:
+        first, bits = [], []
+        for days in batch.column("days"):
+            days = days.values.to_numpy()
+            marks = np.zeros(days.max() - days.min() + 1, np.uint8)
+            marks[days - days.min()] = 1
+            first.append(days.min())
+            bits.append(np.packbits(marks).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("home_key"), batch.column("away_key"), pa.array(first, pa.int32()), pa.array(bits, pa.binary())],
+                                         ["home_key", "away_key", "first", "bits"])
+
+
+def _starts(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """Where a new value of the columns starts in sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        values = rows.column(c).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def best_days(heads: np.ndarray, lines: np.ndarray, calendar: np.ndarray, first: np.ndarray, bits: pa.ChunkedArray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Day and number of supporting matches of every pool.
+
+    ``heads`` and ``lines``: where a pool, and a match, starts in the rows; ``calendar``: the row of ``first`` and ``bits`` of
+    each. The same match met several times supports a day once.
     """
-    n = len(ords)
-    per_pool = np.asarray(ords.value_lengths().fill_null(0))
-    pool = np.repeat(np.arange(n), per_pool)
-    match = np.asarray(ords.flatten()).astype(np.int64)
-    lists = calendars.flatten()
-    size = np.asarray(lists.value_lengths().fill_null(0))
-    day = np.asarray(lists.flatten()).astype(np.int64)
-    pool, match = np.repeat(pool, size), np.repeat(match, size)
-    low = int(day.min(initial=0)) - window
-    span = int(day.max(initial=0)) - low + 1
-    # (pool, supported day, match) as sorted distinct rows; offset 0 first marks the days a fixture lies on.
-    supported = [np.stack([pool, day - low - k, match]) for k in range(window + 1)]
-    rows = np.unique(np.concatenate(supported, axis=1), axis=1)
-    cell, counts = np.unique(rows[0] * span + rows[1], return_counts=True)
-    own = np.isin(cell, np.unique(pool * span + day - low))
-    cell, counts = cell[own], counts[own]
-    out_day, out_n = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order = np.lexsort((cell, -counts, cell // span))
-    owner = cell[order] // span
-    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    out_day[owner[head]] = cell[order][head] % span + low
-    out_n[owner[head]] = counts[order][head]
-    return out_day, out_n
+    day, n = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+    if not len(heads):
+        return day, n
+    packed = [np.frombuffer(b.as_buffer(), np.uint8) for b in bits]
+    ends = first + np.array([8 * len(b) for b in packed])
+    at_once = max(1, CELLS // int(ends.max() - first.min() + window))
+    stops = np.append(heads[1:], len(calendar))
+    pool = 0
+    while pool < len(heads):
+        upto = max(pool + 1, int(np.searchsorted(stops, heads[pool] + at_once, "right")))
+        low, high = heads[pool], stops[upto - 1]
+        used, row = np.unique(calendar[low:high], return_inverse=True)
+        origin = int(first[used].min()) - window
+        own = np.zeros((len(used), int(ends[used].max()) - origin), np.uint8)
+        for i, c in enumerate(used):
+            own[i, first[c] - origin:ends[c] - origin] = np.unpackbits(packed[c])
+        near = own.copy()
+        for k in range(1, window + 1):
+            near[:, :-k] |= own[:, k:]
+        inside = lines[np.searchsorted(lines, low):np.searchsorted(lines, high)] - low
+        part = slice(pool, upto)
+        day[part], n[part] = _most_supported(own, near, row, heads[part] - low, inside, window)
+        day[part] += origin
+        pool = upto
+    return day, n
+
+
+def _most_supported(own: np.ndarray, near: np.ndarray, row: np.ndarray, heads: np.ndarray, lines: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First day with the most matches, and their number; ``near`` marks the days of ``own`` and the ``window`` days before each."""
+    if len(lines) == len(row):
+        support, line = near, row
+    else:
+        support, line = np.maximum.reduceat(near[row], lines, axis=0), np.arange(len(lines))
+    begin = np.searchsorted(lines, heads)
+    sizes = np.diff(np.append(begin, len(lines)))
+    order = np.argsort(-sizes, kind="stable")
+    counts = np.zeros((len(heads), own.shape[1]), np.uint8 if sizes.max() < 256 else np.int32)
+    for i in range(sizes.max()):
+        some = order[:np.count_nonzero(sizes > i)]
+        counts[:len(some)] += support[line[begin[some] + i]]
+    top, n = np.empty(len(heads), np.int64), np.empty(len(heads), np.int64)
+    top[order] = counts.argmax(axis=1)
+    n[order] = counts.max(axis=1)
+    # A day counts only if a fixture lies on it: the first one at or after the day found is supported as well.
+    of_row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(row))))
+    day = np.full(len(heads), -1)
+    for k in range(window + 1):
+        met = np.logical_or.reduceat(own[row, np.minimum(top[of_row] + k, own.shape[1] - 1)] > 0, heads)
+        day = np.where((day < 0) & met, top + k, day)
+    return day, n
 
 
 def with_manual(skeleton: DataFrame, manual: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

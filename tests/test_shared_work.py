@@ -1,4 +1,10 @@
 """Work that equal parts of the data share is done once, with the results of the plain form."""
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from poolspark.operators import dating as D
 from poolspark.operators import resample as B
 from poolspark.operators import slips as S
 
@@ -31,3 +37,21 @@ def test_draws_are_looked_up_in_blocks(spark, monkeypatch):
     # No row of a replicate and a draw is made: the join on drawn rows is gone.
     assert plan.count() == 20 and "Join Inner, (ix" not in plan._jdf.queryExecution().optimizedPlan().toString()
     assert B.replicate_means(df.where("id < 0"), ["v"], "id", 20).count() == 0
+
+
+def test_days_are_counted_on_calendars_held_once(monkeypatch):
+    rnd = random.Random(5)
+    calendars = [sorted(rnd.sample(range(-20, 900), rnd.randrange(1, 90))) for _ in range(40)]
+    bits = [np.packbits(np.isin(np.arange(c[0], c[-1] + 1), c).astype(np.uint8)).tobytes() for c in calendars]
+    rows = sorted((p, rnd.randrange(5), rnd.randrange(40)) for p in range(50) for _ in range(rnd.randrange(1, 9)))
+    heads = np.array([i for i, r in enumerate(rows) if i == 0 or r[0] != rows[i - 1][0]])
+    lines = np.array([i for i, r in enumerate(rows) if i == 0 or r[:2] != rows[i - 1][:2]])
+    want = []
+    for p in range(50):
+        own = {o: set().union(*[calendars[c] for q, m, c in rows if (q, m) == (p, o)]) for q, o, _ in rows if q == p}
+        n, day = max((sum(any(d + k in s for k in range(4)) for s in own.values()), -d) for d in set().union(*own.values()))
+        want.append((-day, n))
+    for cells in (1, 9000, 1 << 25):
+        monkeypatch.setattr(D, "CELLS", cells)
+        day, n = D.best_days(heads, lines, np.array([r[2] for r in rows]), np.array([c[0] for c in calendars]), pa.chunked_array([pa.array(bits, pa.binary())]), 3)
+        assert list(zip(day.tolist(), n.tolist())) == want
