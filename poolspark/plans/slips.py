@@ -92,8 +92,12 @@ NAMES = list(S.MEASURES)
 @query("slip_measures", ctes=CHOICES_SQL + "," + MEASURES_SQL, sql="SELECT pool_id, " + ", ".join(
     f"CAST(sum({m}) AS BIGINT) AS {m}" for m in NAMES) + " FROM measured GROUP BY 1")
 def slip_measures(spark, sf):
-    rows = slips(spark, sf).select("pool_id", *S.measures())
-    return rows.groupBy("pool_id").agg(*[F.sum(m).alias(m) for m in NAMES])
+    pools = composed(spark, sf).select("pool_id", "choices")
+    own = S.enumerate_slips(pools.select("choices").distinct()).select("choices", "picks")
+    # Pools hold seven matches at most, so there are few different slips: each is measured once, and so is each multi-slip.
+    measured = own.select("picks").distinct().select("picks", *S.measures())
+    sums = own.join(F.broadcast(measured), "picks").groupBy("choices").agg(*[F.sum(m).alias(m) for m in NAMES])
+    return pools.join(sums, "choices").select("pool_id", *NAMES)
 
 
 RULES = {"un": {"min": 2}, "nul": {"max": 2}, "suiteDeux": {"max": 2}, "alternances": {"min": 2, "max": 5},

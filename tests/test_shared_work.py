@@ -55,3 +55,15 @@ def test_days_are_counted_on_calendars_held_once(monkeypatch):
         monkeypatch.setattr(D, "CELLS", cells)
         day, n = D.best_days(heads, lines, np.array([r[2] for r in rows]), np.array([c[0] for c in calendars]), pa.chunked_array([pa.array(bits, pa.binary())]), 3)
         assert list(zip(day.tolist(), n.tolist())) == want
+
+
+def test_equal_multi_slips_are_measured_once(spark, monkeypatch):
+    from poolspark.plans import slips as plan
+
+    rows = [[[0, 1], [2], [0, 1, 2]], [[2], [1]], [[0, 1], [2], [0, 1, 2]], [[0], []]]
+    pools = spark.createDataFrame(list(enumerate(rows)), "pool_id long, choices array<array<int>>")
+    monkeypatch.setattr(plan, "composed", lambda *_: pools)
+    found = plan.slip_measures(spark, "")
+    plain = S.enumerate_slips(pools).select("pool_id", *S.measures()).groupBy("pool_id").sum(*S.MEASURES)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() == 3
+    assert "Aggregate [choices" in found._jdf.queryExecution().optimizedPlan().toString()
