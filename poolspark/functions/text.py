@@ -90,7 +90,9 @@ def decompose(text) -> Column:
 
 def _without_accents(text: Column) -> Column:
     source, target = _accent_map()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
+    # Plain ASCII, which the length tells, has none.
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", ""))
 
 
 def strip_accents(text) -> Column:
@@ -122,7 +124,11 @@ def long_tokens(name, minimum: int = 4) -> Column:
 
 def same_team(a, b) -> Column:
     """A long token in common, or one side without any long token."""
-    left, right = long_tokens(a), long_tokens(b)
+    return same_words(long_tokens(a), long_tokens(b))
+
+
+def same_words(left: Column, right: Column) -> Column:
+    """``same_team`` on the long tokens of both names."""
     return F.arrays_overlap(left, right) | (F.size(left) == 0) | (F.size(right) == 0)
 
 

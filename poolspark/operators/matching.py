@@ -180,6 +180,21 @@ def enrich_archive(pools: DataFrame, lines: str = "lines", matches: str = "match
             .drop("agreeing"))
 
 
+def _with_words(lines: Column) -> Column:
+    """Every line with the long words of its two names, read once however often it is compared."""
+    return F.transform(lines, lambda x: F.struct(
+        x.alias("line"), T.long_tokens(x["home"]).alias("home"), T.long_tokens(x["away"]).alias("away")))
+
+
+def _twins(a, b) -> Column:
+    return T.same_words(a["home"], b["home"]) & T.same_words(a["away"], b["away"])
+
+
+def _held(value: Column, of) -> Column:
+    """``of`` a value worked out once: a lambda variable is not copied to where it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 def complete_lines(table: Column, listing: Column) -> Column:
     """Fuzzy completion of a price table by the fixture list of the same page, in list order.
 
@@ -187,19 +202,26 @@ def complete_lines(table: Column, listing: Column) -> Column:
     ``array<struct<home,away,...>>`` of one page.
     """
     empty = F.slice(table, 1, 0)
-    extended = F.aggregate(listing, F.coalesce(table, empty), lambda acc, e: F.when(
-        F.exists(acc, lambda x: _same_lines(x, e)), acc).otherwise(F.concat(acc, F.array(e))))
 
-    def rank(line):
-        twins = F.filter(listing, lambda e: _same_lines(line, e))
+    def completed(known):
+        own, listed = known["own"], known["listed"]
+        extended = F.aggregate(listed, own, lambda acc, e: F.when(
+            F.exists(acc, lambda x: _twins(x, e)), acc).otherwise(F.concat(acc, F.array(e))))
         # A pair listed twice counts at its last place.
-        places = F.filter(F.transform(listing, lambda e, i: F.when(
-            (e["home"] == twins[0]["home"]) & (e["away"] == twins[0]["away"]), i)), lambda i: i.isNotNull())
-        return F.when(F.size(twins) == 0, F.size(listing)).otherwise(F.array_max(places))
+        last = F.transform(listed, lambda e: F.array_max(F.filter(F.transform(listed, lambda o, i: F.when(
+            (o["line"]["home"] == e["line"]["home"]) & (o["line"]["away"] == e["line"]["away"]), i)), lambda i: i.isNotNull())))
+        return _held(F.struct(extended.alias("lines"), last.alias("last")), lambda k: ordered(k["lines"], k["last"], listed))
+
+    def ordered(lines, last, listed):
+        def rank(x):
+            first = F.array_position(F.transform(listed, lambda e: _twins(x, e)), True)
+            return _held(first, lambda at: F.when(at == 0, F.size(listed)).otherwise(F.get(last, (at - 1).cast("int"))))
+
+        order = F.transform(lines, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i")))
+        return F.transform(F.sort_array(order), lambda s: lines[s["i"]]["line"])
 
-    order = F.transform(extended, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i")))
-    sorted_lines = F.transform(F.sort_array(order), lambda s: extended[s["i"]])
-    return F.when(F.size(listing) <= F.size(table), table).otherwise(sorted_lines)
+    known = F.struct(_with_words(F.coalesce(table, empty)).alias("own"), _with_words(listing).alias("listed"))
+    return F.when(F.size(listing) <= F.size(table), table).otherwise(_held(known, completed))
 
 
 def missing_only(wanted: DataFrame, stored: DataFrame, key: Sequence[str], status: str | None = None) -> DataFrame:
