@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from poolspark.operators import chronology as C
 from poolspark.operators import matching as J
 
 
@@ -24,3 +29,38 @@ def test_accents_of_plain_and_other_texts(one):
 
     assert one(T.strip_accents("a"), a="Saint-Étienne Ñandú") == "saint-etienne nandu"
     assert one(T.strip_accents("a"), a="Real Madrid 2") == "real madrid 2" and one(T.fold("a"), a=None) == ""
+
+
+def _best(days, low, high):
+    ends = []
+    for d in (x for x in days if low <= x <= high):
+        ends.append((d, 1 + max((n for e, n in ends if e <= d), default=0)))
+    return max((n for _, n in ends), default=0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_sum_gives_every_pair_and_is_no_longer_than_its_bucket(seed):
+    rnd = random.Random(seed)
+    days = [rnd.randrange(4 + 9 * seed) for _ in range(70)]
+    levels, steps = C._sums(np.array(days), np.ones(70, np.int64))
+    assert len(steps) <= 70 and steps[:, 2].sum() == 70
+    come = np.sort(np.array([rnd.randrange(40) for _ in levels]))
+    expected = [max(come[a] + _best(days, levels[a], high) for a in range(i + 1)) for i, high in enumerate(levels)]
+    assert C._through(steps.ravel(), come).tolist() == expected
+
+
+def test_the_state_of_the_pass_equals_plain_maxima():
+    rnd = random.Random(5)
+    state, seen = C._State(), {}
+    for _ in range(200):
+        levels = np.array(sorted(rnd.sample(range(120), rnd.randint(1, 6))))
+        at = lambda d: max((n for e, n in seen.items() if e <= d), default=0)
+        assert state.at(levels).tolist() == [at(d) for d in levels]
+        total, top = [], 0
+        for d in levels:
+            top = max(top, at(d)) + rnd.randint(1, 3)
+            total.append(top)
+        first = [min((e for e, n in seen.items() if n >= t), default=C._NEVER) for t in total]
+        assert state.since(np.array(total)).tolist() == first
+        state.pass_on(levels, np.array(total))
+        seen.update({int(d): max(n, seen.get(int(d), 0)) for d, n in zip(levels, total)})
