@@ -96,11 +96,20 @@ def stream_activity(spark, sf):
 
 
 def in_parts(spark, rows, part, n, name):
-    """The rows as a stream of ``n`` micro-batches at least: written part after part, one file at a time."""
+    """The rows as a stream of ``n`` micro-batches, few more where parts are written to fewer files: part after part."""
     folder = f"{S.workspace(spark, name)}/in"
+    files = [0]
     for k in range(n):
         rows.where(part == k).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        files.append(len(spark.read.schema(rows.schema).parquet(folder).inputFiles()))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_at_once(files)).parquet(folder)
+
+
+def files_at_once(files):
+    """Files of a micro-batch, from the numbers of files after each part: the largest part, less where that made too few batches."""
+    n, total = len(files) - 1, files[-1]
+    most = max(1, *[b - a for a, b in zip(files, files[1:])])
+    return most if -(-total // most) >= n else max(1, total // n)
 
 
 LINES_SQL = """

@@ -64,3 +64,32 @@ def test_the_state_of_the_pass_equals_plain_maxima():
         assert state.since(np.array(total)).tolist() == first
         state.pass_on(levels, np.array(total))
         seen.update({int(d): max(n, seen.get(int(d), 0)) for d, n in zip(levels, total)})
+
+
+def test_frames_of_a_hot_pool_are_thinned_before_its_state(spark):
+    from poolspark.streaming.stateful import newest_of
+
+    rows = [("pool" if i % 3 else "match", i % 4 if i % 5 else None, f"{i // 2:020d}", f"p{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "kind string, id long, at string, payload string").coalesce(1)
+    got = newest_of(df, "kind", "id").collect()
+    expected = {}
+    for r in rows:
+        expected[r[:2]] = max(expected.get(r[:2], r), r, key=lambda x: (x[2], int(x[3][1:])))
+    assert len(got) == len(expected) and {tuple(r) for r in got} == set(expected.values())
+
+
+def test_a_part_is_a_micro_batch_whatever_its_files():
+    from poolspark.plans.streams import files_at_once
+
+    assert [files_at_once(f) for f in ([0, 36, 72, 108], [0, 1, 2, 3], [0, 36, 37], [0, 36, 37, 38], [0, 2, 3, 4])] == [36, 1, 36, 12, 1]
+
+
+def test_parts_of_many_files_come_in_as_few_batches(spark):
+    from poolspark.plans.streams import in_parts
+    from poolspark.streaming import runs
+
+    rows = spark.range(600, numPartitions=12).select(F.col("id").alias("seq"), F.concat(
+        F.lit('42["m",{"pools":{"7000001":{"poolId":7000001,"poolStatus":"s'), "id", F.lit('","matches":[5]}},"matches":{"5":{"matchId":5}}}]')).alias("body"))
+    report = []
+    got = runs.emit_complete(in_parts(spark, rows, F.col("seq") % 3, 3, "many"), report=report).collect()
+    assert len(got) == 1 and got[0].status == "s599" and len([p for p in report if p.numInputRows]) == 3
