@@ -25,6 +25,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def held(value: Column, of) -> Column:
+    """``of`` a value worked out once: a lambda variable is not copied to where it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
 @lru_cache(maxsize=1)
 def _accent_map() -> tuple[str, str]:
     """Every character whose canonical decomposition is one base letter plus combining marks."""
@@ -79,13 +84,14 @@ def compose(text) -> Column:
         return F.aggregate(pairs, whole, lambda done, pair: F.replace(done, pair, F.coalesce(F.try_element_at(table, pair), pair)))
 
     # Most texts are plain ASCII, which their length tells.
-    return F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{mark}]"), once(once(once(t)))).otherwise(t)
+    return held(t, lambda t: F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{mark}]"), held(held(once(t), once), once)).otherwise(t))
 
 
 def decompose(text) -> Column:
     """Letters with one mark as letter and mark."""
     table = _as_map({v: k for k, v in _compositions().items()})
-    return F.array_join(F.transform(F.split(_col(text), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.array_join(F.transform(F.split(_col(text), ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(
+        F.coalesce(F.try_element_at(table, c), c))), "")
 
 
 def _without_accents(text: Column) -> Column:
@@ -134,7 +140,7 @@ def same_words(left: Column, right: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Plain decimal text to double; anything else gives null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return held(text, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def parse_amount(text) -> Column:

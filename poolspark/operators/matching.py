@@ -190,11 +190,6 @@ def _twins(a, b) -> Column:
     return T.same_words(a["home"], b["home"]) & T.same_words(a["away"], b["away"])
 
 
-def _held(value: Column, of) -> Column:
-    """``of`` a value worked out once: a lambda variable is not copied to where it is used."""
-    return F.transform(F.array(value), of)[0]
-
-
 def complete_lines(table: Column, listing: Column) -> Column:
     """Fuzzy completion of a price table by the fixture list of the same page, in list order.
 
@@ -210,18 +205,18 @@ def complete_lines(table: Column, listing: Column) -> Column:
         # A pair listed twice counts at its last place.
         last = F.transform(listed, lambda e: F.array_max(F.filter(F.transform(listed, lambda o, i: F.when(
             (o["line"]["home"] == e["line"]["home"]) & (o["line"]["away"] == e["line"]["away"]), i)), lambda i: i.isNotNull())))
-        return _held(F.struct(extended.alias("lines"), last.alias("last")), lambda k: ordered(k["lines"], k["last"], listed))
+        return T.held(F.struct(extended.alias("lines"), last.alias("last")), lambda k: ordered(k["lines"], k["last"], listed))
 
     def ordered(lines, last, listed):
         def rank(x):
             first = F.array_position(F.transform(listed, lambda e: _twins(x, e)), True)
-            return _held(first, lambda at: F.when(at == 0, F.size(listed)).otherwise(F.get(last, (at - 1).cast("int"))))
+            return T.held(first, lambda at: F.when(at == 0, F.size(listed)).otherwise(F.get(last, (at - 1).cast("int"))))
 
         order = F.transform(lines, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("i")))
         return F.transform(F.sort_array(order), lambda s: lines[s["i"]]["line"])
 
     known = F.struct(_with_words(F.coalesce(table, empty)).alias("own"), _with_words(listing).alias("listed"))
-    return F.when(F.size(listing) <= F.size(table), table).otherwise(_held(known, completed))
+    return F.when(F.size(listing) <= F.size(table), table).otherwise(T.held(known, completed))
 
 
 def missing_only(wanted: DataFrame, stored: DataFrame, key: Sequence[str], status: str | None = None) -> DataFrame:

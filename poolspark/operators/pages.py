@@ -60,23 +60,28 @@ def archive_page(pages: DataFrame, html: str = "html") -> DataFrame:
     The winning outcome is the marked span, the last one when several are marked.
     """
     pages = pages.withColumn(html, T.compose(html))
-    tables = _all(F.col(html), TABLE)
-    base = pages.withColumn("__t", tables).where(F.size("__t") > 0).withColumn("__r", _all(F.col("__t")[0], ROW))
+    # Exploded, not filtered: a condition on the tables is moved below them and reads (and writes) the page again.
+    tables = F.filter(F.array(_all(F.col(html), TABLE)), lambda t: F.size(t) > 0)
+    base = pages.select("*", F.explode(tables).alias("__t")).withColumn("__r", _all(F.col("__t")[0], ROW))
 
     def line(row):
-        cell = _first(row, RESULT)
-        marks = F.arrays_zip(_all(cell, SPAN, 1).alias("attr"), _all(cell, SPAN, 2).alias("text"))
-        wins = F.filter(F.transform(marks, lambda s, i: F.when(F.contains(s["attr"], F.lit("res")), F.when(
-            i < 3, F.element_at(F.array(*[F.lit(o) for o in R.OUTCOMES]), F.least(i, F.lit(2)) + 1)).otherwise(
-            T.clean_html_text(s["text"])))), lambda w: w.isNotNull())
+        def issue(cell):
+            marks = F.arrays_zip(_all(cell, SPAN, 1).alias("attr"), _all(cell, SPAN, 2).alias("text"))
+            wins = F.filter(F.transform(marks, lambda s, i: F.when(F.contains(s["attr"], F.lit("res")), F.when(
+                i < 3, F.element_at(F.array(*[F.lit(o) for o in R.OUTCOMES]), F.least(i, F.lit(2)) + 1)).otherwise(
+                T.clean_html_text(s["text"])))), lambda w: w.isNotNull())
+            return F.try_element_at(wins, F.lit(-1))
+
         return F.struct(T.clean_html_text(_first(row, HOME)).alias("home"), T.clean_html_text(_first(row, AWAY)).alias("away"),
-                        F.try_element_at(wins, F.lit(-1)).alias("issue"))
+                        T.held(_first(row, RESULT), issue).alias("issue"))
 
     played = F.filter("__r", lambda r: r.rlike(HOME) & r.rlike(AWAY))
     heads = F.filter(F.transform("__r", lambda r: _first(r, HEAD)), lambda h: h.isNotNull())
 
     def reports(table):
-        cells = F.transform(_all(table, CELL, 1), T.clean_html_text)
+        return T.held(F.transform(_all(table, CELL, 1), T.clean_html_text), paid)
+
+    def paid(cells):
         starts = F.when(F.size(cells) >= 3, F.sequence(F.lit(0), F.size(cells) - 3, F.lit(3))).otherwise(
             F.array().cast("array<int>"))
         rows = F.transform(starts, lambda i: F.struct(
@@ -117,18 +122,26 @@ def price_page(pages: DataFrame, html: str = "html", out: str = "lines") -> Data
     tables = _all(F.col(html), TABLE)
     rows = F.filter(_all(F.try_element_at(tables, F.lit(-1)), ROW_ATTR), lambda r: r.rlike(MATCH))
 
-    def price(row, sign):
-        cell = F.try_element_at(F.filter(_all(row, WHOLE_CELL), lambda c: F.contains(c, F.lit(f'dev_span_{sign}"'))), F.lit(1))
+    def price(cells, sign):
+        cell = F.try_element_at(F.filter(cells, lambda c: F.contains(c, F.lit(f'dev_span_{sign}"'))), F.lit(1))
         return T.parse_amount_simple(_first(cell, PRICE % sign))
 
-    def line(row):
-        home, away = _teams(T.clean_html_text(_first(row, MATCH)))
-        trio = F.array(*[price(row, s) for s in ("1", "n", "2")])
-        tail = F.substring(row, -SCORE_TAIL, SCORE_TAIL)
+    def trio(cells):
+        prices = F.array(*[price(cells, s) for s in ("1", "n", "2")])
+        return T.held(prices, lambda p: F.when(F.forall(p, lambda x: F.coalesce(x != 0, F.lit(False))), p))
+
+    def score(tail):
         goals = F.array(_first(tail, ROW_SCORE, 1).cast("int"), _first(tail, ROW_SCORE, 2).cast("int"))
-        return F.struct(home.alias("home"), away.alias("away"), _first(row, KICKOFF).alias("debut"),
-                        F.when(F.forall(trio, lambda p: F.coalesce(p != 0, F.lit(False))), trio).alias("cotes"),
-                        F.when(tail.rlike(ROW_SCORE), goals).alias("score"))
+        return F.when(tail.rlike(ROW_SCORE), goals)
+
+    def line(row):
+        def named(text):
+            home, away = _teams(text)
+            return F.struct(home.alias("home"), away.alias("away"), _first(row, KICKOFF).alias("debut"),
+                            T.held(_all(row, WHOLE_CELL), trio).alias("cotes"),
+                            T.held(F.substring(row, -SCORE_TAIL, SCORE_TAIL), score).alias("score"))
+
+        return T.held(T.clean_html_text(_first(row, MATCH)), named)
 
     empty = F.array().cast("array<struct<home:string,away:string,debut:string,cotes:array<double>,score:array<int>>>")
     staged = pages.withColumn("__table", F.coalesce(F.transform(rows, line), empty)).withColumn("__list", _listing(F.col(html)))

@@ -150,5 +150,5 @@ def title_composition(spark, sf):
     """Titles written with separate marks are the titles written with whole letters."""
     whole = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     rows = V.table(spark, sf, "pages").select("page_id", F.concat(F.lit("Équipe Ñandú "), T.clean_html_text(whole)).alias("title"))
-    return rows.select("page_id", T.clean_html_text(T.compose(T.decompose("title"))).alias("title"),
-                       (T.compose(T.decompose("title")) == T.compose("title")).alias("same"))
+    again = rows.withColumn("again", T.decompose("title")).withColumn("again", T.compose("again"))
+    return again.select("page_id", T.clean_html_text("again").alias("title"), (F.col("again") == T.compose("title")).alias("same"))

@@ -93,3 +93,23 @@ def test_parts_of_many_files_come_in_as_few_batches(spark):
     report = []
     got = runs.emit_complete(in_parts(spark, rows, F.col("seq") % 3, 3, "many"), report=report).collect()
     assert len(got) == 1 and got[0].status == "s599" and len([p for p in report if p.numInputRows]) == 3
+
+
+def test_parts_of_a_page_are_read_once(spark):
+    from poolspark.operators import pages as H
+
+    frame = spark.createDataFrame([("<table><tr></tr></table><table><td>1</td><td>2</td><td>3,5</td></table>",)], "html string")
+    rows = H.archive_page(frame.select(F.concat("html", F.lit("")).alias("html")))
+    assert rows.first().rapports[0].rapport == 3.5
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # The page is searched for tables once, and once each for the cells of its amounts.
+    assert plan.count("<table.*?</table>") == 1 and plan.count("<td[^>]*>(.*?)</td>") == 1
+
+
+def test_letters_are_looked_up_only_beyond_ascii(spark):
+    from poolspark.functions import text as T
+
+    rows = spark.createDataFrame([("Équipe Ñandú x",)], "t string").withColumn("apart", T.decompose("t"))
+    assert rows.select((T.compose("apart") == F.col("t")).alias("same"), (F.length("apart") - F.length("t")).alias("marks")).first() == (True, 3)
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "octet_length" in plan
