@@ -7,6 +7,7 @@ from poolspark.operators.matching import keep_last_plausible
 from poolspark.plans.category import named_of
 from poolspark.plans.publish import INDEX_SQL
 from poolspark.plans.registry import query
+from poolspark.session import cut_lineage
 from poolspark.sources import views as V
 from poolspark.sources.versions import Versions, last_observations
 from poolspark.streaming import frames as X
@@ -143,7 +144,8 @@ def stream_complete_settled(spark, sf):
 @query("stream_index_refresh", ctes=INDEX_SQL, sql="SELECT * FROM indexed")
 def stream_index(spark, sf):
     """Every pool comes in three parts, in three micro-batches; the index ends as the one built at once."""
-    orders, prices = V.table(spark, sf, "orders"), V.match_prices(spark, sf)
+    # Every micro-batch joins the same prices.
+    orders, prices = V.table(spark, sf, "orders"), cut_lineage(V.match_prices(spark, sf))
 
     def build(lines):
         pools = V.pools_of(V.legs_of(lines), orders)
