@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolspark.llm import store
 from poolspark.llm import words as W
 from poolspark.llm.store import fresh, shared_folder
 
@@ -183,17 +184,45 @@ def _distinct(element, doc):
     return element[head], doc[head], np.diff(np.append(head, len(element)))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, elements): the ascending element hashes (cut to 32 bits) of the texts that ``ids`` (id, node) names."""
-    source = _source(docs, text, key).join(ids, "id")
+def wanted_ids(ids: DataFrame, folder: str) -> store.Table:
+    """The ids of ``ids`` as sorted hash arrays in the shared folder, mapped by whoever looks one up."""
+    bits = store.shard_bits(ids.sparkSession)
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.sort(_id_keys(batch.column("id")))
+            yield store.blob_rows((keys >> U64(64 - bits)).astype(np.int64), [keys], bits)
+
+    def write(shard: int, parts: list) -> list:
+        keys, = store.stacked(parts, [U64])
+        store.save(store.shard_path(folder, "wanted", shard, "key"), np.unique(keys))
+        return [[shard, len(keys)]]
+
+    # One row per shard comes back; it says that the files are there.
+    store.build(ids.select("id").mapInArrow(blobs, store.BLOBS), bits, write, "shard int, n long").collect()
+    return store.Table(folder, "wanted", bits)
+
+
+def _id_keys(ids: pa.Array) -> np.ndarray:
+    """Hashes of whole numbers, different for different ones; close numbers fall into different shards."""
+    return W.mix(np.asarray(ids).astype(np.int64).view(U64))
+
+
+def shingle_sets(docs: DataFrame, wanted: store.Table, text: str, key: str) -> DataFrame:
+    """(node, elements): the ascending element hashes (cut to 32 bits) of the texts whose id is wanted.
+
+    The ids are looked up where a text is read, so no text is shuffled. An id may stand on several texts: each gives its set.
+    """
+    source = _source(docs, text, key).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, "t", _PIECE):
-            element, doc, whole = shingles(batch.column("t"))
-            element, doc, _ = _distinct(element >> U64(32), doc)
-            parts = np.split(element.astype(np.uint32), np.searchsorted(doc, np.arange(1, batch.num_rows)))
-            same = np.asarray(batch.column("node")) == whole.view(np.int64)  # an id may stand on several texts
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "elements"]).filter(pa.array(same))
+        for batch in batches:
+            found, _ = wanted.match(_id_keys(batch.column("id")))
+            for piece in W.pieces(iter([batch.filter(pa.array(found))]), "t", _PIECE):
+                element, doc, whole = shingles(piece.column("t"))
+                element, doc, _ = _distinct(element >> U64(32), doc)
+                parts = np.split(element.astype(np.uint32), np.searchsorted(doc, np.arange(1, piece.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([p.tobytes() for p in parts], pa.binary())], ["node", "elements"])
 
     return source.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 
@@ -260,7 +289,7 @@ def _classes(docs: DataFrame, text: str, key: str, similarity: float, scratch: "
     place = scratch.keep(bucket.join(scratch.keep(shared), "band", "left_semi").distinct())
     inside = scratch.keep(place.select("node").distinct())
     facts = scratch.keep(sketch.select("id", "node", "size", *ODD).join(inside, "node").groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "size", *ODD)]))
-    sets = scratch.keep(shingle_sets(docs, facts.select("id", "node"), text, key))
+    sets = scratch.keep(shingle_sets(docs, wanted_ids(facts, scratch.folder), text, key))
     member = scratch.keep(place.join(facts.drop("id"), "node").select("band", "node", "size", *ODD))
     # Sets whose sizes or parities differ too much cannot be alike: exact, and known before any set is read.
     fits = F.least("size", "leader_size") >= similarity * F.greatest("size", "leader_size") - 1e-9

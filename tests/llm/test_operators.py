@@ -451,6 +451,17 @@ def test_parities_differ_in_no_more_bits_than_the_sets_in_elements(shared):
     assert parity.shape == (2, near_dups.PARITY) and (shared < 400 or bits == 0)
 
 
+def test_sets_of_wanted_ids_move_no_text(spark, prose, tmp_path):
+    docs = spark.createDataFrame([(i, prose(30, i % 7)) for i in range(-9, 9)] + [(None, prose(9)), (3, prose(9, 8)), (5, None)], "doc_id long, text string")
+    wanted = near_dups.wanted_ids(spark.createDataFrame([(-8,), (3,), (3,), (5,), (77,)], "id long"), str(tmp_path))
+    sets = near_dups.shingle_sets(docs, wanted, "text", "doc_id")
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    element, doc, whole = near_dups.shingles(pa.array([prose(30, -8 % 7), prose(30, 3), prose(9, 8), prose(30, 5)]))
+    told = {int(whole[i].astype(np.int64)): np.unique(element[doc == i] >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(4)}
+    assert {k: told.get(k) for k in told} == {r.node: bytes(r.elements) for r in sets.collect() if r.elements}
+
+
 def test_dedup_of_hard_rows(hard, empty):
     out = near_dups.deduplicate(hard)
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
