@@ -19,6 +19,8 @@ CORRUPT = "_corrupt_record"
 # Price columns of the league files per source; the mojibake byte-order mark.
 PRICE_COLUMNS = {"pinnacle_cloture": ("PSCH", "PSCD", "PSCA"), "pinnacle": ("PSH", "PSD", "PSA"),
                  "bet365_cloture": ("B365CH", "B365CD", "B365CA"), "bet365": ("B365H", "B365D", "B365A")}
+CELLS = ["HomeTeam", "Home", "AwayTeam", "Away", "Date", "FTHG", "HG", "FTAG", "AG", "Div", "Country", "League",
+         *[c for trio in PRICE_COLUMNS.values() for c in trio]]
 BYTE_ORDER_MARKS = ["\u00ef\u00bb\u00bf", "\ufeff"]
 CUP_SOURCE = "cups"
 
@@ -129,12 +131,16 @@ def parse_fixture_lines(lines: DataFrame) -> DataFrame:
     quoted = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.replace(
         F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
     plain = F.when(F.contains("line", F.lit('"')), quoted).otherwise(F.split("line", ",", -1))
-    rows = lines.withColumn("__h", F.transform(F.split(F.regexp_replace(header, "[\r\n]", ""), ",", -1), F.trim)).withColumn(
-        "__c", plain)
+    names = F.transform(F.split(F.regexp_replace(header, "[\r\n]", ""), ",", -1), F.trim)
+    wanted = F.array(*[F.lit(n) for n in CELLS])
+    # Header and line are split once and every cell is looked up once, in lambda variables. The row is a generated one, so
+    # conditions on its cells are not moved below it, where each would split header and line again.
+    found = F.transform(F.array(F.struct(names.alias("h"), plain.alias("c"))), lambda x: F.transform(
+        wanted, lambda n: F.nullif(F.get(x["c"], F.array_position(x["h"], n).cast("int") - 1), F.lit(""))))
+    rows = lines.select("path", F.explode(found).alias("__c"))
 
     def cell(*names):
-        found = [F.nullif(F.get("__c", F.array_position("__h", n).cast("int") - 1), F.lit("")) for n in names]
-        return F.coalesce(*[F.when(F.array_contains("__h", n), f) for n, f in zip(names, found)])
+        return F.coalesce(*[F.get("__c", F.lit(CELLS.index(n))) for n in names])
 
     named = rows.select(
         "path", cell("HomeTeam", "Home").alias("home_name"), cell("AwayTeam", "Away").alias("away_name"),
