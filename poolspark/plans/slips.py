@@ -58,9 +58,19 @@ SELECT p.pool_id, CASE WHEN f.pool_id IS NULL THEN 'empty' WHEN total > 300000 T
   count(t) AS slips, min(t) AS lowest, max(t) AS highest, CAST(sum(slip_ix * (1 + strpos(t, '2'))) AS BIGINT) AS fingerprint
 FROM pools p LEFT JOIN full_pools f USING (pool_id) LEFT JOIN totals USING (pool_id) LEFT JOIN texts USING (pool_id) GROUP BY 1, 2""")
 def slip_enumerate(spark, sf):
-    listed = slips(spark, sf).groupBy("pool_id").agg(
-        F.lit("listed").alias("status"), F.count("*").alias("slips"), F.min("t").alias("lowest"), F.max("t").alias("highest"),
+    pools = composed(spark, sf)
+    # A multi-slip is listed once, whichever pools hold it. A number keeps the order of its slips' texts: numbers are
+    # compared in place, texts would have every slip sorted.
+    # They are few bytes but many slips, so they are dealt out to every core.
+    different = pools.select("choices").distinct().repartition(spark.sparkContext.defaultParallelism, "choices")
+    own = S.enumerate_slips(different).withColumn("t", S.to_text())
+    code = F.expr("cast(conv(translate(t, '12N', '012'), 3, 10) as bigint)")
+    sums = own.groupBy("choices").agg(
+        F.count("*").alias("slips"), F.min(code).alias("low"), F.max(code).alias("high"),
         F.sum(F.expr("slip_ix * (1 + instr(t, '2'))")).alias("fingerprint"))
+    text = lambda c: F.expr(f"translate(lpad(conv({c}, 10, 3), size(choices), '0'), '012', '12N')")
+    listed = pools.select("pool_id", "choices").join(sums, "choices").select(
+        "pool_id", F.lit("listed").alias("status"), "slips", text("low").alias("lowest"), text("high").alias("highest"), "fingerprint")
     others = S.unlisted(composed(spark, sf), ["pool_id"]).select("pool_id", "status", F.lit(0).cast("long").alias("slips"))
     return listed.unionByName(others, allowMissingColumns=True)
 
