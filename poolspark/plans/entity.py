@@ -4,6 +4,7 @@ from poolspark.functions import text as T
 from poolspark.operators import entity as E
 from poolspark.operators import matching as J
 from poolspark.plans.registry import query
+from poolspark.session import cut_lineage
 from poolspark.sources import views as V
 
 # The external source renames a quarter of the away clubs and a fifth of the home teams.
@@ -117,10 +118,10 @@ top AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY votes DESC, rank
 seen AS (SELECT name, count(*) AS appearances FROM named GROUP BY 1)"""
 
 
-def window_contexts(spark, sf):
+def window_contexts(spark, sf, fixtures=None):
     matches = V.legs(spark, sf).select("pool_id", "line", "home", "away", "kickoff")
     dated = matches.select("pool_id", "line", F.date_sub("kickoff", 1).alias("date_min"), F.date_add("kickoff", 2).alias("date_max"))
-    known = E.distinct_names(renamed_fixtures(spark, sf), ["match_date"])
+    known = E.distinct_names(renamed_fixtures(spark, sf) if fixtures is None else fixtures, ["match_date"])
     return E.contexts(matches, known, dated, ["pool_id", "line"])
 
 
@@ -151,13 +152,14 @@ SELECT coalesce(p1.folded, p2.folded) AS folded, coalesce(p1.target, p2.target)
   CASE WHEN p1.folded IS NULL THEN 'date_exacte' END AS via, coalesce(p1.target <> p2.target, FALSE) AS conflict
 FROM p1 FULL JOIN p2 ON p1.folded = p2.folded""")
 def alias_merge(spark, sf):
-    context = window_contexts(spark, sf)
+    # Both passes read fixtures and contexts several times: stored once, they are derived once.
+    fixtures = cut_lineage(renamed_fixtures(spark, sf))
+    context = cut_lineage(window_contexts(spark, sf, fixtures))
     number = F.regexp_extract("name", r"(\d+)$", 1).cast("int")
     stem = F.when(F.col("role") == "home", "team").otherwise("klub")
     spellings = F.posexplode(F.array((number + 5).cast("string"), number.cast("string"))).alias("rank", "n")
     candidates = context.select("name", "role").distinct().select("name", stem.alias("stem"), spellings).select(
         "name", F.concat("stem", "n").alias("folded"), F.concat("stem", "n").alias("display"), "rank")
-    fixtures = renamed_fixtures(spark, sf)
     first = E.alias_rows(E.elect_by_window(context, E.window_votes(context, candidates, fixtures)))
     second = E.alias_rows(E.elect_by_day(E.exact_day_votes(day_matches(spark, sf), fixtures)), E.BY_EXACT_DAY)
     return E.merge_passes(first, second).drop("display")
