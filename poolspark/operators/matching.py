@@ -19,6 +19,9 @@ SCORES_DIFFER = "scores différents"
 SHIFTED = "sans score, et date décalée"
 UNPRICED = "rencontre trouvée mais sans cote"
 DAY_MARGIN = 1
+# What a fixture hands on beside its day and score, and the days of a span that is looked up at once.
+CARRIED = ("prices", "competition")
+SPAN = 32
 # Status of an archive pool after enrichment and the least share of agreeing rows.
 ENRICHED = "ok"
 LENGTH_DIFFERS = "désaccord de longueur"
@@ -40,35 +43,45 @@ def with_team_keys(df: DataFrame, aliases: DataFrame | None = None, home: str =
     return keyed
 
 
-def fixture_lookup(fixtures: DataFrame, margin: int = DAY_MARGIN) -> DataFrame:
-    """One row per (pair, day): how many fixtures lie within ``margin`` days and the only one's content.
+def _span(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(SPAN)).cast("int")
 
-    Fixtures are counted per day before they are spread over the margin, so the key is unique and a
-    pair met very often can neither multiply the matches nor fill one task.
+
+def fixture_lookup(fixtures: DataFrame, margin: int = DAY_MARGIN, carry: Sequence[str] = CARRIED) -> DataFrame:
+    """One row per (pair, span of days): ``near``, for every day of the span and ``margin`` around it how many
+    fixtures there are (``n``) and the content of one of them.
+
+    Fixtures are counted per day first, so the key is unique, a row holds at most a day's count for each of its
+    days and a pair met very often can neither multiply the matches nor fill one task. Only days at the edge of
+    a span are held twice. Of several fixtures of a day the fields may be of different ones.
     """
-    content = F.struct("match_date", "goals_home", "goals_away", "prices", "competition")
-    daily = fixtures.groupBy("home_key", "away_key", "match_date").agg(
-        F.count("*").alias("n"), F.any_value(content).alias("found"))
-    offsets = F.explode(F.array(*[F.lit(d) for d in range(-margin, margin + 1)])).alias("offset")
-    spread = daily.select("home_key", "away_key", "n", "found", "match_date", offsets)
-    return (spread.withColumn("day", F.date_add("match_date", F.col("offset"))).groupBy("home_key", "away_key", "day")
-            .agg(F.sum("n").alias("candidates"), F.any_value("found").alias("found")))
-
-
-def strict_match(matches: DataFrame, fixtures: DataFrame, *, day: str = "day", margin: int = DAY_MARGIN) -> DataFrame:
-    """Adds ``found`` (the fixture, or null) and ``reason`` (or null) to every match."""
-    lookup = fixture_lookup(fixtures, margin).withColumnRenamed("day", day)
-    joined = matches.join(lookup, ["home_key", "away_key", day], "left")
+    content = ["goals_home", "goals_away", *carry]
+    daily = fixtures.where(F.col("match_date").isNotNull()).groupBy("home_key", "away_key", "match_date").agg(
+        F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in content])
+    day = F.col("match_date")
+    spans = F.explode(F.sequence(_span(F.date_sub(day, margin)), _span(F.date_add(day, margin)))).alias("span")
+    return (daily.select("home_key", "away_key", spans, F.struct("n", "match_date", *content).alias("day"))
+            .groupBy("home_key", "away_key", "span").agg(F.collect_list("day").alias("near")))
+
+
+def strict_match(matches: DataFrame, fixtures: DataFrame, *, day: str = "day", margin: int = DAY_MARGIN,
+                 carry: Sequence[str] = CARRIED) -> DataFrame:
+    """Adds ``found`` (the fixture with the ``carry`` columns, or null) and ``reason`` (or null) to every match."""
+    lookup = fixture_lookup(fixtures, margin, carry).withColumnsRenamed({"span": "__span", "near": "__near"})
+    joined = (matches.withColumn("__span", _span(F.col(day))).join(lookup, ["home_key", "away_key", "__span"], "left")
+              .withColumn("__near", F.filter("__near", lambda f: F.abs(F.date_diff(f["match_date"], F.col(day))) <= margin))
+              .withColumn("candidates", F.aggregate("__near", F.lit(0).cast("long"), lambda total, f: total + f["n"]))
+              .withColumn("found", F.get("__near", F.lit(0)).dropFields("n")))
     goals_known = F.col("found.goals_home").isNotNull() & F.col("found.goals_away").isNotNull()
     both = F.col("score_home").isNotNull() & F.col("score_away").isNotNull() & goals_known
     differ = (F.col("score_home") != F.col("found.goals_home")) | (F.col("score_away") != F.col("found.goals_away"))
     reason = (F.when(F.col(day).isNull(), NO_DATE)
-              .when(F.col("candidates").isNull(), ABSENT)
+              .when(F.coalesce("candidates", F.lit(0)) == 0, ABSENT)
               .when(F.col("candidates") > 1, SEVERAL)
               .when(both & differ, SCORES_DIFFER)
               .when(~both & (F.col("found.match_date") != F.col(day)), SHIFTED))
     return (joined.withColumn("reason", reason)
-            .withColumn("found", F.when(F.col("reason").isNull(), F.col("found"))).drop("candidates"))
+            .withColumn("found", F.when(F.col("reason").isNull(), F.col("found"))).drop("candidates", "__near", "__span"))
 
 
 def fallback_chain(matches: DataFrame, sources: Sequence[tuple[DataFrame, DataFrame | None]], day: str = "day") -> DataFrame:
@@ -98,18 +111,20 @@ def attach_prices(matches: DataFrame, fixtures: DataFrame, order: Sequence[str],
     """
     own = F.expr("coalesce(p1, 0) != 0 and coalesce(px, 0) != 0 and coalesce(p2, 0) != 0")
     plausible = own & P.plausible_market("p1", "px", "p2")
-    rows = first_occurrence(matches, "match_id", order)
-    matched = strict_match(with_team_keys(rows, aliases), fixtures)
-    pick = P.preferred_price(F.col("found.prices"), F.col("day"))
-    priced = matched.withColumn("pick", F.when(~plausible, pick))
-    trio = lambda c: F.when(plausible, F.col(c)).otherwise(F.col(f"pick.trio.{c}"))
+    used = ["match_id", *order, "home", "away", "day", "score_home", "score_away", "p1", "px", "p2"]
+    rows = first_occurrence(matches.select(*dict.fromkeys(used)), "match_id", order).withColumn("own_rejected", own & ~plausible)
+    priced = rows.where(plausible)
+    # Only what has no price of its own is looked up.
+    matched = strict_match(with_team_keys(rows.where(~plausible), aliases), fixtures)
+    picked = matched.withColumn("pick", P.preferred_price(F.col("found.prices"), F.col("day")))
+    trio = ["p1", "px", "p2"]
+    nothing = F.lit(None).cast("string")
     return priced.select(
-        "match_id", *[c for c in order if c in rows.columns],
-        trio("p1").alias("p1"), trio("px").alias("px"), trio("p2").alias("p2"),
-        F.when(plausible, F.lit(own_source)).otherwise(F.col("pick.source")).alias("source"),
-        F.when(~plausible & F.col("pick").isNotNull(), F.col("found.competition")).alias("division"),
-        F.when(~plausible, F.coalesce("reason", F.when(F.col("pick").isNull(), UNPRICED))).alias("reason"),
-        (own & ~plausible).alias("own_rejected"))
+        "match_id", *order, *trio, F.lit(own_source).alias("source"), nothing.alias("division"), nothing.alias("reason"),
+        "own_rejected").union(picked.select(
+            "match_id", *order, *[F.col(f"pick.trio.{c}").alias(c) for c in trio], F.col("pick.source").alias("source"),
+            F.when(F.col("pick").isNotNull(), F.col("found.competition")).alias("division"),
+            F.coalesce("reason", F.when(F.col("pick").isNull(), UNPRICED)).alias("reason"), "own_rejected"))
 
 
 def coverage(priced: DataFrame) -> DataFrame:

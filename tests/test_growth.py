@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -113,3 +114,48 @@ def test_letters_are_looked_up_only_beyond_ascii(spark):
     assert rows.select((T.compose("apart") == F.col("t")).alias("same"), (F.length("apart") - F.length("t")).alias("marks")).first() == (True, 3)
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert "octet_length" in plan
+
+
+PRICES = "map<string,struct<p1:double,px:double,p2:double>>"
+
+
+def _fixtures(spark, days):
+    rows = [("a", "b", d, i % 3, 1, {"bet365": (2.0, 3.0, 4.0)}, "E0") for i, d in enumerate(days)]
+    return spark.createDataFrame(rows, f"home_key string, away_key string, match_date date, goals_home int, goals_away int, prices {PRICES}, competition string")
+
+
+def test_a_fixture_is_not_held_once_for_every_day_around_it(spark):
+    days = [date(1969, 6, 1) + timedelta(days=i) for i in range(320)]
+    lookup = J.fixture_lookup(_fixtures(spark, days + days + [None])).collect()
+    held = [d for r in lookup for d in r.near]
+    # Every day once, twice at the two edges of a span; before, three rows for each.
+    assert {d.match_date for d in held} == set(days) and all(d.n == 2 for d in held) and len(held) <= 320 + 2 * (320 // J.SPAN + 1)
+    assert max(len(r.near) for r in lookup) <= J.SPAN + 2 and len(lookup) == len({r.span for r in lookup}) <= 320 // J.SPAN + 2
+
+
+@pytest.mark.parametrize("margin", [0, 1, 3])
+def test_spans_give_the_candidates_of_every_day(spark, margin):
+    rnd = random.Random(margin)
+    known = [date(1969, 10, 1) + timedelta(days=rnd.randrange(400)) for _ in range(60)]
+    days = [date(1969, 9, 20) + timedelta(days=i) for i in range(430)]
+    matches = spark.createDataFrame([("a", "b", d, None, None) for d in days], "home_key string, away_key string, day date, score_home int, score_away int")
+    got = {r.day: r for r in J.strict_match(matches, _fixtures(spark, known), margin=margin).collect()}
+    for d in days:
+        near = [k for k in known if abs((k - d).days) <= margin]
+        reason = J.ABSENT if not near else J.SEVERAL if len(near) > 1 else J.SHIFTED if near[0] != d else None
+        assert got[d].reason == reason and (got[d].found and got[d].found.match_date) == (None if reason else d)
+
+
+def _optimized(spark, name):
+    from poolspark.plans import load
+
+    return load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["price_attachment"])
+def test_matches_with_an_own_price_are_not_looked_up(spark, name):
+    plan = _optimized(spark, name)
+    looked_up = plan[plan.index("Join LeftOuter"):]
+    # The rows of the lookup are those left over, and they carry what matching reads.
+    assert "Union" in plan and "NOT ((" in looked_up and "min_by(struct(pool_type" in looked_up
+    assert "array_join" not in plan and "signs" not in plan
