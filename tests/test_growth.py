@@ -152,7 +152,7 @@ def _optimized(spark, name):
     return load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["price_attachment"])
+@pytest.mark.parametrize("name", ["price_attachment", "price_coverage"])
 def test_matches_with_an_own_price_are_not_looked_up(spark, name):
     plan = _optimized(spark, name)
     looked_up = plan[plan.index("Join LeftOuter"):]
@@ -160,6 +160,7 @@ def test_matches_with_an_own_price_are_not_looked_up(spark, name):
     assert "Union" in plan and "NOT ((" in looked_up and "min_by(struct(pool_type" in looked_up
     assert "array_join" not in plan and "signs" not in plan
 
+
 @pytest.mark.parametrize("name", ["strict_fixture_match", "match_refusal_reasons"])
 def test_matching_alone_carries_no_prices(spark, name):
     plan = _optimized(spark, name)
