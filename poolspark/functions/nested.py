@@ -9,25 +9,33 @@ from pyspark.sql import functions as F
 
 from poolspark.functions.prices import SIGNATURE_MARGIN, SIGNATURE_MAX_NUMBERS, SIGNATURE_PRICE
 
-# Levels opened at a time and rounds of them: more levels than parse_json accepts (1,000).
-STEP, ROUNDS = 32, 32
+# Levels opened: loops inside loops, so few turns are left over once all is open. More levels than parse_json accepts (1,000).
+LOOPS = (16, 8, 8)
 
 _NO_NODES = "cast(array() as array<struct<path:string,value:variant>>)"
 
 
+def _opened(df: DataFrame, key: Sequence[str], payload: str, kept: str, kind: str, where: str = "true") -> DataFrame:
+    """``key, path, kept``: an expression over every object ``c`` of a payload (``c.value``, ``c.members``), where ``n.kept`` is wanted."""
+    level = _LEVEL.format(kept=f"filter(transform({_OBJECTS}, c -> named_struct('path', c.path, 'kept', {kept})), n -> {where})")
+    for turns in reversed(LOOPS[1:]):
+        level = f"aggregate(sequence(1, {turns}), s, (s, i) -> if(size(s.open) = 0, s, {level}))"
+    start = f"""named_struct('done', cast(array() as array<struct<path:string,kept:{kind}>>),
+      'open', array(named_struct('path', '', 'value', __payload)))"""
+    nodes = f"""aggregate(sequence(1, {LOOPS[0]}), {start}, (s, i) -> if(size(s.open) = 0, s, {level}),
+      s -> if(size(s.open) = 0, s.done, raise_error('payload nested too deep')))"""
+    rows = df.select(*key, F.col(payload).alias("__payload")).select(*key, F.explode(F.expr(nodes)).alias("__node"))
+    return rows.select(*key, "__node.path", "__node.kept")
+
+
 def walk(df: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
     """Every object of a variant payload with its path: ``key, path, object``.
 
     A payload is opened inside its own row, level by level, by one expression: values stay variants, nothing is
-    shuffled or stored. Empty objects count, null, scalars and lists do not. A payload nested deeper than
-    ``STEP * ROUNDS`` levels fails rather than losing objects.
+    shuffled or stored. Empty objects count, null, scalars and lists do not. A payload nested deeper than the
+    product of ``LOOPS`` levels fails rather than losing objects.
     """
-    opened = f"if(size(s.open) = 0, s, aggregate(sequence(1, {STEP}), s, (s, i) -> if(size(s.open) = 0, s, {_LEVEL})))"
-    start = f"named_struct('done', {_NO_NODES}, 'open', array(named_struct('path', '', 'value', __payload)))"
-    nodes = f"""aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {opened},
-      s -> if(size(s.open) = 0, s.done, raise_error('payload nested too deep')))"""
-    rows = df.select(*key, F.col(payload).alias("__payload")).select(*key, F.explode(F.expr(nodes)).alias("__node"))
-    return rows.select(*key, F.col("__node.path").alias("path"), F.col("__node.value").alias("object"))
+    return _opened(df, key, payload, "c.value", "variant").withColumnRenamed("kept", "object")
 
 
 # One level: the objects among the open values are done, the members of objects and lists are open next.
@@ -37,9 +45,10 @@ _CELLS = """transform(s.open, x -> named_struct('path', x.path, 'value', x.value
 _MEMBERS = """transform(c.members, e ->
   named_struct('path', if(c.path = '', e.key, concat(c.path, '.', e.key)), 'value', e.value))"""
 _ITEMS = "transform(c.items, (v, i) -> named_struct('path', concat(c.path, '[', i, ']'), 'value', v))"
-_LEVEL = f"""element_at(transform(array({_CELLS}), cells -> named_struct(
-  'done', concat(s.done, transform(filter(cells, c -> c.members is not null), c -> named_struct('path', c.path, 'value', c.value))),
-  'open', flatten(transform(cells, c -> coalesce({_MEMBERS}, {_ITEMS}, {_NO_NODES}))))), 1)"""
+_OBJECTS = "filter(cells, c -> c.members is not null)"
+# The cells are bound as the start of an empty sum, which is not copied as an element of an array would be.
+_LEVEL = f"""aggregate(cast(array() as array<int>), {_CELLS}, (cells, i) -> cells, cells -> named_struct(
+  'done', concat(s.done, {{kept}}), 'open', flatten(transform(cells, c -> coalesce({_MEMBERS}, {_ITEMS}, {_NO_NODES})))))"""
 
 
 def _entries(obj: str) -> str:
@@ -51,29 +60,44 @@ def entries(obj: str) -> Column:
     return F.expr(_entries(obj))
 
 
-def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object") -> DataFrame:
-    """Every three numbers of an object whose inverse prices look like a market.
-
-    Objects with more than twelve candidate numbers are not searched, so an object yields at most
-    220 combinations. ``k1, k2, k3, v1, v2, v3, margin``.
-    """
+def _triples(cells: str) -> str:
+    """Every three numbers among the entries of an object. Objects with more than twelve candidates are not searched."""
     low, high = SIGNATURE_PRICE
-    number = "schema_of_variant(e.value) rlike '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)'"
-    numbers = f"""transform(filter(cells, e -> try_variant_get(e.value, '$', 'double') between {low}D and {high}D and {number}),
-      e -> named_struct('k', e.key, 'v', variant_get(e.value, '$', 'double')))"""
+    # The text of a number begins with a digit, nothing else's does; values are read only where there are three of them.
+    digits = f"filter({cells}, e -> to_json(e.value) rlike '^[0-9]')"
+    numbers = f"""filter(transform(filter(digits, e -> size(digits) >= 3), e -> named_struct(
+      'k', e.key, 'v', try_variant_get(e.value, '$', 'double'))), e -> e.v between {low}D and {high}D)"""
     span = lambda a: f"if({a} > size(nums), slice(array(0), 1, 0), sequence({a}, size(nums)))"
     triples = f"""flatten(flatten(transform({span('1')}, i -> transform({span('i + 1')}, j -> transform({span('j + 1')}, k ->
       named_struct('a', nums[i - 1], 'b', nums[j - 1], 'c', nums[k - 1]))))))"""
     # The numbers are bound once; objects with too many or too few give no triple.
-    searched = f"""flatten(transform(filter(transform(array({_entries(obj)}), cells -> {numbers}),
+    return f"""flatten(transform(filter(transform(array({digits}), digits -> {numbers}),
       nums -> size(nums) between 3 and {SIGNATURE_MAX_NUMBERS}), nums -> {triples}))"""
-    found = objects.select(*key, F.explode(F.expr(searched)).alias("t"))
+
+
+def _markets(found: DataFrame, key: Sequence[str]) -> DataFrame:
     margin = 1 / F.col("t.a.v") + 1 / F.col("t.b.v") + 1 / F.col("t.c.v")
     return found.withColumn("m", margin).where(F.col("m").between(*SIGNATURE_MARGIN)).select(
         *key, *[F.col(f"t.{s}.k").alias(f"k{i}") for i, s in enumerate("abc", 1)],
         *[F.col(f"t.{s}.v").alias(f"v{i}") for i, s in enumerate("abc", 1)], F.round("m", 4).alias("margin"))
 
 
+def market_triples(objects: DataFrame, key: Sequence[str], obj: str = "object") -> DataFrame:
+    """Every three numbers of an object whose inverse prices look like a market.
+
+    Objects with more than twelve candidate numbers are not searched, so an object yields at most
+    220 combinations. ``k1, k2, k3, v1, v2, v3, margin``.
+    """
+    return _markets(objects.select(*key, F.explode(F.expr(_triples(_entries(obj)))).alias("t")), key)
+
+
+def payload_markets(df: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
+    """``market_triples`` of every object of a payload, with its ``path``: objects are searched where they are opened."""
+    number = "struct<k:string,v:double>"
+    found = _opened(df, key, payload, _triples("c.members"), f"array<struct<a:{number},b:{number},c:{number}>>", "size(n.kept) > 0")
+    return _markets(found.select(*key, "path", F.explode("kept").alias("t")), [*key, "path"])
+
+
 def key_inventory(objects: DataFrame, obj: str = "object", by: Sequence[str] = ()) -> DataFrame:
     """Objects carrying each key and those where it is filled; null, empty text, list and object are empty."""
     rows = objects.select(*by, F.explode(entries(obj)).alias("e"))

@@ -32,7 +32,8 @@ PAYLOAD = """to_json(named_struct('pools', named_struct('id', pool_id), 'matches
 
 
 def payloads(spark, sf):
-    return V.pools(spark, sf).select("pool_id", F.expr(f"parse_json({PAYLOAD})").alias("payload"))
+    pools = V.pools(spark, sf, ["line", "match_id", "p1", "px", "p2", "code"])
+    return pools.select("pool_id", F.expr(f"parse_json({PAYLOAD})").alias("payload"))
 
 
 @query("payload_walk", ctes=V.POOLS_SQL, sql="""
@@ -48,7 +49,7 @@ SELECT pool_id, 'matches[' || ord || '].odds' AS path, p1 AS v1, px AS v2, p2 AS
 FROM legs WHERE p1 BETWEEN 1.01 AND 100 AND px BETWEEN 1.01 AND 100 AND p2 BETWEEN 1.01 AND 100
   AND 1/p1 + 1/px + 1/p2 BETWEEN 1.0 AND 1.4""")
 def signature_scan(spark, sf):
-    found = N.market_triples(N.walk(payloads(spark, sf), ["pool_id"], "payload"), ["pool_id", "path"])
+    found = N.payload_markets(payloads(spark, sf), ["pool_id"], "payload")
     return found.select("pool_id", "path", "v1", "v2", "v3", "margin")
 
 
@@ -57,7 +58,7 @@ SELECT pool_id, 'matches[' || ord || '].odds' AS path, round(1/p1 + 1/px + 1/p2,
 WHERE p1 BETWEEN 1.01 AND 100 AND px BETWEEN 1.01 AND 100 AND p2 BETWEEN 1.01 AND 100 AND 1/p1 + 1/px + 1/p2 BETWEEN 1.0 AND 1.4
 ORDER BY margin, pool_id, path LIMIT 20""")
 def suspects(spark, sf):
-    found = N.market_triples(N.walk(payloads(spark, sf), ["pool_id"], "payload"), ["pool_id", "path"])
+    found = N.payload_markets(payloads(spark, sf), ["pool_id"], "payload")
     return found.select("pool_id", "path", "margin").orderBy("margin", "pool_id", "path").limit(20)
 
 

@@ -166,3 +166,19 @@ def test_matching_alone_carries_no_prices(spark, name):
     plan = _optimized(spark, name)
     assert "map_from_entries" not in plan
     assert "first(goals_home" in plan and ("first(competition" in plan) == (name == "strict_fixture_match")
+
+
+def test_objects_are_searched_where_they_are_opened(spark):
+    from poolspark.functions import nested as N
+
+    deep = "[" * 300 + '{"z": {"a": 2.5, "b": 3.1, "c": 3.3}}' + "]" * 300
+    bodies = ['{"a": 2.5, "b": 3.1, "c": 3.3, "d": "3.2", "e": true, "f": null, "g": -2, "h": [1], "i": "2020-01-01"}',
+              '{"x": [{"a": 2, "b": "3.4", "c": 4.2, "d": 1.5e1, "e": 3.4}, [{"p": 1.9, "q": 3, "r": 5}]], "y": 2, "w": {}}',
+              "{" + ", ".join(f'"k{i}": {2 + i / 10}' for i in range(13)) + "}", '{"a": 2.5, "b": 3.1, "c": 100.5}', "7", '"2.5"', "[]", deep]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, j string").select("id", F.expr("parse_json(j)").alias("p"))
+    found = N.payload_markets(df, ["id"], "p").drop("margin")
+    got = sorted(map(tuple, found.collect()))
+    three = ("a", "b", "c", 2.5, 3.1, 3.3)
+    assert (0, "", *three) in got and (7, "[0]" * 300 + ".z", *three) in got and (1, "x[1][0]", "p", "q", "r", 1.9, 3.0, 5.0) in got
+    assert {r[0] for r in got} == {0, 1, 7} and not any({"d", "e", "g"} & set(r[2:5]) for r in got if r[0] == 0)
+    assert got == sorted(map(tuple, N.market_triples(N.walk(df, ["id"], "p"), ["id", "path"]).drop("margin").collect()))
